@@ -28,7 +28,7 @@ _CYRILLIC_AS = "ABESIJKMHOPCTYXYGqWaesijkopcyxdhqw"
 _GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορτυχ"
 _GREEK_AS = "ABEZHIKMNOPTYXaikvoptux"
 #: Latin letters of other uses that are taken for plain ones wherever they stand.
-_LATIN, _LATIN_AS = "ɡɑ", "ga"
+_LATIN, _LATIN_AS = "ɡɑƉ", "gaĐ"
 LOOKALIKES = dict(zip(map(ord, _CYRILLIC + _GREEK), _CYRILLIC_AS + _GREEK_AS, strict=True))
 
 #: Disguised wherever they stand, as ranges for a regular expression: full-width and small forms, ligatures and digraphs,
@@ -40,7 +40,7 @@ _SPACES = "   -   　"
 _MARKS = "̀-ͯ"
 _OTHER = "Ͱ-ϿЀ-ԯ"
 #: Any character for which the form of a text may differ from it, for texts of Latin script.
-SUSPECT = f"[{_STYLED}{_IGNORED}{_SPACES}{_MARKS}{_OTHER}{_LATIN}]"
+SUSPECT = f"[{_STYLED}{_IGNORED}{_SPACES}{_MARKS}{_OTHER}{_LATIN}Ð]"
 
 _SUSPECT = re.compile(SUSPECT)
 _STYLED_RUN = re.compile(f"[{_STYLED}]+")
@@ -49,6 +49,8 @@ _INVISIBLE = re.compile(f"[{_IGNORED}]+")
 _FOREIGN = re.compile(f"[{_OTHER}]")
 _WORDS = re.compile(f"(?:[^\\W\\d_][{_MARKS}]*)+")
 _PLAIN = re.compile("[A-Za-zÀ-ɏḀ-ỿ]")
+#: Letters whose presence makes a capital eth an ordinary one.
+_ETH_OR_THORN = re.compile("[ðþÞ]")
 _BLANKS = re.compile(r"\s+")
 _LATIN_TABLE = dict(zip(map(ord, _LATIN), _LATIN_AS, strict=True))
 #: Scripts whose spelling needs joiners.
@@ -85,6 +87,8 @@ def form(text: str) -> str:
     out = _INVISIBLE.sub(lambda m: _kept(text, m), text)
     out = _STYLED_RUN.sub(lambda m: unicodedata.normalize("NFKC", m[0]), out)
     out = _SPACE.sub(" ", out).translate(_LATIN_TABLE)
+    if "Ð" in out and not _ETH_OR_THORN.search(out):
+        out = out.replace("Ð", "Đ")
     out = unicodedata.normalize("NFC", out)
     if _FOREIGN.search(out):
         mixed = [m for m in _WORDS.finditer(out) if _FOREIGN.search(m[0])]
@@ -112,6 +116,14 @@ def key(text: str) -> str:
     return _BLANKS.sub(" ", out).strip()
 
 
+def unaccented(text: str) -> str:
+    """Lower case without accents."""
+    text = text.lower()
+    if text.isascii():
+        return text
+    return "".join(c for c in unicodedata.normalize("NFD", text.replace("đ", "d").replace("ð", "d")) if not unicodedata.combining(c))
+
+
 def per_distinct(values: pd.Series, f: Callable[[str], object]) -> pd.Series:
     """``f`` of each value, worked out once for each distinct one; null for null."""
     known: dict[str, object] = {}
