@@ -207,3 +207,11 @@ def publish_instants(contents: DataFrame, locales: DataFrame) -> DataFrame:
     stated = F.expr(_LOCAL_US) - offset * 1_000_000
     instant = F.coalesce("__fixed_us", F.when(F.col("__zone") == "", _in_zone_us()).otherwise(stated))
     return rows.select("id", instant.alias("publish_us"))
+
+
+def zone_report(contents: DataFrame, locales: DataFrame) -> DataFrame:
+    """(site, given_zone, estimated_zone, times_used, violations): for every site with zone-less times, how the zone that arrival times suggest compares with the given one."""
+    loose = with_local_time(parse(contents).where("__zone = '' and __fixed_us is null"), F.lit("dmy"))
+    estimated = estimate_zones(loose, _candidates(locales))
+    given = locales.groupBy(F.lower("domain").alias("site")).agg(F.min("time_zone").alias("given_zone"))
+    return estimated.join(given, "site", "left").select("site", "given_zone", "estimated_zone", "times_used", "violations")
