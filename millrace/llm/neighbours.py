@@ -50,13 +50,11 @@ SKETCH = 256
 #: Candidates are kept down to this much below the wanted cosine, for the error of the sketch (0.06 at 0.7).
 SLACK = 0.15
 BLOCK = 1024
-#: Rows whose mean centres the vectors; chosen by a hash of their id.
-CENTRE_ROWS = 4096
 _SEED = 20240607
 
 
 def usable_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "content_embedding", dim: int = DIM) -> DataFrame:
-    """(id, vector binary, copy): usable vectors as 32-bit floats, ``copy`` the same for the same vector."""
+    """(id, vector binary, copy): usable vectors as 32-bit floats, or 16-bit ones where these are equal; ``copy`` is the same for the same vector."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -71,7 +69,10 @@ def usable_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "content
             if nulls is not None:
                 good &= ~np.asarray(nulls)[start[:, None] + np.arange(dim)].any(1)
             rows = rows[good] + np.float32(0)  # -0 becomes 0, so equal vectors have equal bytes
-            raw = [r.tobytes() for r in rows]
+            with np.errstate(over="ignore"):
+                half = rows.astype("<f2")
+            short = (half.astype("<f4") == rows).all(1)  # sent in half the bytes where nothing is lost by it
+            raw = [h.tobytes() if s else r.tobytes() for r, h, s in zip(rows, half, short)]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(right[good])), pa.array(raw, pa.binary()), pa.array([hashlib.md5(r).digest() for r in raw], pa.binary())], names=["id", "vector", "copy"])
 
     return df.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).mapInArrow(pack, "id string, vector binary, copy binary")
@@ -104,7 +105,7 @@ def hash_strings(vectors: np.ndarray, centre: np.ndarray, trees: int) -> tuple[n
 
 
 def _centre(vectors: DataFrame, dim: int) -> np.ndarray:
-    rows = vectors.select("vector").orderBy(F.xxhash64("id"), "id").limit(CENTRE_ROWS)
+    """The mean of all unit vectors, from one sum a task."""
 
     def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s, n = np.zeros(dim), 0
@@ -114,13 +115,20 @@ def _centre(vectors: DataFrame, dim: int) -> np.ndarray:
             n += len(m)
         yield pd.DataFrame({"s": [s.tobytes()], "n": [n]})
 
-    parts = rows.mapInPandas(total, "s binary, n long").collect()
-    n = sum(p.n for p in parts)
-    return (sum(np.frombuffer(p.s) for p in parts) / n).astype(np.float32) if n else np.zeros(dim, np.float32)
+    s, n = np.zeros(dim), 0
+    for p in vectors.select("vector").mapInPandas(total, "s binary, n long").toLocalIterator():
+        s, n = s + np.frombuffer(p.s), n + p.n
+    return (s / max(n, 1)).astype(np.float32)
 
 
 def _matrix(column: pd.Series, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<f4").reshape(len(column), dim)
+    out = np.empty((len(column), dim), np.float32)
+    values = column.to_numpy()
+    short = np.fromiter((len(v) == 2 * dim for v in values), bool, len(values))
+    for mask, kind in ((short, "<f2"), (~short, "<f4")):
+        if mask.any():
+            out[mask] = np.frombuffer(b"".join(values[mask]), kind).reshape(-1, dim)
+    return out
 
 
 def _forest_candidates(strings: DataFrame, trees: int, least: float) -> DataFrame:
@@ -172,8 +180,7 @@ def _forest_candidates(strings: DataFrame, trees: int, least: float) -> DataFram
 def nearest(df: DataFrame, k: int = K, least: float = LEAST, id_col: str = "id", vector_col: str = "content_embedding", dim: int = DIM, trees: int = TREES, block: int = BLOCK) -> DataFrame:
     """(id, other, similarity, position): up to ``k`` most similar other rows of each row, down to a cosine of ``least``."""
     vectors = usable_vectors(df, id_col, vector_col, dim)
-    spark = df.sparkSession
-    centre = spark.sparkContext.broadcast(_centre(vectors, dim))
+    centre = df.sparkSession.sparkContext.broadcast(_centre(vectors, dim))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -194,11 +201,12 @@ def nearest(df: DataFrame, k: int = K, least: float = LEAST, id_col: str = "id",
     rows = blocks.select("row", "block", F.lit(True).alias("own"))
     visits = pairs.join(blocks, "row").select(F.col("other").alias("row"), "block", F.lit(False).alias("own"))
     seats = rows.unionByName(visits).groupBy("row", "block").agg(F.max("own").alias("own"))
-    reps = vectors.join(groups.select("id", "copy", "row"), ["id", "copy"]).dropDuplicates(["row"]).select("row", "id", "vector")
-    seated = seats.join(reps, "row")
+    # ids and places are joined first, so that each vector is shuffled once to its id and once to its blocks
+    places = seats.join(groups.select("row", "id", "copy"), "row")
+    seated = vectors.join(places, ["id", "copy"]).select("row", "block", "own", "id", "vector")
 
     def compare(_: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("id", ignore_index=True)
+        b = b.drop_duplicates("row").sort_values("id", ignore_index=True)
         m = _matrix(b["vector"], dim).astype(np.float64)
         m /= np.linalg.norm(m, axis=1, keepdims=True)
         own = np.flatnonzero(b["own"].to_numpy())
@@ -268,7 +276,7 @@ def exact_nearest(df: DataFrame, queries: DataFrame, k: int = K, least: float =
     vectors = usable_vectors(df, id_col, vector_col, dim)
     asked = vectors.join(queries.select("id"), "id", "left_semi").dropDuplicates(["id"]).orderBy("id").collect()
     spark = df.sparkSession
-    ids, q = [r.id for r in asked], np.array([np.frombuffer(r.vector, "<f4") for r in asked], np.float64).reshape(len(asked), dim)
+    ids, q = [r.id for r in asked], _matrix(pd.Series([r.vector for r in asked], dtype=object), dim).astype(np.float64)
     q /= np.linalg.norm(q, axis=1, keepdims=True)
     sent = spark.sparkContext.broadcast((ids, q))
 
