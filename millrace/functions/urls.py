@@ -6,25 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters up to the blank are trimmed, as the JVM's String.trim does.
-_EDGES = r"^[\x00-\x20]+|[\x00-\x20]+$"
+_EDGES = "".join(map(chr, range(33)))
 
 
 def trimmed(url: Column) -> Column:
-    return F.regexp_replace(url, _EDGES, "")
+    return F.trim(url, F.lit(_EDGES))
 
 
 def is_blank(url: Column) -> Column:
     """True for null and for text of blanks only."""
-    return F.coalesce(F.length(trimmed(url)) == 0, F.lit(True))
+    return F.coalesce(trimmed(url) == "", F.lit(True))
 
 
 def normal_form(url: Column) -> Column:
-    """The form under which a URL is hashed: trimmed, lower case, one trailing slash off (not of ``http(s)://host/``), a scheme in front. Null for blank."""
-    low = F.lower(trimmed(url))
-    slashed = F.endswith(low, F.lit("/")) & (F.length(low) > 1) & ~low.rlike("^https?://[^/]+/$")
-    short = F.when(slashed, F.substring(low, F.lit(1), F.length(low) - 1)).otherwise(low)
-    schemed = F.when(short.rlike("^https?://"), short).otherwise(F.concat(F.lit("http://"), short))
-    return F.when(~is_blank(url), schemed)
+    """The form under which a URL is hashed: trimmed, lower case, one trailing slash off (not of ``http(s)://host/``), a scheme in front. Null for blank.
+
+    Each step refers to the one before once, so nothing is worked out twice.
+    """
+    low = F.lower(F.nullif(trimmed(url), F.lit("")))
+    short = F.regexp_replace(low, r"^(https?://[^/]+/)$|(?<=[\s\S])/$", "$1")
+    return F.regexp_replace(short, r"^(?!https?://)", "http://")
 
 
 def url_id(url: Column) -> Column:
