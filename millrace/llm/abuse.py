@@ -268,7 +268,9 @@ def model(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = lookup_join(documents.where(F.length("text").between(1, TRAIN_CHARS)).select("doc_id", "text"), chosen, ["doc_id"], "inner").dropDuplicates(["doc_id"])
     rows = sorted(texts.collect(), key=lambda r: r.doc_id)
-    extra = documents.where(F.length("text").between(1, TRAIN_CHARS)).select("doc_id", "text").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(UNLABELLED + len(rows)).collect()
+    usable = documents.where(F.length("text").between(1, TRAIN_CHARS)).select("doc_id", "text", F.xxhash64("doc_id", F.lit(1)).alias("h"))
+    last = usable.select("h").orderBy("h").limit(UNLABELLED + len(rows)).agg(F.max("h")).first()[0]
+    extra = sorted(usable.where(F.col("h") <= F.lit(last if last is not None else 0)).select("doc_id", "text").limit(UNLABELLED + len(rows)).collect(), key=lambda r: r.doc_id)
     known = {r.doc_id for r in rows}
     return train([(r.text, [r[c] for c in CLASSES]) for r in rows], [r.text for r in extra if r.doc_id not in known][:UNLABELLED])
 
