@@ -1,7 +1,202 @@
-"""SQL counterparts of the core queries."""
+"""SQL counterparts of the core queries, for DuckDB over the same tables.
+
+They are written from the definitions, not from the DataFrame code: windows where that aggregates, regular expressions of
+RE2, zones by name.
+"""
 
 from __future__ import annotations
 
+from millrace.functions import analysis, classify
+from millrace.plans import fixtures
+from millrace.plans.fixtures import AS_OF
+
+_AS_OF = f"TIMESTAMPTZ '{AS_OF}+00'"
+_TRIM = r"regexp_replace({u}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
+
+
+def _trim(u: str) -> str:
+    return _TRIM.format(u=u)
+
+
+def _host(u: str) -> str:
+    return rf"nullif(regexp_extract({_trim(u)}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '')"
+
+
+def _scheme(u: str) -> str:
+    return rf"nullif(lower(regexp_extract({_trim(u)}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)), '')"
+
+
+def _path(u: str) -> str:
+    return rf"CASE WHEN {_host(u)} IS NOT NULL THEN regexp_extract({_trim(u)}, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) END"
+
+
+def _query(u: str) -> str:
+    return rf"CASE WHEN regexp_matches({_trim(u)}, '^[^?#]*\?') THEN regexp_extract({_trim(u)}, '^[^?#]*\?([^#]*)', 1) END"
+
+
+def _normal(u: str) -> str:
+    t = f"lower({_trim(u)})"
+    cut = f"CASE WHEN length({t}) > 1 AND {t} LIKE '%/' AND NOT regexp_full_match({t}, 'https?://[^/]+/') THEN left({t}, length({t}) - 1) ELSE {t} END"
+    return f"CASE WHEN length({t}) > 0 THEN CASE WHEN regexp_matches({cut}, '^https?://') THEN {cut} ELSE 'http://' || ({cut}) END END"
+
+
+def _hash(s: str) -> str:
+    whole = f"list_reduce(list_concat([0::BIGINT], list_transform(string_split({s}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) & 4294967295)"
+    return f"(CASE WHEN {whole} >= 2147483648 THEN {whole} - 4294967296 ELSE {whole} END)"
+
+
+def _bucket(s: str, n: int) -> str:
+    return f"abs({_hash(s)} % {n})::INT"
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_EXCLUDED = _quoted(classify.EXCLUDE)
+_FILE = _quoted(classify.FILE_ENDING)
+_ARTICLE = _quoted(classify.ARTICLE)
+
+
+def _is_article(u: str) -> str:
+    return f"(NOT regexp_matches({u}, {_EXCLUDED}) AND NOT regexp_matches({u}, {_FILE}) AND regexp_matches({u}, {_ARTICLE}))"
+
+
+def _section(u: str) -> str:
+    q = _query(u)
+    one = f"len(list_filter(string_split({_path(u)}, '/'), lambda x: x <> '')) <= 1"
+    return f"coalesce({_scheme(u)} IN ('http', 'https') AND {_host(u)} IS NOT NULL AND {one} AND NOT regexp_matches({u}, {_EXCLUDED}) AND NOT regexp_matches({u}, {_FILE}) AND ({q} IS NULL OR (length({q}) <= 20 AND NOT contains({q}, '&'))), false)"
+
+
+# The rules of fixtures.ROBOTS that apply, written out: host, order, 1 allow or 2 disallow, expression.
+_RULES = r"""
+rules(host, o, kind, re) AS (VALUES ('tinsangmai.news.example', 1, 1, '/the-thao/ben-.+\.html'), ('tinsangmai.news.example', 2, 2, '/the-thao/.*'),
+  ('larkhavenledger.news.example', 1, 2, '/culture.*'), ('greyholmcourier.example', 1, 2, '/.+/the-.+-ferry.*'), ('greyholmcourier.example', 2, 2, '/science/.+')),
+delays(host, delay) AS (VALUES ('tinsangmai.news.example', 1), ('larkhavenledger.news.example', 4))
+"""
+_FOUND = "found AS (SELECT url, min(task_id) AS first_task, count(*) AS copies FROM new_url_tasks GROUP BY url)"
+
+
+def _verdicts() -> str:
+    """CTEs up to ``admitted``: every distinct URL with its verdict."""
+    path = f"coalesce(nullif({_path('url')}, ''), '/')"
+    return f"""
+WITH {_RULES}, {_FOUND},
+hosted AS (SELECT *, {_host('url')} AS host, lower({_host('url')}) AS site, {path} AS path FROM found),
+hit AS (SELECT h.url, arg_min(r.kind, r.o) AS kind FROM hosted h JOIN rules r ON r.host = h.site AND regexp_full_match(h.path, r.re) GROUP BY h.url),
+judged AS (SELECT h.url, h.first_task, h.copies, h.host, d.priority, d.last_crawled,
+   CASE WHEN h.url IS NULL OR length({_trim('h.url')}) = 0 THEN 'blank' WHEN coalesce({_scheme('h.url')} NOT IN ('http', 'https', 'ftp', 'file', 'jar', 'mailto'), true) THEN 'malformed'
+        WHEN d.domain IS NULL THEN 'not_whitelisted' WHEN hit.kind = 2 THEN 'robots_blocked' ELSE 'admitted' END AS verdict
+   FROM hosted h LEFT JOIN domains d ON d.domain = h.host LEFT JOIN hit ON hit.url = h.url),
+admitted AS (SELECT *, {_bucket('host', 3)} AS subqueue, priority * 10 + {_bucket('host', 3)} AS queue_key FROM judged WHERE verdict = 'admitted')"""
+
+
+def _front(cursor: int = 0) -> str:
+    """The same with ``front``: turns in the front queues, from slots listed by hand."""
+    slots = {0: ("[0, 1, 2, 3, 4]", "[5, 6, 7]", "[8]"), 4: ("[0, 5, 6, 7, 8]", "[1, 2, 3]", "[4]")}[cursor]
+    return f"""{_verdicts()},
+ranks AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY last_crawled NULLS FIRST, subqueue, url) - 1 AS n FROM admitted),
+front AS (SELECT *, CASE priority WHEN 3 THEN 9 * (n // 5) + {slots[0]}[(n % 5) + 1] WHEN 2 THEN 9 * (n // 3) + {slots[1]}[(n % 3) + 1] WHEN 1 THEN 9 * n + {slots[2]}[1] END AS visit FROM ranks)"""
+
+
+_BACK = f""",
+back AS (SELECT * FROM (SELECT url, host, queue, row_number() OVER (PARTITION BY queue ORDER BY visit NULLS LAST, url) AS place FROM (SELECT url, host, visit, {_bucket('lower(host)', 10)} AS queue FROM front)) WHERE place <= 10000)"""
+
+_RETRY_READY = f"coalesce(retry_count, 0) <= 3 AND (last_attempt IS NULL OR {_AS_OF} - last_attempt >= INTERVAL 5 MINUTE)"
+_TYPED = (
+    "typed AS (SELECT url, status_code AS status, CASE WHEN length(url) % 6 = 0 THEN 'application/json' WHEN length(url) % 7 = 0 THEN NULL ELSE 'text/html; charset=UTF-8' END AS content_type, "
+    "CASE WHEN length(url) % 11 = 0 THEN 6000000 ELSE length(url) * 100 END AS content_length FROM url_metadata), "
+    "outcomes AS (SELECT url, CASE WHEN url IS NULL OR length(" + _trim("url") + ") = 0 THEN 'blank' WHEN content_length > 5242880 THEN 'too_large' WHEN content_type IS NULL THEN 'failed' WHEN content_type NOT LIKE '%html%' THEN 'skipped' "
+    "WHEN status IS NULL OR status <> 200 THEN 'retry' WHEN " + _path("url") + " IN ('', '/') THEN 'home' ELSE 'content' END AS outcome FROM typed)"
+)
+
+
+def _allow(strict: bool) -> str:
+    article = _is_article("u.url")
+    rule = f"CASE WHEN coalesce(coalesce(c.status, m.status_code) <> 200, true) AND coalesce(c.retry_count, m.retry_count, 0) > 3 THEN m.last_attempt IS NULL OR {_AS_OF} - m.last_attempt >= INTERVAL 5 MINUTE ELSE NOT {article} END"
+    known = "CASE WHEN c.id IS NOT NULL OR m.id IS NULL THEN true" if strict else "CASE WHEN c.id IS NULL AND m.id IS NULL THEN true"
+    return f"""
+WITH u AS (SELECT url, sha256({_normal('url')}) AS id FROM (SELECT DISTINCT url FROM new_url_tasks)),
+m AS (SELECT id, arg_max_null(status_code, coalesce(last_attempt, TIMESTAMPTZ '1970-01-01 00:00:00+00')) AS status_code, max(retry_count) AS retry_count, max(last_attempt) AS last_attempt FROM url_metadata GROUP BY id),
+c AS (SELECT id, max(status) AS status, max(retry_count) AS retry_count FROM (SELECT sha256({_normal('url')}) AS id, http_status AS status, retry_count FROM retry_url_tasks WHERE length(url) % 3 = 0) GROUP BY id)
+SELECT u.url, CASE WHEN u.url IS NULL OR length({_trim('u.url')}) = 0 OR {_host('u.url')} IS NULL THEN false ELSE {known} ELSE {rule} END END AS allowed FROM u LEFT JOIN m USING (id) LEFT JOIN c USING (id)"""
+
+
+def _words(x: str) -> str:
+    fold = f"translate(lower({x}), {_quoted(analysis._FROM)}, {_quoted(analysis._TO)})"
+    return rf"' ' || trim(regexp_replace({fold}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
+
+
+_SERIES = "inc AS (SELECT event_type AS metric, date_trunc('second', ts) AS ts, count(*) AS inc FROM events GROUP BY ALL), series AS (SELECT metric, ts, sum(inc) OVER (PARTITION BY metric ORDER BY ts)::BIGINT AS value FROM inc)"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    u = "(SELECT DISTINCT url FROM new_url_tasks WHERE url IS NOT NULL)"
+    phrase = _words("'mùa giải mới'")
+    scored = f"s AS (SELECT id, url, CASE WHEN contains({_words('title')}, {phrase}) THEN 3.0 ELSE 0.0 END + CASE WHEN contains({_words('content')}, {phrase}) THEN 1.0 ELSE 0.0 END AS score FROM contents)"
+    valid = "length(trim(url)) > 0 AND length(trim(title)) > 0 AND length(trim(content)) > 0"
+    robots_path = f"coalesce(nullif({_path('url')}, ''), '/')"
+    new_hosts = ", ".join(f"({_quoted(h)})" for h in fixtures.NEW_HOSTS)
+    embed = "concat_ws(' ', nullif(trim(title), ''), nullif(left(trim(content), 8000), ''))"
+    changes = f"c AS (SELECT domain, priority AS p FROM domains WHERE priority % 2 = 0)"
+    return {
+        "admit_by_host": f"{_verdicts()} SELECT lower(host) AS host, verdict, count(*) AS urls, sum(copies)::BIGINT AS copies FROM judged GROUP BY lower(host), verdict",
+        "admit_counters": f"{_verdicts()} SELECT lower(host) AS host, count(*) FILTER (verdict = 'admitted') AS processed, count(*) FILTER (verdict <> 'admitted') AS rejected FROM judged WHERE verdict <> 'blank' GROUP BY lower(host)",
+        "url_hash_id": f"SELECT url, sha256({_normal('url')}) AS id FROM {u}",
+        "java_bucket": f"SELECT domain, {_hash('domain')} AS hash, {_bucket('domain', 3)} AS of_3, {_bucket('domain', 10)} AS of_10 FROM domains",
+        "article_classify": f"SELECT url, regexp_matches(url, {_EXCLUDED}) AS excluded, regexp_matches(url, {_FILE}) AS file, regexp_matches(url, {_ARTICLE}) AS article_like, {_is_article('url')} AS article FROM {u}",
+        "link_valid": f"SELECT url, {_section('url')} AS section, {_section('url')} AND NOT regexp_matches(url, {_ARTICLE}) AS navigation, coalesce({_path('url')} IN ('', '/'), false) AS home FROM {u}",
+        "front_queue_order": f"{_front()} SELECT url, host, priority, last_crawled, subqueue, queue_key, visit FROM front",
+        "front_queue_cursor": f"{_front(4)} SELECT url, visit FROM front WHERE visit IS NOT NULL",
+        "front_batch": f"{_front()} SELECT url, priority, visit FROM front WHERE visit IS NOT NULL ORDER BY visit LIMIT 50",
+        "back_queue_order": f"{_front()}{_BACK} SELECT url, queue, place, queue AS turn FROM back",
+        "dispatch_batch": f"{_front()}{_BACK} SELECT url, queue, place FROM back ORDER BY place, queue LIMIT 10",
+        "frontier_stats": f"""{_front()}{_BACK}, q AS (SELECT 'front' AS side, queue_key::VARCHAR AS queue, count(*) AS urls FROM admitted GROUP BY ALL UNION ALL SELECT 'back', 'b' || queue, count(*) FROM back GROUP BY ALL)
+SELECT * FROM q UNION ALL SELECT side, NULL, sum(urls)::BIGINT FROM q GROUP BY side UNION ALL SELECT 'all', NULL, coalesce(sum(urls), 0)::BIGINT FROM q UNION ALL SELECT 'hosts', NULL, count(DISTINCT lower(host)) FROM back""",
+        "frontier_empty": f"{_verdicts()} SELECT count(*) = 0 AS empty FROM admitted",
+        "frontier_tick": f"""{_front()}, b AS (SELECT * FROM front WHERE visit IS NOT NULL ORDER BY visit LIMIT 50), q AS (SELECT url, host, visit, {_bucket('lower(host)', 10)} AS queue FROM b),
+p AS (SELECT url, host, queue, row_number() OVER (PARTITION BY queue ORDER BY visit, url) AS place FROM q) SELECT url, host, queue, place, queue AS turn FROM p ORDER BY place, queue LIMIT 10""",
+        "retry_gate": f"SELECT url, CASE WHEN {_RETRY_READY} THEN 'frontier' ELSE 'retry_set' END AS route, count(*) AS messages FROM retry_url_tasks WHERE length({_trim('url')}) > 0 GROUP BY ALL",
+        "retry_drain": f"SELECT DISTINCT url FROM retry_url_tasks WHERE length({_trim('url')}) > 0 AND NOT ({_RETRY_READY}) ORDER BY url LIMIT 5",
+        "robots_verdict": f"""WITH {_RULES}, x AS (SELECT url, lower({_host('url')}) AS host, {robots_path} AS path FROM {u}),
+hit AS (SELECT x.url, arg_min(r.kind, r.o) AS kind FROM x JOIN rules r ON r.host = x.host AND regexp_full_match(x.path, r.re) GROUP BY x.url)
+SELECT x.url, coalesce(hit.kind, 3) AS robots, coalesce(d.delay, 2) AS crawl_delay FROM x LEFT JOIN hit USING (url) LEFT JOIN delays d ON d.host = x.host""",
+        "seeds_active": "SELECT domain, unnest(seed_urls) AS url FROM domains WHERE coalesce(active, false)",
+        "domain_bootstrap": f"SELECT substr(sha256(h), 1, 24) AS id, h AS domain, ['https://' || h] AS seed_urls, NULL::TIMESTAMPTZ AS last_crawled, {_AS_OF} AS create_at, 1 AS priority, true AS active FROM (SELECT DISTINCT trim(v) AS h FROM (VALUES {new_hosts}) t(v)) WHERE h NOT IN (SELECT domain FROM domains)",
+        "domain_update": f"WITH {changes} SELECT d.id, d.domain, CASE WHEN c.p = 2 THEN ['https://' || d.domain || '/new'] ELSE d.seed_urls END AS seed_urls, CASE WHEN c.domain IS NULL THEN d.last_crawled ELSE {_AS_OF} END AS last_crawled, d.create_at, d.priority, CASE WHEN c.p = 2 THEN false ELSE d.active END AS active FROM domains d LEFT JOIN c USING (domain)",
+        "domain_update_strict": f"WITH {changes} SELECT d.domain, CASE WHEN c.p = 2 THEN false WHEN c.domain IS NOT NULL THEN true ELSE d.active END AS active FROM domains d LEFT JOIN c USING (domain)",
+        "recrawl_ticks": f"SELECT t.tick, s.url FROM (SELECT unnest(generate_series({_AS_OF} + INTERVAL 90 SECOND, {_AS_OF} + INTERVAL 2 HOUR, INTERVAL 20 MINUTE)) AS tick) t, (SELECT unnest(seed_urls) AS url FROM domains WHERE coalesce(active, false)) s",
+        "fetch_outcome": f"WITH {_TYPED} SELECT url, outcome, count(*) AS attempts FROM outcomes GROUP BY ALL",
+        "fetch_counters": f"WITH {_TYPED} SELECT lower({_host('url')}) AS host, count(*) FILTER (outcome IN ('home', 'content')) AS fetched, count(*) FILTER (outcome IN ('retry', 'failed', 'too_large')) AS failed FROM outcomes GROUP BY lower({_host('url')})",
+        "redirect_resolve": """WITH u AS (SELECT DISTINCT url FROM retry_url_tasks), m AS (SELECT DISTINCT url FROM retry_url_tasks WHERE http_status = 301)
+SELECT u.url, CASE WHEN m.url IS NULL OR length(u.url) % 3 = 0 THEN u.url WHEN length(u.url) % 3 = 1 THEN u.url || '/2' ELSE u.url || '/1' END AS final_url,
+CASE WHEN m.url IS NULL OR length(u.url) % 3 = 0 THEN 0 WHEN length(u.url) % 3 = 1 THEN 2 ELSE 1 END AS hops,
+CASE WHEN m.url IS NULL THEN 'ok' WHEN length(u.url) % 3 = 0 THEN 'off_host' WHEN length(u.url) % 3 = 1 AND length(u.url) % 2 = 0 THEN 'too_many' ELSE 'ok' END AS result FROM u LEFT JOIN m ON m.url = u.url""",
+        "metadata_fold": f"""WITH a AS (SELECT sha256({_normal('url')}) AS id, {_normal('url')} AS norm, last_attempt AS ts, status_code AS status, raw_html AS html FROM url_metadata WHERE length({_trim('url')}) > 0
+  UNION ALL SELECT sha256({_normal('url')}), {_normal('url')}, last_attempt, http_status, NULL FROM retry_url_tasks WHERE length({_trim('url')}) > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts NULLS FIRST, coalesce(status, -1)) AS n, dense_rank() OVER (PARTITION BY id ORDER BY ts NULLS FIRST, coalesce(status, -1)) AS k FROM a),
+f AS (SELECT id, max(k) FILTER (status = 200) AS good FROM o GROUP BY id)
+SELECT o.id, min(norm) AS url, length(arg_min(html, n) FILTER (html IS NOT NULL)) AS html_chars, md5(arg_min(html, n) FILTER (html IS NOT NULL)) AS html_md5, arg_max_null(status, n) AS status_code,
+count(*) FILTER (f.good IS NULL OR k > f.good)::INT AS retry_count, max(ts) AS last_attempt FROM o JOIN f USING (id) GROUP BY o.id""",
+        "url_allow": _allow(False),
+        "url_allow_strict": _allow(True),
+        "limiter_window": "WITH w AS (SELECT domain AS key, count(*) OVER (PARTITION BY domain ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS n FROM new_url_tasks WHERE domain IS NOT NULL) SELECT key, max(n) AS most_in_window, count(*) FILTER (n > 30) AS held FROM w GROUP BY key",
+        "current_url": "SELECT DISTINCT id, nullif(regexp_extract(raw_html, '<link rel=\"canonical\" href=\"([^\"]*)\"', 1), '') AS canonical FROM url_metadata WHERE status_code = 200 AND raw_html IS NOT NULL",
+        "missing_selectors": f"SELECT DISTINCT lower({_host('url')}) AS domain FROM url_metadata WHERE {_host('url')} IS NOT NULL AND lower({_host('url')}) NOT IN (SELECT lower(domain) FROM content_css_selector WHERE domain IS NOT NULL)",
+        "store_counters": f"SELECT count(DISTINCT url) FILTER ({valid}) AS stored, count(*) FILTER (NOT coalesce({valid}, false)) AS failed FROM contents",
+        "content_upsert": f"""WITH v AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY received_at, id) AS first, row_number() OVER (PARTITION BY url ORDER BY received_at DESC, id DESC) AS last FROM contents WHERE {valid})
+SELECT f.id, l.url, l.title, md5(l.content) AS content_md5, l.author, l.publish_at, true AS is_insert FROM v f JOIN v l ON f.url = l.url AND f.first = 1 AND l.last = 1""",
+        "embed_text": f"SELECT id, md5({embed}) AS text_md5, length({embed}) AS chars FROM contents",
+        "search_keyword_score": f"WITH {scored} SELECT id, url, score::DOUBLE AS score FROM s WHERE score > 0 ORDER BY score DESC, url, id LIMIT 20",
+        "search_semantic": "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1) SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q.q) + 1, 6) AS score FROM embeddings, q WHERE embedding IS NOT NULL ORDER BY list_cosine_similarity(embedding::DOUBLE[], q.q) DESC, vec_id LIMIT 10",
+        "semantic_total": "SELECT count(*) AS total FROM contents WHERE content_embedding IS NOT NULL",
+        "metric_samples": "SELECT event_type AS metric, NULL::VARCHAR AS label, date_trunc('second', ts)::TIMESTAMP AS ts, count(*) AS inc FROM events GROUP BY ALL",
+        "metric_last": "SELECT event_type AS metric, NULL::VARCHAR AS label, count(*) AS value FROM events GROUP BY ALL",
+        "metric_rate": f"""WITH {_SERIES}, g AS (SELECT *, coalesce(value - lag(value) OVER (PARTITION BY metric ORDER BY ts), 0) AS grown, epoch(ts)::BIGINT AS s FROM series)
+SELECT metric, ts::TIMESTAMP AS ts, round((sum(grown) OVER w - first_value(grown) OVER w) / 300.0, 6)::DOUBLE AS rate FROM g WINDOW w AS (PARTITION BY metric ORDER BY s RANGE BETWEEN 300 PRECEDING AND CURRENT ROW)""",
+        "metric_topk": "SELECT event_type AS metric, user_id::VARCHAR AS label, count(*) AS value FROM events GROUP BY ALL ORDER BY value DESC, metric, label LIMIT 10",
+        "metric_sum": "SELECT count(*) AS total FROM events",
+        "token_reduction_models": "SELECT model, content, round((b - a) / nullif(b, 0) * 100, 2)::DOUBLE AS reduction FROM (VALUES ('small', 'a', 1000::DOUBLE, 80::DOUBLE), ('large', 'a', 1100, 90), ('small', 'b', 400, 190), ('large', 'b', 0, 0)) t(model, content, b, a)",
+        "token_pivot": "SELECT * FROM (VALUES ('a', 80::BIGINT, 90::BIGINT), ('b', 190, 0)) t(content, small, large)",
+        "model_matrix": "SELECT * FROM (VALUES ('a', 'title', 'h1', 'h1', 'h1.title'), ('a', 'author', '.author', '.by', '.author'), ('b', 'title', 'h1', NULL, 'h1')) t(content, field, expected, small, large)",
+    }
