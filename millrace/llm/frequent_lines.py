@@ -9,7 +9,7 @@ number of lines of its rows as frequent lines, so they travel as one array per s
 allows, otherwise joined with salted sites (operators/joins.lookup_join). Documents never move and are never regrouped.
 
 Null content gives no row; a null or hostless URL belongs to no site, so nothing in it is frequent; '' stays ''. Lines
-without a letter or digit are never frequent. Repeated rows count as rows. Other columns are kept.
+without a letter or digit are never frequent. Repeated rows count as rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def _keyed(contents: DataFrame) -> DataFrame:
 
 
 def _counted(contents: DataFrame, least_rows: int, share: float) -> tuple[DataFrame, DataFrame]:
-    keyed = cut(_keyed(contents).select("id", F.col("__site").alias("site"), F.col("__keys").alias("keys")))
+    keyed = cut(_keyed(contents.select("id", "url", "content")).select("id", F.col("__site").alias("site"), F.col("__keys").alias("keys")))
     return keyed, frequent_lines(keyed, least_rows, share)
 
 
@@ -61,11 +61,12 @@ def frequent_positions(contents: DataFrame, least_rows: int = LEAST_ROWS, share:
 
 
 def without_frequent_lines(contents: DataFrame, least_rows: int = LEAST_ROWS, share: float = SHARE) -> DataFrame:
-    """The rows with content, content without its site's frequent lines, and ``lines_removed``."""
+    """(id, url, content, lines_removed): the rows with content, without their site's frequent lines."""
+    contents = contents.select("id", "url", "content")
     _, frequent = _counted(contents, least_rows, share)
     rows = lookup_join(_keyed(contents).withColumnRenamed("__site", "__of"), frequent.select(F.col("site").alias("__of"), F.col("frequent").alias("__frequent")), ["__of"])
     lines = F.arrays_zip(F.split("content", "\n").alias("line"), F.col("__keys").alias("key"))
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__frequent", x["key"]), F.lit(False)))
     rows = rows.withColumn("__kept", F.transform(kept, lambda x: x["line"]))
     removed = (F.size(F.split("content", "\n")) - F.size("__kept")).alias("lines_removed")
-    return rows.select(*[F.array_join("__kept", "\n").alias(c) if c == "content" else c for c in contents.columns], removed)
+    return rows.select("id", "url", F.array_join("__kept", "\n").alias("content"), removed)
