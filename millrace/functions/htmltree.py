@@ -231,16 +231,19 @@ def render(root: Node) -> str:
     """The page as text: a line for each block, list entries marked and indented by depth, the cells of a table row side by side."""
     lines: list[str] = []
     row: Node | None = None
+    table: Node | None = None
     for b in blocks(root):
         chain = [b.node, *b.node.ancestors()]
-        cell_row = next((n for n in chain if n.tag == "tr"), None)
-        depth = sum(n.tag in ("ul", "ol") for n in chain)
-        if b.node.tag in ("td", "th") and cell_row is not None and cell_row is row:
+        in_cell = b.node.tag in ("td", "th")
+        this_row = next((n for n in chain if n.tag == "tr"), None) if in_cell else None
+        this_table = next((n for n in chain if n.tag == "table"), None)
+        if this_row is not None and this_row is row:
             lines[-1] += "\t" + b.text
             continue
-        row = cell_row if b.node.tag in ("td", "th") else None
-        if b.node.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "table") and lines:
+        if lines and (b.node.tag in ("h1", "h2", "h3", "h4", "h5", "h6") or this_table is not table):
             lines.append("")
+        row, table = this_row, this_table
+        depth = sum(n.tag in ("ul", "ol") for n in chain)
         lines.append("  " * max(0, depth - 1) + "- " + b.text if b.node.tag == "li" else b.text)
     return "\n".join(lines)
 
