@@ -57,6 +57,8 @@ _PASSAGE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|\n+|(?:</?[a-zA-Z][^<>
 _APART = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .*_-])[^\W\d_](?![^\W_])){2,}")
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _MIXED = re.compile(r"(?<![^\s\"'(“«])(?=[^\s]*[^\W\d_])(?=[^\s]*[\d@$!])[^\W_][\w@$!]*[^\W_]|[@$][\w@$!]*[^\W\d_][\w@$!]*")
+_MAYBE_APART = re.compile(r"\b\w[ .*_-]\w[ .*_-]")
+_MAYBE_MIXED = re.compile(r"[^\W\d_][\d@$!]|[\d@$!][^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]+(?:[*'’][^\W\d_]*)*|\d[\d.,]*")
 
 
@@ -64,25 +66,23 @@ def passages(text: str | None) -> list[str]:
     return [p for p in (q.strip() for q in _PASSAGE.split(text)) if p] if text else []
 
 
-def pieces(text: str | None) -> list[str]:
-    """What is scored of a text: its passages, and of long ones also overlapping windows, as an insult may be appended without a full stop."""
-    out = []
-    for p in passages(text):
-        out.append(p)
-        ws = p.split()
-        if len(ws) > WINDOW + WINDOW // 3:
-            out += [" ".join(ws[k : k + WINDOW]) for k in range(0, len(ws) - WINDOW // 2, WINDOW // 2)]
-    return out
-
-
 def words(passage: str) -> list[str]:
     """Words of a passage in lower case with accents; numbers are '#'."""
     t = looks.key(passage)
-    t = _APART.sub(lambda m: re.sub(r"[ .*_-]", "", m[0]), t)
-    t = _MIXED.sub(lambda m: m[0].translate(_LEET) if sum(c.isalpha() for c in m[0]) * 2 >= len(m[0]) else m[0], t)
+    if _MAYBE_APART.search(t):
+        t = _APART.sub(lambda m: re.sub(r"[ .*_-]", "", m[0]), t)
+    if _MAYBE_MIXED.search(t):
+        t = _MIXED.sub(lambda m: m[0].translate(_LEET) if sum(c.isalpha() for c in m[0]) * 2 >= len(m[0]) else m[0], t)
     return ["#" if w[0].isdigit() else w for w in _WORD.findall(t)]
 
 
+def windows(n: int) -> list[tuple[int, int]]:
+    """What is scored of a passage of n words: all of it, and of a long one also overlapping windows, as an insult may be appended without a full stop."""
+    if n <= WINDOW + WINDOW // 3:
+        return [(0, n)]
+    return [(0, n), *((k, min(n, k + WINDOW)) for k in range(0, n - WINDOW // 2, WINDOW // 2))]
+
+
 def word_features(word: str) -> list[str]:
     """The word without accents, its n-grams of 3 to 5 letters, and the accented word if it has accents."""
     if word == "#":
@@ -99,57 +99,67 @@ class Model:
     """Numbers per feature and class; a passage's logits are their mean over its features, plus the classes' own."""
 
     def __init__(self, vocabulary: dict[str, int], table: np.ndarray, bias: np.ndarray) -> None:
-        self.vocabulary, self.table, self.bias = vocabulary, table.astype(np.float32), bias.astype(np.float32)
-        self._words: dict[str, tuple[np.ndarray, int]] = {}
+        self.__setstate__((vocabulary, table.astype(np.float32), bias.astype(np.float32)))
 
     def __getstate__(self) -> tuple:
         return self.vocabulary, self.table, self.bias
 
     def __setstate__(self, state: tuple) -> None:
         self.vocabulary, self.table, self.bias = state
-        self._words = {}
-
-    def _word(self, w: str) -> tuple[np.ndarray, int]:
-        known = self._words.get(w)
-        if known is None:
+        self._known: dict[str, int] = {}
+        self._bare: list[str] = []
+        self._sums: list[np.ndarray] = []
+        self._counts: list[int] = []
+
+    def _word(self, w: str) -> int:
+        """The number under which a word's sum is kept."""
+        k = self._known.get(w)
+        if k is None:
             f = word_features(w)
             ids = [i for x in f if (i := self.vocabulary.get(x)) is not None]
-            known = self.table[ids].sum(0) if ids else np.zeros(self.table.shape[1], np.float32), len(f)
-            if len(self._words) > 200_000:
-                self._words.clear()
-            self._words[w] = known
-        return known
-
-    def probabilities(self, batch: Sequence[str]) -> np.ndarray:
-        """(passages x classes)."""
-        sums = np.zeros((len(batch), self.table.shape[1]), np.float32)
-        n = np.ones(len(batch), np.float32)
-        pair_at, pair_id = [], []
-        rows, counts, owner = [], [], []
+            k = self._known[w] = len(self._bare)
+            self._bare.append(looks.unaccented(w))
+            self._sums.append(self.table[ids].sum(0) if ids else np.zeros(self.table.shape[1], np.float32))
+            self._counts.append(len(f))
+        return k
+
+    def probabilities(self, batch: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(windows x classes) and the passage of each window, from running sums over all words of the batch."""
+        if len(self._known) > 200_000:
+            self.__setstate__(self.__getstate__())
+        ids: list[int] = []
+        pairs: list[int] = []
+        low, high, owner = [], [], []
         for k, p in enumerate(batch):
-            ws = words(p)
-            for w in ws:
-                s, c = self._word(w)
-                rows.append(s)
-                counts.append(c)
+            own = [self._word(w) for w in words(p)]
+            at = len(ids)
+            for a, b in windows(len(own)):
+                low.append(at + a)
+                high.append(at + b)
                 owner.append(k)
-            bare = [looks.unaccented(w) for w in ws]
-            for a, b in zip(bare, bare[1:]):
-                i = self.vocabulary.get(f"{a} {b}")
-                if i is not None:
-                    pair_at.append(k)
-                    pair_id.append(i)
-            n[k] = max(1, len(ws) - 1)
-        if rows:
-            o = np.asarray(owner)
-            starts = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
-            sums[o[starts]] = np.add.reduceat(np.asarray(rows), starts, axis=0)
-            n[o[starts]] += np.add.reduceat(np.asarray(counts, np.float32), starts)
-        if pair_at:
-            np.add.at(sums, np.asarray(pair_at), self.table[np.asarray(pair_id)])
-        z = sums / n[:, None] + self.bias
+            bare = [self._bare[i] for i in own]
+            get = self.vocabulary.get
+            pairs += [get(f"{a} {b}", -1) for a, b in zip(bare, bare[1:])]
+            pairs += [-1] * (len(own) > 0)
+            ids += own
+        lo, hi = np.asarray(low, np.int64), np.asarray(high, np.int64)
+        n_classes = self.table.shape[1]
+        if ids:
+            i, j = np.asarray(ids), np.asarray(pairs)
+            # double precision, as windows are differences of running sums
+            word = np.cumsum(np.asarray(self._sums, np.float64)[i], axis=0)
+            pair = np.cumsum(np.where(j[:, None] >= 0, self.table[j], 0).astype(np.float64), axis=0)
+            count = np.cumsum(np.asarray(self._counts)[i])
+            zero = np.zeros((1, n_classes))
+            word, pair, count = np.r_[zero, word], np.r_[zero, pair], np.r_[0, count]
+            inner = np.maximum(hi - 1, lo)  # a window's last word has no pair in it
+            sums = word[hi] - word[lo] + pair[inner] - pair[lo]
+            n = count[hi] - count[lo] + np.maximum(hi - lo - 1, 0)
+        else:
+            sums, n = np.zeros((len(lo), n_classes)), np.zeros(len(lo))
+        z = sums / np.maximum(n, 1)[:, None] + self.bias
         e = np.exp(z - z.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
+        return e / e.sum(1, keepdims=True), np.asarray(owner, np.int64)
 
 
 def _features(passage: str) -> list[str]:
@@ -320,14 +330,16 @@ def scores(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, thresh
             batch: list[str] = []
             owner: list[int] = []
             for k, text in enumerate(b["text"]):
-                for p in pieces(text):
-                    batch.append(p)
-                    owner.append(k)
+                found = passages(text)
+                batch += found
+                owner += [k] * len(found)
                 if len(batch) >= 4000 or k == len(b) - 1 and batch:
-                    p = m.probabilities(batch)
-                    for j, (o, bad) in enumerate(zip(owner, 1 - p[:, 0])):
-                        if bad > worst[o]:
-                            worst[o], kind[o] = bad, 1 + p[j, 1:].argmax()
+                    p, passage = m.probabilities(batch)
+                    document, bad = np.asarray(owner)[passage], 1 - p[:, 0]
+                    by = np.lexsort((-bad, document))
+                    first = by[np.r_[True, document[by][1:] != document[by][:-1]]]
+                    at, more = document[first], bad[first] > worst[document[first]]
+                    worst[at[more]], kind[at[more]] = bad[first][more], 1 + p[first][more, 1:].argmax(1)
                     batch, owner = [], []
             label = np.where(worst >= threshold, np.array(CLASSES, object)[kind], CLASSES[0])
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "score": worst, "label": label})

@@ -1,5 +1,4 @@
 import numpy as np
-import pandas as pd
 import pytest
 
 from millrace.llm import abuse, mixing, neighbours, packing, tokens
@@ -161,4 +160,4 @@ def test_abuse_on_held_out_rows(spark):
 def test_words():
     assert abuse.words("SHUT 1d1ot, i d i o t s.c.u.m l**er 12.5") == ["shut", "idiot", "idiot", "scum", "l**er", "#"]
     assert abuse.passages("a. b<br>c\n\nd!") == ["a.", "b", "c", "d!"] and abuse.passages(None) == []
-    assert isinstance(pd.Series(abuse.pieces("w " * 40)), pd.Series)
+    assert abuse.windows(16) == [(0, 16)] and abuse.windows(20) == [(0, 20), (0, 12), (6, 18), (12, 20)] and abuse.windows(0) == [(0, 0)]
