@@ -54,7 +54,7 @@ TRAIN_CHARS = 100_000
 _SEED = 11
 
 _PASSAGE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|\n+|(?:</?[a-zA-Z][^<>]{0,200}>)+")
-_APART = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .*_-])[^\W\d_](?![^\W_])){2,}")
+_APART = re.compile(r"(?<![^\W_])[^\W\d_]([ .*_-])[^\W\d_](?:\1[^\W\d_](?![^\W_]))+")
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _MIXED = re.compile(r"(?<![^\s\"'(“«])(?=[^\s]*[^\W\d_])(?=[^\s]*[\d@$!])[^\W_][\w@$!]*[^\W_]|[@$][\w@$!]*[^\W\d_][\w@$!]*")
 _MAYBE_APART = re.compile(r"\b\w[ .*_-]\w[ .*_-]")
@@ -309,7 +309,7 @@ def model(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = lookup_join(documents.where(F.length("text").between(1, TRAIN_CHARS)).select("doc_id", "text"), chosen, ["doc_id"], "inner").dropDuplicates(["doc_id"])
     rows = sorted(texts.collect(), key=lambda r: r.doc_id)
-    usable = documents.where(F.length("text").between(1, TRAIN_CHARS)).select("doc_id", "text", F.xxhash64("doc_id", F.lit(1)).alias("h"))
+    usable = documents.where(F.col("doc_id").isNotNull() & F.length("text").between(1, TRAIN_CHARS)).select("doc_id", "text", F.xxhash64("doc_id", F.lit(1)).alias("h"))
     last = usable.select("h").orderBy("h").limit(UNLABELLED + len(rows)).agg(F.max("h")).first()[0]
     extra = sorted(usable.where(F.col("h") <= F.lit(last if last is not None else 0)).select("doc_id", "text").limit(UNLABELLED + len(rows)).collect(), key=lambda r: r.doc_id)
     known = {r.doc_id for r in rows}

@@ -10,9 +10,10 @@ itself. Only first arrivals per partition, at most one row a key and partition,
 key's fingerprints, so a key with a third of all rows sends no more than others. There the known keys come first, then
 tasks in order. What a task holds is the filter, about 6 bytes a distinct key, not the keys.
 
-An answer is wrong only if two keys share a fingerprint ("seen" for a new key, never the reverse): about n / 2**bits a
-question with n keys held. The operator gives n with each answer, so the expected rate can be summed and compared with
-the exact one (error_rates).
+An answer is wrong only if two keys share a fingerprint ("seen" for a new key, never the reverse). Partitions are made by
+fingerprint, so it doesn't matter which of them holds a key: of d new keys that meet k known ones,
+d - m * ((1 - 1/m)**k - (1 - 1/m)**(k + d)) with m = 2**bits are expected to be wrong. error_rates compares this with
+what exact answers show.
 
 Null and blank URLs are no keys: their answer is null. Rows with the same task id don't count as earlier to each other.
 Empty tables give no rows; other columns are ignored.
@@ -132,21 +133,20 @@ class GrowingFilter:
                 last = self.parts.pop()
                 self.parts[-1] = merge(self.parts[-1], last)
 
-    def ask(self, fingerprints: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(seen, keys held) for a batch in order of arrival; then the batch is in the filter. Equal ``order`` isn't earlier."""
+    def ask(self, fingerprints: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """Whether each of a batch in order of arrival was seen; then the batch is in the filter. Equal ``order`` isn't earlier."""
         if not len(fingerprints):
-            return np.zeros(0, bool), np.zeros(0, np.int64)
+            return np.zeros(0, bool)
         distinct, first, where = np.unique(fingerprints, return_index=True, return_inverse=True)
         known = self.contains(distinct)
         seen = known[where] | (order > order[first][where])
         if self.last is not None and order[0] == self.last:  # the order's rows began in the batch before
             seen &= ~((order == self.last) & np.isin(fingerprints, self.last_new))
-        held = np.full(len(fingerprints), len(self), np.int64)
         fresh = distinct[~known]
         same = self.last_new if order[-1] == self.last else np.empty(0, np.uint64)
         self.last, self.last_new = order[-1], np.concatenate([same, fresh[order[first][~known] == order[-1]]])
         self.add(fresh)
-        return seen, held
+        return seen
 
 
 def _fingerprint(url: F.Column, bits: int) -> F.Column:
@@ -155,23 +155,19 @@ def _fingerprint(url: F.Column, bits: int) -> F.Column:
 
 
 def seen_before(tasks: DataFrame, known: DataFrame, bits: int = BITS) -> DataFrame:
-    """(task_id, seen, keys_held): whether each task's URL is among ``known.url`` or those of tasks with a smaller task_id.
-
-    ``keys_held``: keys in the filters that gave the answer; ``seen`` is null for null and blank URLs.
-    """
+    """(task_id, seen): whether each task's URL is among ``known.url`` or those of tasks with a smaller task_id; null for null and blank URLs."""
     asked = tasks.select("task_id", _fingerprint(F.col("url"), bits).alias("f"))
 
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = GrowingFilter(bits)
         for b in batches:
-            seen, held = kept.ask(b["f"].to_numpy().astype(np.uint64), b["task_id"].to_numpy())
-            yield pd.DataFrame({"task_id": b["task_id"], "f": b["f"], "seen": seen, "held": held})
+            yield pd.DataFrame({"task_id": b["task_id"], "f": b["f"], "seen": kept.ask(b["f"].to_numpy().astype(np.uint64), b["task_id"].to_numpy())})
 
-    local = asked.where("f is not null").sortWithinPartitions("task_id").mapInPandas(within, "task_id long, f long, seen boolean, held long")
+    local = asked.where("f is not null").sortWithinPartitions("task_id").mapInPandas(within, "task_id long, f long, seen boolean")
     # rows that are answered travel by their id, so that a frequent key meets no single task
     route = F.when(F.col("seen"), F.xxhash64("task_id")).otherwise(F.col("f"))
-    everything = local.select("task_id", "f", "seen", "held", route.alias("route"), F.lit(1).alias("origin")).unionByName(
-        known.select(F.lit(None).cast("long").alias("task_id"), _fingerprint(F.col("url"), bits).alias("f"), F.lit(False).alias("seen"), F.lit(0).cast("long").alias("held"), F.lit(0).alias("origin")).where("f is not null").distinct().withColumn("route", F.col("f"))
+    everything = local.select("task_id", "f", "seen", route.alias("route"), F.lit(1).alias("origin")).unionByName(
+        known.select(F.lit(None).cast("long").alias("task_id"), _fingerprint(F.col("url"), bits).alias("f"), F.lit(False).alias("seen"), F.lit(0).alias("origin")).where("f is not null").distinct().withColumn("route", F.col("f"))
     )
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,16 +178,13 @@ def seen_before(tasks: DataFrame, known: DataFrame, bits: int = BITS) -> DataFra
                 f = np.unique(b["f"].to_numpy()[stored].astype(np.uint64))
                 kept.add(f[~kept.contains(f)])
             b = b[~stored]
-            seen, held = b["seen"].to_numpy().copy(), b["held"].to_numpy().copy()
+            seen = b["seen"].to_numpy(bool).copy()
             open_ = np.flatnonzero(~seen)
-            if len(open_):
-                s, h = kept.ask(b["f"].to_numpy()[open_].astype(np.uint64), b["task_id"].to_numpy()[open_])
-                seen[open_] = s
-                held[open_] += h
-            yield pd.DataFrame({"task_id": b["task_id"].astype("int64"), "seen": seen, "keys_held": held})
-
-    answered = everything.repartition("route").sortWithinPartitions("origin", "task_id").select("task_id", "f", "seen", "held", "origin").mapInPandas(across, "task_id long, seen boolean, keys_held long")
-    blank = asked.where("f is null").select("task_id", F.lit(None).cast("boolean").alias("seen"), F.lit(0).cast("long").alias("keys_held"))
+            seen[open_] = kept.ask(b["f"].to_numpy()[open_].astype(np.uint64), b["task_id"].to_numpy()[open_])
+            yield pd.DataFrame({"task_id": b["task_id"].astype("int64"), "seen": seen})
+
+    answered = everything.repartition("route").sortWithinPartitions("origin", "task_id").select("task_id", "f", "seen", "origin").mapInPandas(across, "task_id long, seen boolean")
+    blank = asked.where("f is null").select("task_id", F.lit(None).cast("boolean").alias("seen"))
     return answered.unionByName(blank)
 
 
@@ -207,19 +200,21 @@ def exact(tasks: DataFrame, known: DataFrame) -> DataFrame:
 def error_rates(tasks: DataFrame, known: DataFrame, widths: tuple[int, ...] = (20, 28, BITS)) -> DataFrame:
     """(bits, asked, seen, wrong, missed, wrong_rate, expected_wrong): measured against exact answers, for fingerprints of several widths.
 
-    ``wrong``: new keys taken for seen ones, ``missed``: the reverse; ``expected_wrong``: sum of keys held / 2**bits over the keys that are new.
+    ``wrong``: new keys taken for seen ones, ``missed``: the reverse; ``expected_wrong`` is derived from the numbers of keys.
     """
     truth = exact(tasks, known)
+    stored = known.select(urls.normal_form(F.col("url")).alias("u")).where("u is not null").agg(F.count_distinct("u").alias("k"))
     out = None
     for bits in widths:
         both = seen_before(tasks, known, bits).where("seen is not null").join(truth, "task_id")
         row = both.agg(
-            F.lit(bits).alias("bits"),
-            F.count("*").alias("asked"),
-            F.count_if("seen").alias("seen"),
-            F.count_if(F.col("seen") & ~F.col("truly_seen")).alias("wrong"),
-            F.count_if(~F.col("seen") & F.col("truly_seen")).alias("missed"),
-            F.coalesce(F.sum(F.when(~F.col("truly_seen"), F.col("keys_held").cast("double"))) / F.lit(float(2**bits)), F.lit(0.0)).alias("expected_wrong"),
-        )
+            F.count("*").alias("asked"), F.count_if("seen").alias("seen"), F.count_if(~F.col("truly_seen")).alias("d"),
+            F.count_if(F.col("seen") & ~F.col("truly_seen")).alias("wrong"), F.count_if(~F.col("seen") & F.col("truly_seen")).alias("missed"),
+        )
+        # one row each
+        row = row.join(F.broadcast(stored)).withColumn("bits", F.lit(bits))
+        m, step = float(2**bits), F.log1p(F.lit(-(2.0**-bits)))
+        expected = F.col("d") + m * F.exp(F.col("k") * step) * F.expm1(F.col("d") * step)
+        row = row.withColumn("expected_wrong", F.greatest(expected, F.lit(0.0)))
         out = row if out is None else out.unionByName(row)
     return out.select("bits", "asked", "seen", "wrong", "missed", (F.col("wrong") / F.greatest("asked", F.lit(1))).alias("wrong_rate"), "expected_wrong")

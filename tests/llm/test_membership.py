@@ -35,7 +35,7 @@ def test_order_over_batches(batch):
     got = []
     for k in range(0, len(rows), batch):
         part = rows[k : k + batch]
-        got += g.ask(np.array([f for _, f in part], np.uint64), np.array([t for t, _ in part]))[0].tolist()
+        got += g.ask(np.array([f for _, f in part], np.uint64), np.array([t for t, _ in part])).tolist()
     assert got == [any(u == f and s < t for s, u in rows) for t, f in rows]
 
 
