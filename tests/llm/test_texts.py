@@ -90,7 +90,7 @@ def page(k, notice=True, layout=0):
     body = "".join(f"<p>In town {k} the council said that part {j} of plan {k * 7 + j} was delayed by rain.</p>" for j in range(3))
     note = f"<p class=share>Follow Courier for {k} stories</p>" if notice else ""
     if layout:
-        return f"<title>Story {k} of town | Courier</title><div id=top>Home · Local</div><h1>Story {k} of town</h1><div id=text><span class=author>By Ann Lee</span><br>First part of {k} was told.<br><br>Second part of {k} followed.<br>Follow Courier for {k} stories</div><div id=right>Story {k + 1} of town<br>Teaser text of {k} stands here.</div>"
+        return f"<title>Story {k} of town | Courier</title><div id=top>Home · Local</div><h1>Story {k} of town</h1><div id=text><span class=author>By Ann Lee</span><br>First {heading(k)[-10:]} was told.<br><br>Second {heading(k)[-10:]} followed.<br>Follow Courier for {k} stories</div><div id=right>Story {k + 1} of town<br>Teaser text of {k} stands here.</div>"
     return f"<title>Story {k} of town | Courier</title><nav><a href=/>Home</a></nav><article><h1>Story {k} of town</h1><p class=author>Ann Lee</p>{body}<aside class=inline><p>See also: Story {k + 3} of town</p></aside><h2>{heading(k)}</h2>{note}</article><aside><p>Other news of town {k} is told here.</p></aside><section id=comments><p>Thanks, great piece {k}.</p></section><footer><p>Courier Media, company {k}.</p></footer>"
 
 
@@ -104,7 +104,7 @@ def test_main_body(spark):
         if r.paragraph not in got.setdefault(r.id, []):
             got[r.id].append(r.paragraph)
     assert got["p1"] == [f"In town 1 the council said that part {j} of plan {7 + j} was delayed by rain." for j in range(3)] + [heading(1)]
-    assert got["p3"] == ["First part of 3 was told.", "Second part of 3 followed."]
+    assert got["p3"] == [f"First {heading(3)[-10:]} was told.", f"Second {heading(3)[-10:]} followed."]
     assert got["c1"] == ["In town 1 the council said that part 0 of plan 7 was delayed by rain.", "A view of bbbx river"]
     assert got["broken"] == ["This one sentence is the whole body of it."]
     assert not {"null", "list", "err", "c2", "c3"} & set(got)
