@@ -86,8 +86,12 @@ def heading(k):
     return f"A view of {chr(97 + k % 26) * 3}{chr(120 - k // 26)} river"
 
 
+def sentence(k, j):
+    return f"In town {k} the {'council mayor clerk'.split()[j]} of {heading(k)[-10:]} said that part {j} was delayed by rain."
+
+
 def page(k, notice=True, layout=0):
-    body = "".join(f"<p>In town {k} the council said that part {j} of plan {k * 7 + j} was delayed by rain.</p>" for j in range(3))
+    body = "".join(f"<p>{sentence(k, j)}</p>" for j in range(3))
     note = f"<p class=share>Follow Courier for {k} stories</p>" if notice else ""
     if layout:
         return f"<title>Story {k} of town | Courier</title><div id=top>Home · Local</div><h1>Story {k} of town</h1><div id=text><span class=author>By Ann Lee</span><br>First {heading(k)[-10:]} was told.<br><br>Second {heading(k)[-10:]} followed.<br>Follow Courier for {k} stories</div><div id=right>Story {k + 1} of town<br>Teaser text of {k} stands here.</div>"
@@ -98,14 +102,14 @@ def test_main_body(spark):
     rows = [(f"p{k}", f"https://courier.example/{k}", page(k, layout=k % 3 == 0), 200) for k in range(60)]
     rows += [("null", None, None, 200), ("list", "https://courier.example/", "<title>Courier</title><ul class=list><li><a href=/1>Story 1 of town</a><p>Teaser of one stands here.</p></ul>", 200), ("err", "https://courier.example/x", page(1), 404), rows[1], ("broken", "u", "<h1>Headline<p>This one sentence is the whole body of it.", 200)]
     pages = spark.createDataFrame([(*r, 0) for r in rows], "id string, url string, raw_html string, status_code int, position int")
-    stored = contents(spark, [("c1", "https://courier.example/1", "Story 1 of town", "Story 1 of town\nFollow Courier for 99 stories\nIn town 1 the council said that part 0 of plan 7 was delayed by rain.\n\nA view of bbbx river\nSee also: Story 9 of town\nThanks, great piece 5.\nAnn Lee", "Ann Lee"), ("c2", None, None, None, None), ("c3", None, None, "", None)])
+    stored = contents(spark, [("c1", "https://courier.example/1", "Story 1 of town", f"Story 1 of town\nFollow Courier for 99 stories\n{sentence(1, 0)}\n\nA view of bbbx river\nSee also: Story 9 of town\nThanks, great piece 5.\nAnn Lee", "Ann Lee"), ("c2", None, None, None, None), ("c3", None, None, "", None)])
     got = {}
     for r in main_body.main_paragraphs(pages, stored, with_text=True).orderBy("id", "position").collect():
         if r.paragraph not in got.setdefault(r.id, []):
             got[r.id].append(r.paragraph)
-    assert got["p1"] == [f"In town 1 the council said that part {j} of plan {7 + j} was delayed by rain." for j in range(3)] + [heading(1)]
+    assert got["p1"] == [sentence(1, j) for j in range(3)] + [heading(1)]
     assert got["p3"] == [f"First {heading(3)[-10:]} was told.", f"Second {heading(3)[-10:]} followed."]
-    assert got["c1"] == ["In town 1 the council said that part 0 of plan 7 was delayed by rain.", "A view of bbbx river"]
+    assert got["c1"] == [sentence(1, 0), "A view of bbbx river"]
     assert got["broken"] == ["This one sentence is the whole body of it."]
     assert not {"null", "list", "err", "c2", "c3"} & set(got)
     import hashlib
