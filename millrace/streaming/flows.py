@@ -29,11 +29,11 @@ def workspace(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
-    """Run a streaming query over all available input and return what it wrote."""
+def run_available(stream: DataFrame, mode: str = "append", folder: str | None = None, once: bool = False) -> DataFrame:
+    """Run a streaming query over all available input, or with ``once`` one micro-batch (for state with a time to live), and return what it wrote."""
     spark = stream.sparkSession
     folder = folder or workspace(spark)
-    writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(**({"once": True} if once else {"availableNow": True}))
     if mode == "append":
         writer.format("parquet").option("path", f"{folder}/table").outputMode("append").start().awaitTermination()
     else:

@@ -37,7 +37,7 @@ def test_host_counters_match_the_batch_form(spark, tmp_path):
 
 def test_status_cache(spark, tmp_path):
     df = spark.createDataFrame([("https://a/x", 500, datetime(2024, 1, 1, 1)), ("https://A/x/", 404, datetime(2024, 1, 1, 2)), (None, 200, None)], "url string, status int, ts timestamp")
-    out = flows.run_available(flows.cached_status(stream_of(spark, df, tmp_path / "in", 1)), mode="update", folder=str(tmp_path / "q"))
+    out = flows.run_available(flows.cached_status(stream_of(spark, df, tmp_path / "in", 1)), mode="update", folder=str(tmp_path / "q"), once=True)
     assert [(r.status, r.retry_count, r.known_before) for r in out.collect()] == [(404, 2, False)]
 
 
