@@ -229,16 +229,14 @@ def nearest(df: DataFrame, k: int = K, least: float = LEAST, id_col: str = "id",
 def _blocks(pairs: DataFrame, block: int) -> DataFrame:
     """(row, block): rows that reach the same smallest row in two steps over candidates share a block, split if it has more than ``block`` rows."""
     lead = pairs.groupBy("row").agg(F.least(F.min("other"), F.col("row")).alias("lead"))
-    links = pairs.unionByName(pairs.select(F.col("other").alias("row"), F.col("row").alias("other")))
-    both = links.select("row", "other").groupBy("row", "other").agg(F.lit(1).alias("x"))
     for _ in range(2):
         far = lead.select(F.col("row").alias("other"), F.col("lead").alias("far"))
-        reached = both.join(far, "other").groupBy("row").agg(F.min("far").alias("far"))
+        reached = pairs.join(far, "other").groupBy("row").agg(F.min("far").alias("far"))
         lead = cut(lead.join(reached, "row", "left").select("row", F.least("lead", "far").alias("lead")))
     large = lead.groupBy("lead").count().where(F.col("count") > block).select("lead", F.ceil(F.col("count") / block).cast("int").alias("parts"))
     split = lookup_join(lead, large, ["lead"])
     part = F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0))
-    return split.select("row", F.concat_ws("-", F.col("lead").cast("string"), part.cast("string")).alias("block"))
+    return split.select("row", F.xxhash64("lead", part).alias("block"))  # a clash of hashes only puts two blocks into one
 
 
 def _with_copies(verified: DataFrame, members: DataFrame, groups: DataFrame, k: int) -> DataFrame:
