@@ -174,7 +174,7 @@ def _forest_candidates(strings: DataFrame, trees: int, least: float) -> DataFram
     most = int(np.arccos(max(-1.0, least - SLACK)) / np.pi * SKETCH)
     spread = strings.select("row", "sketch", F.posexplode("strings").alias("tree", "string"))
     ordered = spread.repartitionByRange("tree", "string", "row").sortWithinPartitions("tree", "string", "row").select("tree", "row", "sketch")
-    return ordered.mapInPandas(walk, "row long, other long, apart long")
+    return ordered.mapInPandas(walk, "row long, other long, apart int")
 
 
 def nearest(df: DataFrame, k: int = K, least: float = LEAST, id_col: str = "id", vector_col: str = "content_embedding", dim: int = DIM, trees: int = TREES, block: int = BLOCK) -> DataFrame:
@@ -194,8 +194,9 @@ def nearest(df: DataFrame, k: int = K, least: float = LEAST, id_col: str = "id",
     groups = cut(described.groupBy("copy").agg(F.min("id").alias("id"), F.first("strings").alias("strings"), F.first("sketch").alias("sketch")).withColumn("row", F.monotonically_increasing_id()))
 
     found = _forest_candidates(groups, trees, least)
-    per_row = Window.partitionBy("row").orderBy("apart", "other")
-    pairs = cut(found.groupBy("row", "other").agg(F.min("apart").alias("apart")).withColumn("n", F.row_number().over(per_row)).where(F.col("n") <= CANDIDATES).select("row", "other"))
+    # two rows are equally far apart in every tree, so a set has each candidate once; at most trees x PER_TREE of them
+    best = F.slice(F.array_sort(F.collect_set(F.struct("apart", "other"))), 1, CANDIDATES)
+    pairs = cut(found.groupBy("row").agg(best.alias("best")).select("row", F.explode("best").alias("b")).select("row", "b.other"))
 
     blocks = _blocks(pairs, block)
     rows = blocks.select("row", "block", F.lit(True).alias("own"))
