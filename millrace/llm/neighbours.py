@@ -228,7 +228,7 @@ def nearest(df: DataFrame, k: int = K, least: float = LEAST, id_col: str = "id",
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"row": [], "other": [], "similarity": []})
 
     verified = cut(seated.groupBy("block").applyInPandas(compare, "row long, other long, similarity double"))
-    return _with_copies(verified, vectors.select("id", "copy").distinct(), groups.select("row", "copy"), k)
+    return _with_copies(verified, cut(vectors.select("id", "copy").distinct()), groups.select("row", "copy"), k)
 
 
 def _blocks(pairs: DataFrame, block: int) -> DataFrame:
@@ -247,7 +247,7 @@ def _blocks(pairs: DataFrame, block: int) -> DataFrame:
 def _with_copies(verified: DataFrame, members: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     """Neighbours of all rows from those of the distinct vectors."""
     # of a group only its first k + 1 ids can be anybody's nearest; found by partial aggregation, as a group may be large
-    firsts = members.groupBy("copy").agg(F.count("*").alias("size")).join(_smallest(members, k + 1), "copy").join(groups, "copy").select("row", "copy", "size", "ids")
+    firsts = cut(members.groupBy("copy").agg(F.count("*").alias("size")).join(_smallest(members, k + 1), "copy").join(groups, "copy").select("row", "copy", "size", "ids"))
     single = firsts.where("size = 1").select(F.col("ids")[0].alias("id"), "row")
     several = firsts.where("size > 1")
     all_rows = single.unionByName(lookup_join(members, several.select("copy", "row"), ["copy"], "inner").select("id", "row"))
