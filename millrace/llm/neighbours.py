@@ -45,7 +45,7 @@ TREES = 32
 SYMBOLS, COORDINATES = 5, 16
 STEPS = 32
 PER_TREE = 6
-CANDIDATES = 16
+CANDIDATES = 12
 SKETCH = 256
 #: Bits of a string behind its tree: symbols of 5 bits and 32 more.
 TEXT_BITS = SYMBOLS * 5 + 32
