@@ -41,7 +41,7 @@ from millrace.session import cut
 DIM = 768
 K = 5
 LEAST = 0.7
-TREES = 32
+TREES = 28
 SYMBOLS, COORDINATES = 5, 16
 STEPS = 32
 PER_TREE = 6
