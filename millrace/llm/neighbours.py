@@ -26,6 +26,7 @@ similarity: smaller id first. Repeated rows (same id and vector) count once. Emp
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,11 +42,11 @@ from millrace.session import cut
 DIM = 768
 K = 5
 LEAST = 0.7
-TREES = 28
+TREES = 32
 SYMBOLS, COORDINATES = 5, 16
 STEPS = 32
-PER_TREE = 6
-CANDIDATES = 12
+PER_TREE = 8
+CANDIDATES = 16
 SKETCH = 256
 #: Bits of a string behind its tree: symbols of 5 bits and 32 more.
 TEXT_BITS = SYMBOLS * 5 + 32
@@ -55,8 +56,8 @@ BLOCK = 1024
 _SEED = 20240607
 
 
-def usable_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "content_embedding", dim: int = DIM) -> DataFrame:
-    """(id, vector binary, copy): usable vectors as 32-bit floats, or 16-bit ones where these are equal; ``copy`` is the same for the same vector."""
+def usable_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "content_embedding", dim: int = DIM, squeezed: bool = False) -> DataFrame:
+    """(id, vector binary, copy): usable vectors as 32-bit floats, or 16-bit ones where these are equal; ``copy`` is the same for the same vector. ``squeezed``: the bytes are compressed, for rows that are shuffled."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -75,7 +76,7 @@ def usable_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "content
                 half = rows.astype("<f2")
             short = (half.astype("<f4") == rows).all(1)  # sent in half the bytes where nothing is lost by it
             raw = [h.tobytes() if s else r.tobytes() for r, h, s in zip(rows, half, short)]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(right[good])), pa.array(raw, pa.binary()), pa.array([hashlib.md5(r).digest() for r in raw], pa.binary())], names=["id", "vector", "copy"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(right[good])), pa.array([zlib.compress(r, 1) for r in raw] if squeezed else raw, pa.binary()), pa.array([hashlib.md5(r).digest() for r in raw], pa.binary())], names=["id", "vector", "copy"])
 
     return df.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).mapInArrow(pack, "id string, vector binary, copy binary")
 
@@ -208,11 +209,11 @@ def nearest(df: DataFrame, k: int = K, least: float = LEAST, id_col: str = "id",
     seats = rows.unionByName(visits).groupBy("row", "block").agg(F.max("own").alias("own"))
     # ids and places are joined first, so that each vector is shuffled once to its id and once to its blocks
     places = seats.join(groups.select("row", "id", "copy"), "row")
-    seated = vectors.join(places, ["id", "copy"]).select("row", "block", "own", "id", "vector")
+    seated = usable_vectors(df, id_col, vector_col, dim, squeezed=True).join(places, ["id", "copy"]).select("row", "block", "own", "id", "vector")
 
     def compare(_: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.drop_duplicates("row").sort_values("id", ignore_index=True)
-        m = _matrix(b["vector"], dim).astype(np.float64)
+        m = _matrix(b["vector"].map(zlib.decompress), dim).astype(np.float64)
         m /= np.linalg.norm(m, axis=1, keepdims=True)
         own = np.flatnonzero(b["own"].to_numpy())
         out = []
