@@ -11,7 +11,10 @@ split, and walked in sorted order with a window that is carried from batch to ba
 To verify them, rows are gathered in blocks: a row's block is named by the smallest row that it reaches through
 candidates in two steps; blocks of more than ``block`` rows are split by a hash of the row, and the candidates of a row
 visit its block. In a block all its own rows are compared with all rows there by exact cosines. So each vector travels
-to a few blocks, whatever the number of candidate pairs.
+to a few blocks, whatever the number of candidate pairs. A group that had to be split is also compared part by part, all
+its pairs of parts and those with the groups it has close candidates in, in tasks of two parts of at most ``PART`` blocks:
+a row of a dense group has more close rows than candidates. Its vectors travel once for each part, so that costs the
+square of such a group.
 
 Exact copies are one row of the forest. They are put back after it: a copy's most similar rows are its other copies,
 smallest ids first, then the neighbours of the group, each with its copies. So a group of copies costs its size, not its
@@ -53,6 +56,8 @@ TEXT_BITS = SYMBOLS * 5 + 32
 #: Candidates are kept down to this much below the wanted cosine: the sketch errs by 0.06 at 0.7, and centring lowers it a little.
 SLACK = 0.25
 BLOCK = 1024
+#: Blocks in a part of a split group.
+PART = 4
 _SEED = 20240607
 
 
@@ -201,10 +206,12 @@ def nearest(df: DataFrame, k: int = K, least: float = LEAST, id_col: str = "id",
     found = _forest_candidates(groups, trees, least)
     # two rows are equally far apart in every tree, so a set has each candidate once; at most trees x PER_TREE of them
     best = F.slice(F.array_sort(F.collect_set(F.struct("apart", "other"))), 1, CANDIDATES)
-    pairs = cut(found.groupBy("row").agg(best.alias("best")).select("row", F.explode("best").alias("b")).select("row", "b.other"))
+    pairs = cut(found.groupBy("row").agg(best.alias("best")).select("row", F.explode("best").alias("b")).select("row", "b.other", "b.apart"))
 
-    blocks = _blocks(pairs, block)
+    blocks, cells = _blocks(pairs, block, least)
     rows = blocks.select("row", "block", F.lit(True).alias("own"))
+    if cells is not None:
+        rows = rows.unionByName(cells.select("row", "block", F.lit(True).alias("own")))
     visits = pairs.join(blocks, "row").select(F.col("other").alias("row"), "block", F.lit(False).alias("own"))
     seats = rows.unionByName(visits).groupBy("row", "block").agg(F.max("own").alias("own"))
     # ids and places are joined first, so that each vector is shuffled once to its id and once to its blocks
@@ -232,17 +239,37 @@ def nearest(df: DataFrame, k: int = K, least: float = LEAST, id_col: str = "id",
     return _with_copies(verified, cut(vectors.select("id", "copy").distinct()), groups.select("row", "copy"), k)
 
 
-def _blocks(pairs: DataFrame, block: int) -> DataFrame:
-    """(row, block): rows that reach the same smallest row in two steps over candidates share a block, split if it has more than ``block`` rows."""
+def _blocks(pairs: DataFrame, block: int, least: float) -> tuple[DataFrame, DataFrame | None]:
+    """(row, block) twice: rows that reach the same smallest row in two steps over candidates share a block, split if it has more than ``block`` rows; and the pairs of parts of such groups, None if there are none."""
     lead = pairs.groupBy("row").agg(F.least(F.min("other"), F.col("row")).alias("lead"))
     for _ in range(2):
         far = lead.select(F.col("row").alias("other"), F.col("lead").alias("far"))
         reached = pairs.join(far, "other").groupBy("row").agg(F.min("far").alias("far"))
         lead = cut(lead.join(reached, "row", "left").select("row", F.least("lead", "far").alias("lead")))
-    large = lead.groupBy("lead").count().where(F.col("count") > block).select("lead", F.ceil(F.col("count") / block).cast("int").alias("parts"))
-    split = lookup_join(lead, large, ["lead"])
+    sizes = lead.groupBy("lead").agg(F.count("*").alias("rows"))
+    large = cut(sizes.where(F.col("rows") > block))
+    split = lookup_join(lead, large.select("lead", F.ceil(F.col("rows") / block).cast("int").alias("parts")), ["lead"])
     part = F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0))
-    return split.select("row", F.xxhash64("lead", part).alias("block"))  # a clash of hashes only puts two blocks into one
+    blocks = split.select("row", F.xxhash64("lead", part).alias("block"))  # a clash of hashes only puts two blocks into one
+    return blocks, None if large.isEmpty() else _cells(pairs, lead, sizes, large, block, least)
+
+
+def _cells(pairs: DataFrame, lead: DataFrame, sizes: DataFrame, large: DataFrame, block: int, least: float) -> DataFrame:
+    """(row, block): the rows of both parts of every pair of parts, of each large group and of the groups linked to it by candidates that the sketch puts at ``least``."""
+    close = pairs.where(F.col("apart") <= int(np.arccos(least) / np.pi * SKETCH)).select("row", "other")
+    of_large = lead.join(F.broadcast(large.select("lead")) if large.count() < 10_000 else large.select("lead"), "lead")
+    linked = close.join(of_large, "row").join(lead.select(F.col("row").alias("other"), F.col("lead").alias("to")), "other").select("lead", "to")
+    # the reach of a row ends after three steps, so one dense group may have several leads
+    both = cut(linked.unionByName(large.select("lead", F.col("lead").alias("to"))).select(F.least("lead", "to").alias("a"), F.greatest("lead", "to").alias("b")).distinct())
+    parts = cut(sizes.join(both.select(F.col("a").alias("lead")).unionByName(both.select(F.col("b").alias("lead"))).distinct(), "lead").select("lead", F.ceil(F.col("rows") / (PART * block)).cast("int").alias("parts")))
+    sized = both.join(parts.select(F.col("lead").alias("a"), F.col("parts").alias("m")), "a").join(parts.select(F.col("lead").alias("b"), F.col("parts").alias("n")), "b")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = sized.withColumn("i", numbers("m")).withColumn("j", numbers("n"))
+    # within one group each pair once; a pair holds both parts whole, so a part alone is a task only if it is the only one
+    every = every.where("a <> b or i < j or m = 1").withColumn("block", F.xxhash64(F.lit("pair"), "a", "i", "b", "j"))
+    seats = every.select(F.col("a").alias("lead"), F.col("i").alias("part"), "block").unionByName(every.select(F.col("b").alias("lead"), F.col("j").alias("part"), "block")).distinct()
+    placed = lookup_join(lead, parts, ["lead"], "inner").select("row", "lead", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"))
+    return lookup_join(placed, seats, ["lead", "part"], "inner").select("row", "block")
 
 
 def _with_copies(verified: DataFrame, members: DataFrame, groups: DataFrame, k: int) -> DataFrame:

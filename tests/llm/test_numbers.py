@@ -40,6 +40,18 @@ def test_neighbours_against_brute_force(spark):
     assert [r.other for r in near] == [f"copy{k:03}" for k in range(5)]
 
 
+def test_neighbours_in_a_dense_group(spark):
+    # a third of the rows are different vectors of one dense group, of many blocks
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(DIM)
+    vectors = {f"d{k:04}": (centre + 0.55 * rng.standard_normal(DIM)).astype(np.float32).tolist() for k in range(1500)}
+    vectors |= {f"r{k:04}": rng.standard_normal(DIM).astype(np.float32).tolist() for k in range(3000)}
+    df = spark.createDataFrame(list(vectors.items()), "id string, content_embedding array<float>").repartition(6)
+    got = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(df, dim=DIM, block=32).collect()}
+    want = brute_pairs(vectors)
+    assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
+
+
 def test_strings_keep_prefixes():
     rng = np.random.default_rng(1)
     v = rng.standard_normal((200, DIM)).astype(np.float32)
