@@ -3,8 +3,9 @@
 Each tree gives a vector a long hash string: symbols of random rotations of the centred vector (which of 16 coordinates
 is largest in size, and its sign), packed into 64 bits. A tree is the array of all rows sorted by their strings. A row
 descends to its place, where its longest prefix matches stand, and ascends from there on both sides of the array over
-shorter and shorter prefixes, in all trees by the same number of steps. A 256-bit sketch that travels with the string
-estimates the cosine; the best estimates of each tree are the row's candidates.
+shorter and shorter prefixes, in all trees by the same number of steps. A 256-bit sketch of the
+centred vector and its product with the centre travel with the string; the cosine of two vectors as they are is estimated
+from them. The best estimates of each tree are the row's candidates.
 
 On Spark: the arrays are range-partitioned by (tree, string, row), so that even a third of all rows with one string is
 split, and walked in sorted order with a window that is carried from batch to batch. Candidates are a few numbers a row.
@@ -53,12 +54,13 @@ CANDIDATES = 16
 SKETCH = 256
 #: Bits of a string behind its tree: symbols of 5 bits and 32 more.
 TEXT_BITS = SYMBOLS * 5 + 32
-#: Candidates are kept down to this much below the wanted cosine: the sketch errs by 0.06 at 0.7, and centring lowers it a little.
-SLACK = 0.25
+#: Candidates are kept down to this much below the wanted cosine: the sketch errs by 0.06 at 0.7, less for vectors near the centre.
+SLACK = 0.2
 BLOCK = 1024
 #: Blocks in a part of a split group.
 PART = 4
 _SEED = 20240607
+_COSINES = np.cos(np.arange(SKETCH + 1) / SKETCH * np.pi).astype(np.float32)
 
 
 def usable_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "content_embedding", dim: int = DIM, squeezed: bool = False) -> DataFrame:
@@ -93,10 +95,11 @@ def rotations(dim: int, trees: int) -> np.ndarray:
 
 
 def hash_strings(vectors: np.ndarray, centre: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows x trees) strings as 64-bit numbers, the tree in front, whose order is that of the strings, and (rows x SKETCH/8) sketches."""
+    """(rows x trees) strings as 64-bit numbers, the tree in front, whose order is that of the strings, and (rows x SKETCH/8 + 2) sketches: the bits, and the product of vector and centre in 16 bits."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     projected = (unit - centre) @ rotations(vectors.shape[1], trees)
-    sketch = np.packbits(projected[:, :SKETCH] > 0, axis=1)
+    product = np.round(np.clip(unit @ centre, -1, 1) * 32767).astype("<i2")
+    sketch = np.hstack([np.packbits(projected[:, :SKETCH] > 0, axis=1), product[:, None].view(np.uint8)])
     symbols = projected[:, SKETCH:].reshape(len(vectors), trees, SYMBOLS, COORDINATES)
     largest = np.abs(symbols).argmax(3)
     sign = np.take_along_axis(symbols, largest[..., None], 3)[..., 0] > 0
@@ -113,19 +116,36 @@ def hash_strings(vectors: np.ndarray, centre: np.ndarray, trees: int) -> tuple[n
     return text, sketch
 
 
-def _centre(vectors: DataFrame, dim: int) -> np.ndarray:
-    """The mean of all unit vectors, from one sum a task."""
+def opened(sketches: np.ndarray, square: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits, products with the centre and centred lengths of sketches; ``square``: that of the centre's norm."""
+    bits = np.ascontiguousarray(sketches[:, : SKETCH // 8]).view(np.uint64)
+    product = np.ascontiguousarray(sketches[:, SKETCH // 8 :]).view("<i2")[:, 0] / np.float32(32767)
+    return bits, product, np.sqrt(np.maximum(1 - 2 * product + np.float32(square), 0))
+
+
+def estimates(rows: tuple, first: slice, second: slice, square: float) -> np.ndarray:
+    """Estimated cosines of two slices of opened sketches: c |x - m| |y - m| + xm + ym - mm, with c that of the centred vectors."""
+    bits, product, length = rows
+    apart = np.bitwise_count(bits[first] ^ bits[second]).sum(1)
+    return _COSINES[apart] * (length[first] * length[second]) + (product[first] + product[second]) - np.float32(square)
+
+
+def _centre(vectors: DataFrame, members: DataFrame, dim: int) -> np.ndarray:
+    """The mean of all distinct unit vectors, from one sum a task; each of the n rows of a vector counts 1/n."""
 
     def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, n = np.zeros(dim), 0
+        s, n = np.zeros(dim), 0.0
         for b in batches:
             m = _matrix(b["vector"], dim)
-            s += (m / np.linalg.norm(m, axis=1, keepdims=True)).sum(0)
-            n += len(m)
+            share = 1 / b["rows"].to_numpy(np.float64)
+            s += share @ (m / np.linalg.norm(m, axis=1, keepdims=True))
+            n += share.sum()
         yield pd.DataFrame({"s": [s.tobytes()], "n": [n]})
 
-    s, n = np.zeros(dim), 0
-    for p in vectors.select("vector").mapInPandas(total, "s binary, n long").toLocalIterator():
+    several = members.groupBy("copy").agg(F.sum("rows").alias("rows")).where("rows > 1")
+    counted = lookup_join(vectors.select("copy", "vector"), several, ["copy"]).select("vector", F.coalesce("rows", F.lit(1)).alias("rows"))
+    s, n = np.zeros(dim), 0.0
+    for p in counted.mapInPandas(total, "s binary, n double").toLocalIterator():
         s, n = s + np.frombuffer(p.s), n + p.n
     return (s / max(n, 1)).astype(np.float32)
 
@@ -140,8 +160,13 @@ def _matrix(column: pd.Series, dim: int) -> np.ndarray:
     return out
 
 
-def _forest_candidates(strings: DataFrame, trees: int, least: float) -> DataFrame:
-    """(row, other, estimate): the best rows around each row's place in each tree, from (row, strings, sketch)."""
+def _apart(cosine: float) -> int:
+    """How far apart rows of an estimated cosine are, as a number to order by."""
+    return int(round((1 - cosine) * 1000))
+
+
+def _forest_candidates(strings: DataFrame, square: float, least: float) -> DataFrame:
+    """(row, other, apart): the best rows around each row's place in each tree, from (row, strings, sketch)."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None  # the last STEPS rows of the tree, already known to their elders
@@ -165,13 +190,14 @@ def _forest_candidates(strings: DataFrame, trees: int, least: float) -> DataFram
 
     def _pairs(window: pd.DataFrame, old: int) -> pd.DataFrame:
         rows = window["row"].to_numpy()
-        sketch = np.frombuffer(b"".join(window["sketch"]), np.uint64).reshape(len(window), SKETCH // 64)
+        sketch = np.frombuffer(b"".join(window["sketch"]), np.uint8).reshape(len(window), SKETCH // 8 + 2)
+        sketch = opened(sketch, square)
         found = []
         for step in range(1, min(STEPS, len(window) - 1) + 1):
             lo, hi = max(0, old - step), len(window) - step
             if lo >= hi:
                 continue
-            apart = np.bitwise_count(sketch[lo:hi] ^ sketch[lo + step : hi + step]).sum(1)
+            apart = np.round((1 - estimates(sketch, slice(lo, hi), slice(lo + step, hi + step), square)) * 1000).astype(np.int64)
             near = np.flatnonzero(apart <= most)
             a, b = rows[lo + near], rows[lo + step + near]
             found.append(np.column_stack([np.r_[a, b], np.r_[b, a], np.r_[apart[near], apart[near]]]))
@@ -181,7 +207,7 @@ def _forest_candidates(strings: DataFrame, trees: int, least: float) -> DataFram
         every = pd.concat(parts, ignore_index=True).sort_values(["row", "apart", "other"])
         return every[every.groupby("row", sort=False).cumcount() < PER_TREE]
 
-    most = int(np.arccos(max(-1.0, least - SLACK)) / np.pi * SKETCH)
+    most = _apart(least - SLACK)
     spread = strings.select("row", "sketch", F.explode("strings").alias("string"))
     ordered = spread.repartitionByRange("string", "row").sortWithinPartitions("string", "row").select("string", "row", "sketch")
     return ordered.mapInPandas(walk, "row long, other long, apart int")
@@ -190,7 +216,8 @@ def _forest_candidates(strings: DataFrame, trees: int, least: float) -> DataFram
 def nearest(df: DataFrame, k: int = K, least: float = LEAST, id_col: str = "id", vector_col: str = "content_embedding", dim: int = DIM, trees: int = TREES, block: int = BLOCK) -> DataFrame:
     """(id, other, similarity, position): up to ``k`` most similar other rows of each row, down to a cosine of ``least``."""
     vectors = usable_vectors(df, id_col, vector_col, dim)
-    centre = df.sparkSession.sparkContext.broadcast(_centre(vectors, dim))
+    members = cut(vectors.groupBy("id", "copy").agg(F.count("*").alias("rows")))
+    centre = df.sparkSession.sparkContext.broadcast(_centre(vectors, members, dim))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -203,7 +230,7 @@ def nearest(df: DataFrame, k: int = K, least: float = LEAST, id_col: str = "id",
     # one row for each distinct vector, numbered once it is written
     groups = cut(described.groupBy("copy").agg(F.min("id").alias("id"), F.first("strings").alias("strings"), F.first("sketch").alias("sketch")).withColumn("row", F.monotonically_increasing_id()))
 
-    found = _forest_candidates(groups, trees, least)
+    found = _forest_candidates(groups, float(centre.value @ centre.value), least)
     # two rows are equally far apart in every tree, so a set has each candidate once; at most trees x PER_TREE of them
     best = F.slice(F.array_sort(F.collect_set(F.struct("apart", "other"))), 1, CANDIDATES)
     pairs = cut(found.groupBy("row").agg(best.alias("best")).select("row", F.explode("best").alias("b")).select("row", "b.other", "b.apart"))
@@ -236,7 +263,7 @@ def nearest(df: DataFrame, k: int = K, least: float = LEAST, id_col: str = "id",
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"row": [], "other": [], "similarity": []})
 
     verified = cut(seated.groupBy("block").applyInPandas(compare, "row long, other long, similarity double"))
-    return _with_copies(verified, cut(vectors.select("id", "copy").distinct()), groups.select("row", "copy"), k)
+    return _with_copies(verified, members.select("id", "copy"), groups.select("row", "copy"), k)
 
 
 def _blocks(pairs: DataFrame, block: int, least: float) -> tuple[DataFrame, DataFrame | None]:
@@ -256,7 +283,7 @@ def _blocks(pairs: DataFrame, block: int, least: float) -> tuple[DataFrame, Data
 
 def _cells(pairs: DataFrame, lead: DataFrame, sizes: DataFrame, large: DataFrame, block: int, least: float) -> DataFrame:
     """(row, block): the rows of both parts of every pair of parts, of each large group and of the groups linked to it by candidates that the sketch puts at ``least``."""
-    close = pairs.where(F.col("apart") <= int(np.arccos(least) / np.pi * SKETCH)).select("row", "other")
+    close = pairs.where(F.col("apart") <= _apart(least)).select("row", "other")
     of_large = lead.join(F.broadcast(large.select("lead")) if large.count() < 10_000 else large.select("lead"), "lead")
     linked = close.join(of_large, "row").join(lead.select(F.col("row").alias("other"), F.col("lead").alias("to")), "other").select("lead", "to")
     # the reach of a row ends after three steps, so one dense group may have several leads

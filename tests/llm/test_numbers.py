@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import abuse, mixing, neighbours, packing, tokens
 
@@ -52,6 +53,28 @@ def test_neighbours_in_a_dense_group(spark):
     assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
 
 
+def test_sketch_beside_a_large_copy_group(spark):
+    # a third of the rows are copies of one vector u, others lie at a cosine of 0.70 to 0.75 to it
+    rng = np.random.default_rng(3)
+    u = rng.standard_normal(DIM)
+    u /= np.linalg.norm(u)
+    away = rng.standard_normal((400, DIM))
+    away -= np.outer(away @ u, u)
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cos = rng.uniform(0.70, 0.75, (400, 1))
+    rows = [u] * 400 + list(cos * u + np.sqrt(1 - cos**2) * away) + list(rng.standard_normal((400, DIM)))
+    df = spark.createDataFrame([(f"i{k:04}", r.astype(np.float32).tolist()) for k, r in enumerate(rows)], "id string, content_embedding array<float>")
+    vectors = neighbours.usable_vectors(df, dim=DIM)
+    centre = neighbours._centre(vectors, vectors.groupBy("id", "copy").agg(F.count("*").alias("rows")), DIM)
+    m = np.array(rows, np.float32)
+    distinct = m[399:] / np.linalg.norm(m[399:], axis=1, keepdims=True)
+    assert np.allclose(centre, distinct.mean(0), atol=1e-5)
+    pulled = (m[:400].sum(0) / 1200).astype(np.float32)  # even with a centre that copies pull
+    _, sketch = neighbours.hash_strings(m[:800], pulled, 1)
+    estimate = neighbours.estimates(neighbours.opened(sketch, pulled @ pulled), slice(0, 400), slice(400, 800), pulled @ pulled)
+    assert (estimate >= neighbours.LEAST - neighbours.SLACK).mean() > 0.99
+
+
 def test_strings_keep_prefixes():
     rng = np.random.default_rng(1)
     v = rng.standard_normal((200, DIM)).astype(np.float32)
