@@ -1,27 +1,35 @@
 """Problem 7: the most similar vectors for every vector, by a hash-prefix forest.
 
-Each tree gives a vector a long hash string: symbols of random rotations of the centred vector (which of 16 coordinates
-is largest in size, and its sign), packed into 64 bits. A tree is the array of all rows sorted by their strings. A row
-descends to its place, where its longest prefix matches stand, and ascends from there on both sides of the array over
-shorter and shorter prefixes, in all trees by the same number of steps. A 256-bit sketch of the
-centred vector and its product with the centre travel with the string; the cosine of two vectors as they are is estimated
-from them. The best estimates of each tree are the row's candidates.
+Each tree gives a vector a long hash string of directions that no other tree uses: symbols of random rotations of the
+centred vector (which of 16 coordinates is largest in size, and its sign), then signs, together TEXT_BITS bits. A tree is
+the array of all rows sorted by their strings. A row descends to its place in the array, where its longest prefix matches
+stand; the number of leading bits that two strings share is the depth at which the two rows part in the tree. From there
+it ascends to rows that part from it at smaller and smaller depths, on both sides of its place. All trees are ascended
+together: the candidates of all trees are taken level by level, LEVEL bits each, from the deepest level of any tree, until
+ASCENT are gathered.
+
+A 256-bit sketch of the centred vector and its product with the centre travel with the string; the cosine of two vectors
+as they are is estimated from them. It orders the candidates that a tree offers and those that were gathered.
 
 On Spark: the arrays are range-partitioned by (tree, string, row), so that even a third of all rows with one string is
-split, and walked in sorted order with a window that is carried from batch to batch. Candidates are a few numbers a row.
-To verify them, rows are gathered in blocks: a row's block is named by the smallest row that it reaches through
-candidates in two steps; blocks of more than ``block`` rows are split by a hash of the row, and the candidates of a row
-visit its block. In a block all its own rows are compared with all rows there by exact cosines. So each vector travels
-to a few blocks, whatever the number of candidate pairs. A group that had to be split is also compared part by part, all
-its pairs of parts and those with the groups it has close candidates in, in tasks of two parts of at most ``PART`` blocks:
-a row of a dense group has more close rows than candidates. Its vectors travel once for each part, so that costs the
-square of such a group.
+split, and walked in sorted order with a window that is carried from batch to batch. A candidate is one number: its level,
+its estimated distance and its row. To verify them, rows are gathered in blocks: a row's block is named by the smallest
+row that it reaches through candidates in two steps; blocks of more than ``block`` rows are split by a hash of the row. In
+a block all its own rows are compared with each other by exact cosines. Two candidates of different blocks meet in the
+larger one, which the other row visits once, however many candidates it has there, and a visitor is compared with all own
+rows. So each vector travels to a few blocks, whatever the number of candidate pairs. A group that had to be split is also
+compared part by part, all its pairs of parts and those with the groups it has close candidates in, in tasks of two parts
+of at most ``PART`` blocks: a row of a dense group has more close rows than a tree shows it. That is the exact way for
+what the bounds on steps and candidates leave out; its vectors travel once for each part, so it costs the square of such a
+group.
 
 Exact copies are one row of the forest. They are put back after it: a copy's most similar rows are its other copies,
 smallest ids first, then the neighbours of the group, each with its copies. So a group of copies costs its size, not its
 square.
 
-Loss: rows that meet in no tree are missed. recall() measures it against the exact answer for a stated query set.
+Fitted: only the centre, the mean of at most CENTRE_ROWS distinct vectors, those of the smallest hashes. Every row is
+indexed. Loss: rows that meet in no tree and no block are missed. recall() measures it against the exact answer for a
+stated query set.
 
 A vector is usable if it has ``dim`` finite values that aren't all zero; other rows, also null ids, take no part. Equal
 similarity: smaller id first. Repeated rows (same id and vector) count once. Empty tables give no rows.
@@ -47,18 +55,29 @@ DIM = 768
 K = 5
 LEAST = 0.7
 TREES = 32
-SYMBOLS, COORDINATES = 5, 16
+SYMBOLS, COORDINATES, SIGNS = 5, 16, 32
+#: Bits of a string behind its tree: symbols of 5 bits and signs.
+TEXT_BITS = SYMBOLS * 5 + SIGNS
+#: Bits of a level of a tree.
+LEVEL = 4
+#: Rows on each side of its place that a row looks at in a tree, and the best of them that the tree offers.
 STEPS = 32
 PER_TREE = 8
+#: Offers that are gathered level by level from all trees, repeats counted, and the candidates that are left of them.
+ASCENT = 4 * TREES
 CANDIDATES = 16
 SKETCH = 256
-#: Bits of a string behind its tree: symbols of 5 bits and 32 more.
-TEXT_BITS = SYMBOLS * 5 + 32
 #: Candidates are kept down to this much below the wanted cosine: the sketch errs by 0.06 at 0.7, less for vectors near the centre.
 SLACK = 0.2
 BLOCK = 1024
 #: Blocks in a part of a split group.
 PART = 4
+#: Distinct vectors, about, whose mean is the centre.
+CENTRE_ROWS = 4000
+#: Query vectors that an exact search holds at once.
+EXACT_QUERIES = 4096
+#: A candidate as one number: level from above, estimated distance, row.
+_ROW_BITS, _APART_BITS = 50, 8
 _SEED = 20240607
 _COSINES = np.cos(np.arange(SKETCH + 1) / SKETCH * np.pi).astype(np.float32)
 
@@ -90,8 +109,8 @@ def usable_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "content
 
 @lru_cache(4)
 def rotations(dim: int, trees: int) -> np.ndarray:
-    """Random directions: first those of the sketch, then those of the trees' symbols."""
-    return np.random.default_rng(_SEED).standard_normal((dim, SKETCH + trees * SYMBOLS * COORDINATES)).astype(np.float32)
+    """Random directions: the trees' signs (the first of every tree, then the second of every tree and so on), more for the sketch if these are too few, then the trees' symbols."""
+    return np.random.default_rng(_SEED).standard_normal((dim, max(SKETCH, trees * SIGNS) + trees * SYMBOLS * COORDINATES)).astype(np.float32)
 
 
 def hash_strings(vectors: np.ndarray, centre: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,21 +118,25 @@ def hash_strings(vectors: np.ndarray, centre: np.ndarray, trees: int) -> tuple[n
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     projected = (unit - centre) @ rotations(vectors.shape[1], trees)
     product = np.round(np.clip(unit @ centre, -1, 1) * 32767).astype("<i2")
-    sketch = np.hstack([np.packbits(projected[:, :SKETCH] > 0, axis=1), product[:, None].view(np.uint8)])
-    symbols = projected[:, SKETCH:].reshape(len(vectors), trees, SYMBOLS, COORDINATES)
+    signs = projected[:, : max(SKETCH, trees * SIGNS)] > 0
+    sketch = np.hstack([np.packbits(signs[:, :SKETCH], axis=1), product[:, None].view(np.uint8)])
+    symbols = projected[:, signs.shape[1] :].reshape(len(vectors), trees, SYMBOLS, COORDINATES)
     largest = np.abs(symbols).argmax(3)
     sign = np.take_along_axis(symbols, largest[..., None], 3)[..., 0] > 0
     code = (largest * 2 + sign).astype(np.int64)
     width = int(np.log2(2 * COORDINATES))
-    text = np.zeros(code.shape[:2], np.int64)
+    text = np.tile(np.arange(trees, dtype=np.int64), (len(vectors), 1))
     for k in range(SYMBOLS):
         text = (text << width) | code[..., k]
-    # the rest of the string: signs of further directions, shared by the trees in another order in each
-    for t in range(trees):
-        tail = np.packbits(np.roll(projected[:, :SKETCH] > 0, 8 * t + 8, axis=1)[:, :32], axis=1).astype(np.int64)
-        text[:, t] = (text[:, t] << 32) | (tail[:, 0] << 24 | tail[:, 1] << 16 | tail[:, 2] << 8 | tail[:, 3])
-        text[:, t] |= t << TEXT_BITS
-    return text, sketch
+    own = signs[:, : trees * SIGNS].reshape(len(vectors), SIGNS, trees).transpose(0, 2, 1)
+    tail = np.packbits(own, axis=2).view(">u4")[..., 0].astype(np.int64)
+    return (text << SIGNS) | tail, sketch
+
+
+def levels(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The level at which the strings of one tree part: LEVEL bits each, counted from the root."""
+    shared = TEXT_BITS - np.frexp((a ^ b).astype(np.float64))[1]
+    return np.maximum(shared, 0) // LEVEL
 
 
 def opened(sketches: np.ndarray, square: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,24 +153,25 @@ def estimates(rows: tuple, first: slice, second: slice, square: float) -> np.nda
     return _COSINES[apart] * (length[first] * length[second]) + (product[first] + product[second]) - np.float32(square)
 
 
-def _centre(vectors: DataFrame, members: DataFrame, dim: int) -> np.ndarray:
-    """The mean of all distinct unit vectors, from one sum a task; each of the n rows of a vector counts 1/n."""
+def _members_and_centre(vectors: DataFrame, rows: int, dim: int) -> tuple[DataFrame, np.ndarray]:
+    """((id, copy), centre) in one pass over the vectors: the ids of each distinct vector, and the mean of about CENTRE_ROWS distinct unit vectors, those of the smallest hashes, from one sum a task."""
+    below = min(1 << 32, (CENTRE_ROWS << 32) // max(rows, 1))
+    chosen = F.conv(F.hex(F.substring("copy", 1, 4)), 16, 10).cast("long") < below
+    written = cut(vectors.select("id", "copy", F.when(chosen, F.col("vector")).alias("vector")))
 
     def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, n = np.zeros(dim), 0.0
+        s, n = np.zeros(dim), 0
         for b in batches:
             m = _matrix(b["vector"], dim)
-            share = 1 / b["rows"].to_numpy(np.float64)
-            s += share @ (m / np.linalg.norm(m, axis=1, keepdims=True))
-            n += share.sum()
+            s += (m / np.linalg.norm(m, axis=1, keepdims=True)).sum(0)
+            n += len(b)
         yield pd.DataFrame({"s": [s.tobytes()], "n": [n]})
 
-    several = members.groupBy("copy").agg(F.sum("rows").alias("rows")).where("rows > 1")
-    counted = lookup_join(vectors.select("copy", "vector"), several, ["copy"]).select("vector", F.coalesce("rows", F.lit(1)).alias("rows"))
-    s, n = np.zeros(dim), 0.0
-    for p in counted.mapInPandas(total, "s binary, n double").toLocalIterator():
-        s, n = s + np.frombuffer(p.s), n + p.n
-    return (s / max(n, 1)).astype(np.float32)
+    distinct = written.where("vector is not null").groupBy("copy").agg(F.first("vector").alias("vector")).select("vector")
+    sums = distinct.coalesce(16).mapInPandas(total, "s binary, n long").collect()  # a row a task
+    n = sum(r.n for r in sums)
+    centre = sum((np.frombuffer(r.s) for r in sums), np.zeros(dim)) / max(n, 1)
+    return cut(written.select("id", "copy").distinct()), centre.astype(np.float32)
 
 
 def _matrix(column: pd.Series, dim: int) -> np.ndarray:
@@ -161,12 +185,12 @@ def _matrix(column: pd.Series, dim: int) -> np.ndarray:
 
 
 def _apart(cosine: float) -> int:
-    """How far apart rows of an estimated cosine are, as a number to order by."""
-    return int(round((1 - cosine) * 1000))
+    """How far apart rows of an estimated cosine are, as a number of _APART_BITS to order by."""
+    return int(np.clip(round((1 - cosine) * 200), 0, (1 << _APART_BITS) - 1))
 
 
 def _forest_candidates(strings: DataFrame, square: float, least: float) -> DataFrame:
-    """(row, other, apart): the best rows around each row's place in each tree, from (row, strings, sketch)."""
+    """(row, offer): the best rows around each row's place in each tree, as numbers in the order in which all trees are ascended, from (row, strings, sketch)."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None  # the last STEPS rows of the tree, already known to their elders
@@ -188,8 +212,8 @@ def _forest_candidates(strings: DataFrame, square: float, least: float) -> DataF
         if waiting:
             yield _best(waiting)
 
-    def _pairs(window: pd.DataFrame, old: int) -> pd.DataFrame:
-        rows = window["row"].to_numpy()
+    def _pairs(window: pd.DataFrame, old: int) -> np.ndarray:
+        rows, text = window["row"].to_numpy(), window["string"].to_numpy()
         sketch = np.frombuffer(b"".join(window["sketch"]), np.uint8).reshape(len(window), SKETCH // 8 + 2)
         sketch = opened(sketch, square)
         found = []
@@ -197,27 +221,43 @@ def _forest_candidates(strings: DataFrame, square: float, least: float) -> DataF
             lo, hi = max(0, old - step), len(window) - step
             if lo >= hi:
                 continue
-            apart = np.round((1 - estimates(sketch, slice(lo, hi), slice(lo + step, hi + step), square)) * 1000).astype(np.int64)
+            apart = np.clip(np.round((1 - estimates(sketch, slice(lo, hi), slice(lo + step, hi + step), square)) * 200), 0, most + 1).astype(np.int64)
             near = np.flatnonzero(apart <= most)
-            a, b = rows[lo + near], rows[lo + step + near]
-            found.append(np.column_stack([np.r_[a, b], np.r_[b, a], np.r_[apart[near], apart[near]]]))
-        return pd.DataFrame(np.concatenate(found) if found else np.empty((0, 3), np.int64), columns=["row", "other", "apart"])
-
-    def _best(parts: list[pd.DataFrame]) -> pd.DataFrame:
-        every = pd.concat(parts, ignore_index=True).sort_values(["row", "apart", "other"])
-        return every[every.groupby("row", sort=False).cumcount() < PER_TREE]
+            first, second = lo + near, lo + step + near
+            level = levels(text[first], text[second])
+            found.append(np.column_stack([np.r_[rows[first], rows[second]], np.r_[rows[second], rows[first]], np.tile(apart[near], 2), np.tile(level, 2)]))
+        return np.concatenate(found) if found else np.empty((0, 4), np.int64)
+
+    def _best(parts: list[np.ndarray]) -> pd.DataFrame:
+        row, other, apart, level = np.concatenate(parts).T
+        near = (apart << _ROW_BITS) | other
+        order = np.lexsort((near, row))
+        row, near, level = row[order], near[order], level[order]
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
+        place = np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)]))
+        kept = place < PER_TREE
+        return pd.DataFrame({"row": row[kept], "offer": ((TEXT_BITS // LEVEL - level[kept]) << (_ROW_BITS + _APART_BITS)) | near[kept]})
 
     most = _apart(least - SLACK)
     spread = strings.select("row", "sketch", F.explode("strings").alias("string"))
     ordered = spread.repartitionByRange("string", "row").sortWithinPartitions("string", "row").select("string", "row", "sketch")
-    return ordered.mapInPandas(walk, "row long, other long, apart int")
+    return ordered.mapInPandas(walk, "row long, offer long")
+
+
+def _candidates(offers: DataFrame) -> DataFrame:
+    """(row, other, apart): of each row's offers the first ASCENT from the deepest level up, of these the CANDIDATES that the sketch puts nearest."""
+    ascended = F.slice(F.array_sort(F.collect_set("offer")), 1, ASCENT)
+    near = F.transform(ascended, lambda o: o.bitwiseAND((1 << (_ROW_BITS + _APART_BITS)) - 1))
+    best = F.slice(F.array_sort(F.array_distinct(near)), 1, CANDIDATES)
+    each = offers.groupBy("row").agg(best.alias("best")).select("row", F.explode("best").alias("b"))
+    return each.select("row", F.col("b").bitwiseAND((1 << _ROW_BITS) - 1).alias("other"), F.shiftright("b", _ROW_BITS).cast("int").alias("apart"))
 
 
 def nearest(df: DataFrame, k: int = K, least: float = LEAST, id_col: str = "id", vector_col: str = "content_embedding", dim: int = DIM, trees: int = TREES, block: int = BLOCK) -> DataFrame:
     """(id, other, similarity, position): up to ``k`` most similar other rows of each row, down to a cosine of ``least``."""
     vectors = usable_vectors(df, id_col, vector_col, dim)
-    members = cut(vectors.groupBy("id", "copy").agg(F.count("*").alias("rows")))
-    centre = df.sparkSession.sparkContext.broadcast(_centre(vectors, members, dim))
+    members, centred = _members_and_centre(vectors, df.count(), dim)
+    centre = df.sparkSession.sparkContext.broadcast(centred)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -229,45 +269,78 @@ def nearest(df: DataFrame, k: int = K, least: float = LEAST, id_col: str = "id",
     described = vectors.mapInPandas(describe, "id string, copy binary, strings array<long>, sketch binary")
     # one row for each distinct vector, numbered once it is written
     groups = cut(described.groupBy("copy").agg(F.min("id").alias("id"), F.first("strings").alias("strings"), F.first("sketch").alias("sketch")).withColumn("row", F.monotonically_increasing_id()))
+    pairs = cut(_candidates(_forest_candidates(groups, float(centred @ centred), least)))
 
-    found = _forest_candidates(groups, float(centre.value @ centre.value), least)
-    # two rows are equally far apart in every tree, so a set has each candidate once; at most trees x PER_TREE of them
-    best = F.slice(F.array_sort(F.collect_set(F.struct("apart", "other"))), 1, CANDIDATES)
-    pairs = cut(found.groupBy("row").agg(best.alias("best")).select("row", F.explode("best").alias("b")).select("row", "b.other", "b.apart"))
-
-    blocks, cells = _blocks(pairs, block, least)
-    rows = blocks.select("row", "block", F.lit(True).alias("own"))
+    blocks, sizes, cells = _blocks(pairs, block, least)
+    seats = blocks.select("row", "block", F.lit(True).alias("own"))
     if cells is not None:
-        rows = rows.unionByName(cells.select("row", "block", F.lit(True).alias("own")))
-    visits = pairs.join(blocks, "row").select(F.col("other").alias("row"), "block", F.lit(False).alias("own"))
-    seats = rows.unionByName(visits).groupBy("row", "block").agg(F.max("own").alias("own"))
+        seats = seats.unionByName(cells.select("row", "block", F.lit(True).alias("own")))
+    seats = seats.unionByName(_visits(pairs, blocks, sizes)).groupBy("row", "block").agg(F.max("own").alias("own"))
     # ids and places are joined first, so that each vector is shuffled once to its id and once to its blocks
     places = seats.join(groups.select("row", "id", "copy"), "row")
     seated = usable_vectors(df, id_col, vector_col, dim, squeezed=True).join(places, ["id", "copy"]).select("row", "block", "own", "id", "vector")
 
     def compare(_: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.drop_duplicates("row").sort_values("id", ignore_index=True)
-        m = _matrix(b["vector"].map(zlib.decompress), dim).astype(np.float64)
-        m /= np.linalg.norm(m, axis=1, keepdims=True)
-        own = np.flatnonzero(b["own"].to_numpy())
-        out = []
-        for at in range(0, len(own), 256):
-            mine = own[at : at + 256]
-            s = m[mine] @ m.T
-            s[np.arange(len(mine)), mine] = -2
-            s[s < least] = -2
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            value = np.take_along_axis(s, top, 1)
-            r, c = np.nonzero(value > -2)
-            out.append(pd.DataFrame({"row": b["row"].to_numpy()[mine[r]], "other": b["row"].to_numpy()[top[r, c]], "similarity": value[r, c]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"row": [], "other": [], "similarity": []})
+        m = _matrix(b["vector"].map(zlib.decompress), dim)
+        own = b["own"].to_numpy()
+        mine, guests = np.flatnonzero(own), np.flatnonzero(~own)
+        found = [_top(m, mine, np.arange(len(b)), k, least), _top(m, guests, mine, k, least)]
+        first, second, value = (np.concatenate(x) for x in zip(*found))
+        rows = b["row"].to_numpy()
+        return pd.DataFrame({"row": rows[first], "other": rows[second], "similarity": value})
 
     verified = cut(seated.groupBy("block").applyInPandas(compare, "row long, other long, similarity double"))
     return _with_copies(verified, members.select("id", "copy"), groups.select("row", "copy"), k)
 
 
-def _blocks(pairs: DataFrame, block: int, least: float) -> tuple[DataFrame, DataFrame | None]:
-    """(row, block) twice: rows that reach the same smallest row in two steps over candidates share a block, split if it has more than ``block`` rows; and the pairs of parts of such groups, None if there are none."""
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of rows in double precision, to 12 digits, so that equal ones are equal."""
+    x, y = x.astype(np.float64), y.astype(np.float64)
+    dot = lambda a, b: np.einsum("ij,ij->i", a, b)
+    return np.round(dot(x, y) / np.sqrt(dot(x, x) * dot(y, y)), 12)
+
+
+def _top(m: np.ndarray, asking: np.ndarray, among: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other, cosine): up to ``k`` nearest rows ``among`` of each row ``asking``, ties by the order of ``among``. Products in single precision choose, with room for their error; cosines are worked out in double precision."""
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    room = np.float32(1e-5)
+    firsts, seconds, values = [], [], []
+    for at in range(0, len(asking), 512):
+        part = asking[at : at + 512]
+        s = unit[part] @ unit[among].T
+        s[part[:, None] == among[None, :]] = -2
+        if s.shape[1] > k:
+            bound = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None] - room
+            r, c = np.nonzero((s >= bound) & (s >= least - room))
+        else:
+            r, c = np.nonzero(s >= least - room)
+        a, o = part[r], among[c]
+        exact = np.concatenate([np.empty(0), *(_cosines(m[a[n : n + 8192]], m[o[n : n + 8192]]) for n in range(0, len(a), 8192))])
+        order = np.lexsort((o, -exact, a))
+        a, o, exact = a[order], o[order], exact[order]
+        starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
+        place = np.arange(len(a)) - np.repeat(starts, np.diff(np.r_[starts, len(a)]))
+        kept = (place < k) & (exact >= least)
+        firsts.append(a[kept])
+        seconds.append(o[kept])
+        values.append(exact[kept])
+    if not firsts:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return np.concatenate(firsts), np.concatenate(seconds), np.concatenate(values)
+
+
+def _visits(pairs: DataFrame, blocks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(row, block, own): candidates of two blocks meet in the larger one; the other row visits it."""
+    placed = cut(blocks.join(sizes, "block"))
+    mine = pairs.select("row", "other").join(placed.select("row", F.struct("size", "block").alias("here")), "row")
+    both = mine.join(placed.select(F.col("row").alias("other"), F.struct("size", "block").alias("there")), "other").where("here.block <> there.block")
+    to_here = F.col("here") > F.col("there")
+    return both.select(F.when(to_here, F.col("other")).otherwise(F.col("row")).alias("row"), F.greatest("here", "there")["block"].alias("block"), F.lit(False).alias("own"))
+
+
+def _blocks(pairs: DataFrame, block: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(row, block): rows that reach the same smallest row in two steps over candidates share a block, split if it has more than ``block`` rows; (block, size); and (row, block) of the pairs of parts of such groups, None if there are none."""
     lead = pairs.groupBy("row").agg(F.least(F.min("other"), F.col("row")).alias("lead"))
     for _ in range(2):
         far = lead.select(F.col("row").alias("other"), F.col("lead").alias("far"))
@@ -278,7 +351,7 @@ def _blocks(pairs: DataFrame, block: int, least: float) -> tuple[DataFrame, Data
     split = lookup_join(lead, large.select("lead", F.ceil(F.col("rows") / block).cast("int").alias("parts")), ["lead"])
     part = F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0))
     blocks = split.select("row", F.xxhash64("lead", part).alias("block"))  # a clash of hashes only puts two blocks into one
-    return blocks, None if large.isEmpty() else _cells(pairs, lead, sizes, large, block, least)
+    return blocks, blocks.groupBy("block").agg(F.count("*").alias("size")), None if large.isEmpty() else _cells(pairs, lead, sizes, large, block, least)
 
 
 def _cells(pairs: DataFrame, lead: DataFrame, sizes: DataFrame, large: DataFrame, block: int, least: float) -> DataFrame:
@@ -330,13 +403,24 @@ def similar_pairs(df: DataFrame, k: int = K, least: float = LEAST, **options: ob
 
 
 def exact_nearest(df: DataFrame, queries: DataFrame, k: int = K, least: float = LEAST, id_col: str = "id", vector_col: str = "content_embedding", dim: int = DIM) -> DataFrame:
-    """(id, other): exact neighbours of the rows of ``queries`` (column ``id``, a bounded set) against all rows, in blocks."""
+    """(id, other, similarity): exact neighbours of the rows of ``queries`` (column ``id``) against all rows, in blocks of EXACT_QUERIES of them."""
     vectors = usable_vectors(df, id_col, vector_col, dim)
-    asked = vectors.join(queries.select("id"), "id", "left_semi").dropDuplicates(["id"]).orderBy("id").collect()
-    spark = df.sparkSession
-    ids, q = [r.id for r in asked], _matrix(pd.Series([r.vector for r in asked], dtype=object), dim).astype(np.float64)
+    asked = cut(vectors.join(queries.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("vector").alias("vector")))
+    blocks = max(1, -(-asked.count() // EXACT_QUERIES))
+    found = None
+    for n in range(blocks):
+        part = _exact_block(vectors, asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n), least, dim)
+        order = Window.partitionBy("id").orderBy(F.round("similarity", 9).desc(), "other")
+        best = cut(part.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("id", "other", "similarity"))
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
+def _exact_block(vectors: DataFrame, asked: DataFrame, least: float, dim: int) -> DataFrame:
+    rows = asked.orderBy("id").collect()  # about EXACT_QUERIES
+    ids, q = [r.id for r in rows], _matrix(pd.Series([r.vector for r in rows], dtype=object), dim).astype(np.float64)
     q /= np.linalg.norm(q, axis=1, keepdims=True)
-    sent = spark.sparkContext.broadcast((ids, q))
+    sent = vectors.sparkSession.sparkContext.broadcast((ids, q))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, q = sent.value
@@ -348,9 +432,7 @@ def exact_nearest(df: DataFrame, queries: DataFrame, k: int = K, least: float =
             ok = np.array(names, object)[r] != b["id"].to_numpy()[c]
             yield pd.DataFrame({"id": np.array(names, object)[r][ok], "other": b["id"].to_numpy()[c][ok], "similarity": s[r, c][ok]})
 
-    near = vectors.mapInPandas(scan, "id string, other string, similarity double").distinct()
-    order = Window.partitionBy("id").orderBy(F.round("similarity", 9).desc(), "other")
-    return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("id", "other", "similarity")
+    return vectors.mapInPandas(scan, "id string, other string, similarity double").distinct()
 
 
 def recall(df: DataFrame, **options: object) -> DataFrame:
