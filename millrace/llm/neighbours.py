@@ -280,17 +280,23 @@ def nearest(df: DataFrame, k: int = K, least: float = LEAST, id_col: str = "id",
     places = seats.join(groups.select("row", "id", "copy"), "row")
     seated = usable_vectors(df, id_col, vector_col, dim, squeezed=True).join(places, ["id", "copy"]).select("row", "block", "own", "id", "vector")
 
-    def compare(_: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.drop_duplicates("row").sort_values("id", ignore_index=True)
-        m = _matrix(b["vector"].map(zlib.decompress), dim)
-        own = b["own"].to_numpy()
-        mine, guests = np.flatnonzero(own), np.flatnonzero(~own)
-        found = [_top(m, mine, np.arange(len(b)), k, least), _top(m, guests, mine, k, least)]
-        first, second, value = (np.concatenate(x) for x in zip(*found))
-        rows = b["row"].to_numpy()
-        return pd.DataFrame({"row": rows[first], "other": rows[second], "similarity": value})
-
-    verified = cut(seated.groupBy("block").applyInPandas(compare, "row long, other long, similarity double"))
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None  # the rows of the last block seen, which may go on
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            block = b["block"].to_numpy()
+            ends = np.flatnonzero(block[1:] != block[:-1]) + 1
+            if not len(ends):
+                held = b
+                continue
+            held = b.iloc[ends[-1] :]
+            yield _compared(b.iloc[: ends[-1]], np.r_[0, ends], k, least, dim)
+        if held is not None:
+            yield _compared(held, np.array([0, len(held)]), k, least, dim)
+
+    # blocks lie one behind the other in a task; a task holds a batch and one block
+    ordered = seated.repartition("block").sortWithinPartitions("block", "id")
+    verified = cut(ordered.mapInPandas(compare, "row long, other long, similarity double"))
     return _with_copies(verified, members.select("id", "copy"), groups.select("row", "copy"), k)
 
 
@@ -303,12 +309,14 @@ def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _top(m: np.ndarray, asking: np.ndarray, among: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, other, cosine): up to ``k`` nearest rows ``among`` of each row ``asking``, ties by the order of ``among``. Products in single precision choose, with room for their error; cosines are worked out in double precision."""
-    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    if not len(asking) or not len(among):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     room = np.float32(1e-5)
     firsts, seconds, values = [], [], []
+    others = m[among] / np.linalg.norm(m[among], axis=1, keepdims=True)
     for at in range(0, len(asking), 512):
         part = asking[at : at + 512]
-        s = unit[part] @ unit[among].T
+        s = (m[part] / np.linalg.norm(m[part], axis=1, keepdims=True)) @ others.T
         s[part[:, None] == among[None, :]] = -2
         if s.shape[1] > k:
             bound = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None] - room
@@ -325,11 +333,24 @@ def _top(m: np.ndarray, asking: np.ndarray, among: np.ndarray, k: int, least: fl
         firsts.append(a[kept])
         seconds.append(o[kept])
         values.append(exact[kept])
-    if not firsts:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     return np.concatenate(firsts), np.concatenate(seconds), np.concatenate(values)
 
 
+def _compared(b: pd.DataFrame, edges: np.ndarray, k: int, least: float, dim: int) -> pd.DataFrame:
+    """(row, other, similarity) of whole blocks, rows in order of id: own rows are compared with all rows of their block, visitors with its own rows."""
+    rows, own = b["row"].to_numpy(), b["own"].to_numpy()
+    m = _matrix(b["vector"].map(zlib.decompress), dim)
+    found = []
+    for start, end in zip(edges[:-1], edges[1:]):
+        place = np.arange(start, end)
+        if len(np.unique(rows[start:end])) < end - start:  # rows that the source repeats
+            place = start + np.sort(np.unique(rows[start:end], return_index=True)[1])
+        mine, guests = place[own[place]], place[~own[place]]
+        found += [_top(m, mine, place, k, least), _top(m, guests, mine, k, least)]
+    first, second, value = (np.concatenate(x) for x in zip(*found))
+    return pd.DataFrame({"row": rows[first], "other": rows[second], "similarity": value})
+
+
 def _visits(pairs: DataFrame, blocks: DataFrame, sizes: DataFrame) -> DataFrame:
     """(row, block, own): candidates of two blocks meet in the larger one; the other row visits it."""
     placed = cut(blocks.join(sizes, "block"))
