@@ -8,10 +8,13 @@ and digits for letters make no difference to a feature.
 
 Labels are of documents and raters err. So training starts from all passages of a document under its raters' votes, and
 then, in ROUNDS rounds, keeps of each marked document the passages that the last model finds (none at all, if the raters
-erred), and leaves out passages of unmarked documents that the last model is sure of; the last model is one of the other half of the
-documents. Training reads at most ``sample`` labelled
-documents, chosen by a hash of their id, and UNLABELLED others, whose passages count as unmarked in the same way: most
-are, and they show what ordinary passages look like. All documents are scored.
+erred), and leaves out passages of unmarked documents that the last model is sure of; the last model is one of the other
+half of the documents. Training reads a bounded sample, chosen by a hash of the id: SAMPLE labelled documents and
+UNLABELLED others, which count as unmarked at a low weight, with SAMPLE_CHARS characters at most. Texts are split into
+words on the executors, where the fits run too, those of both halves side by side. All documents are scored.
+
+A passage is stored as its words and word pairs, and each of these once with its features. So a step of training sums
+the features of the distinct words of its passages, not those of every word.
 
 After training, embeddings and softmax collapse to one number per feature and class, so scoring adds up known numbers.
 
@@ -23,21 +26,22 @@ alike; a long text costs its length.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import looks
 from millrace.operators.joins import lookup_join
+from millrace.session import cut
 
 CLASSES = ("none", "abuse", "hate", "sexual")
-#: Labelled documents that training reads at most.
-SAMPLE = 12_000
-#: Documents without labels that training reads at most.
-UNLABELLED = 2_000
+#: Labelled documents that training reads at most, and their characters.
+SAMPLE, SAMPLE_CHARS = 12_000, 100_000_000
+#: Documents without labels that training reads at most, as examples of what ordinary passages look like, and the weight of their passages.
+UNLABELLED, UNVOTED_WEIGHT = 2_000, 0.3
 DIMENSIONS = 16
 ROUNDS = 3
 EPOCHS = 6
@@ -45,12 +49,10 @@ EPOCHS = 6
 THRESHOLD = 0.2
 #: Passages of a marked document count as marked from this share of its worst score on.
 GUILTY_SHARE = 0.85
-#: Weight of a marked passage in training, against 1 for an unmarked one and 0.3 for one of a document without votes.
+#: Weight of a marked passage in training, against 1 for an unmarked one.
 GUILTY_WEIGHT = 2.0
 #: Words in a window of a long passage.
 WINDOW = 12
-#: Longest text, in characters, that is read for training; all texts are scored whole.
-TRAIN_CHARS = 100_000
 _SEED = 11
 
 _PASSAGE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|\n+|(?:</?[a-zA-Z][^<>]{0,200}>)+")
@@ -162,118 +164,215 @@ class Model:
         return e / e.sum(1, keepdims=True), np.asarray(owner, np.int64)
 
 
-def _features(passage: str) -> list[str]:
-    ws = words(passage)
-    bare = [looks.unaccented(w) for w in ws]
-    return [f for w in ws for f in word_features(w)] + [f"{a} {b}" for a, b in zip(bare, bare[1:])]
-
-
-class Bags:
-    """Feature numbers of many passages in one array."""
+class Passages:
+    """Passages as units: words and word pairs, each with its features; the numbers of all in four arrays."""
 
-    def __init__(self, flat: np.ndarray, length: np.ndarray) -> None:
-        self.flat, self.length = flat, length
-        self.start = np.r_[0, np.cumsum(length)]
+    def __init__(self, units: np.ndarray, length: np.ndarray, features: np.ndarray, unit_length: np.ndarray) -> None:
+        self.units, self.length, self.features, self.unit_length = units, length, features, unit_length
+        self.start, self.unit_start = np.r_[0, np.cumsum(length)], np.r_[0, np.cumsum(unit_length)]
 
     def __len__(self) -> int:
         return len(self.length)
 
-    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Features of some passages, one behind the other, where each passage starts, and how many it has."""
-        n = self.length[rows]
-        first = np.r_[0, np.cumsum(n)[:-1]]
-        return self.flat[np.repeat(self.start[rows] - first, n) + np.arange(n.sum())], first, n
-
-
-def fit(bags: Bags, rows: np.ndarray, targets: np.ndarray, weights: np.ndarray, size: int, epochs: int = EPOCHS, dimensions: int = DIMENSIONS, rate: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    def __reduce__(self) -> tuple:
+        return Passages, (self.units, self.length, self.features, self.unit_length)
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Units of some passages, one behind the other, and how many each has."""
+        return _slices(self.units, self.start, rows), self.length[rows]
+
+    def means(self, rows: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """The mean of a table's rows over the features of each passage."""
+        sums = np.add.reduceat(table[self.features], self.unit_start[:-1], axis=0)
+        out = np.empty((len(rows), table.shape[1]), np.float32)
+        for at in range(0, len(rows), 8192):
+            units, n = self.of(rows[at : at + 8192])
+            first = np.r_[0, np.cumsum(n)[:-1]]
+            out[at : at + 8192] = np.add.reduceat(sums[units], first, axis=0) / np.add.reduceat(self.unit_length[units], first)[:, None]
+        return out
+
+
+def _slices(flat: np.ndarray, start: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    n = start[rows + 1] - start[rows]
+    return flat[np.repeat(start[rows] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+
+
+def numbered(passages_of_words: Sequence[Sequence[str]]) -> tuple[Passages, dict[str, int], int]:
+    """(passages, number of each feature that recurs, how many numbers there are): what is too rare to have a number of its own shares the last one, so that it counts in the mean, as it does when a passage is scored."""
+    unit_of: dict[object, int] = {}
+    bare: list[str] = []  # of words only; None for pairs
+    names: list[list[str]] = []
+    flat, length = [], np.empty(len(passages_of_words), np.int64)
+    for k, ws in enumerate(passages_of_words):
+        own = []
+        for w in ws:
+            u = unit_of.get(w)
+            if u is None:
+                u = unit_of[w] = len(names)
+                bare.append(looks.unaccented(w))
+                names.append(word_features(w))
+            own.append(u)
+        for a, b in zip(own[:], own[1:]):
+            pair = (bare[a], bare[b])
+            u = unit_of.get(pair)
+            if u is None:
+                u = unit_of[pair] = len(names)
+                bare.append("")
+                names.append([f"{pair[0]} {pair[1]}"])
+            own.append(u)
+        if not own:
+            own.append(unit_of.setdefault((), len(names)))
+            if own[0] == len(names):
+                bare.append("")
+                names.append([""])
+        flat += own
+        length[k] = len(own)
+    units = np.asarray(flat, np.int32)
+    owner = np.repeat(np.arange(len(length)), length)
+    # in how many passages a unit stands; a feature recurs if its units stand in two
+    once = np.unique(owner * len(names) + units)
+    spread = np.bincount((once % len(names)).astype(np.int64), minlength=len(names))
+    times: dict[str, int] = {}
+    for f, n in zip(names, spread.tolist()):
+        for x in set(f):
+            times[x] = times.get(x, 0) + n
+    vocabulary = {x: k for k, x in enumerate(x for x, n in times.items() if n >= 2)}
+    rare = len(vocabulary)
+    features = np.fromiter((vocabulary.get(x, rare) for f in names for x in f), np.int32)
+    return Passages(units, length, features, np.fromiter(map(len, names), np.int64)), vocabulary, rare + 1
+
+
+def fit(data: Passages, rows: np.ndarray, targets: np.ndarray, weights: np.ndarray, size: int, epochs: int = EPOCHS, dimensions: int = DIMENSIONS, rate: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
     """(table of feature x class numbers, bias) from the passages ``rows``: embeddings and softmax by mini-batches of averaged gradients."""
     rng = np.random.default_rng(_SEED)
     e, w, bias = np.zeros((size, dimensions), np.float32), rng.standard_normal((dimensions, targets.shape[1])).astype(np.float32), np.zeros(targets.shape[1], np.float32)
     order = rng.permutation(rows)
-    batches = []
-    for at in range(0, len(order), 256):
-        ids = order[at : at + 256]
-        flat, first, length = bags.of(ids)
-        by = np.argsort(flat, kind="stable")
-        distinct, starts = np.unique(flat[by], return_index=True)
-        owner = np.repeat(np.arange(len(ids), dtype=np.uint8), length)[by]
-        batches.append((ids, first, length[:, None].astype(np.float32), owner, distinct, starts.astype(np.int32)))
+    batches = [_Batch(data, order[at : at + 256]) for at in range(0, len(order), 256)]
     # one learning rate a feature (adaptive gradients)
     square, square_w, square_b = np.full(size, 1e-12, np.float32), np.full_like(w, 1e-6), np.full_like(bias, 1e-6)
     steps = epochs * len(batches)
     step = 0
     for _ in range(epochs):
         for k in rng.permutation(len(batches)):
-            ids, first, length, owner, distinct, starts = batches[k]
-            flat = bags.of(ids)[0]
+            b = batches[k]
             lr = rate * (1 - step / steps)
             step += 1
-            mean = np.add.reduceat(e[flat], first, axis=0) / length
+            mean = b.means(e[b.distinct])
             z = mean @ w + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            g = (p - targets[ids]) * weights[ids, None]
-            d = np.add.reduceat(((g @ w.T) / length)[owner], starts, axis=0)
+            g = (p - targets[b.rows]) * weights[b.rows, None]
+            d = b.spread(g @ w.T)
             gw, gb = mean.T @ g, g.sum(0)
             square_w += gw * gw
             square_b += gb * gb
-            square[distinct] += (d * d).mean(1)
+            square[b.distinct] += (d * d).mean(1)
             w -= 0.1 * lr * gw / np.sqrt(square_w)
             bias -= 0.1 * lr * gb / np.sqrt(square_b)
-            e[distinct] -= lr * d / np.sqrt(square[distinct])[:, None]
+            e[b.distinct] -= lr * d / np.sqrt(square[b.distinct])[:, None]
     return e @ w, bias
 
 
-def train(documents: Sequence[tuple[str | None, Sequence[int]]], others: Sequence[str] = (), epochs: int = EPOCHS, rounds: int = ROUNDS) -> Model | None:
-    """The model of texts and the votes that their raters gave each class; None if fewer than two classes have votes. ``others``: texts without votes, taken for unmarked."""
+class _Batch:
+    """Some passages with their distinct units and these units' distinct features, ready to be summed in both directions."""
+
+    def __init__(self, data: Passages, rows: np.ndarray) -> None:
+        self.rows = rows
+        units, n = data.of(rows)
+        own, self.unit = np.unique(units, return_inverse=True)
+        self.first = np.r_[0, np.cumsum(n)[:-1]]
+        flat, m = _slices(data.features, data.unit_start, own), data.unit_length[own]
+        self.distinct, self.feature = np.unique(flat, return_inverse=True)
+        self.unit_first = np.r_[0, np.cumsum(m)[:-1]]
+        self.length = np.add.reduceat(m[self.unit], self.first)[:, None].astype(np.float32)
+        # the way back: passages by unit, units by feature
+        by_unit = np.argsort(self.unit, kind="stable")
+        self.passage_by_unit = np.repeat(np.arange(len(rows)), n)[by_unit]
+        self.unit_starts = np.searchsorted(self.unit[by_unit], np.arange(len(own)))
+        by_feature = np.argsort(self.feature, kind="stable")
+        self.unit_by_feature = np.repeat(np.arange(len(own)), m)[by_feature]
+        self.feature_starts = np.searchsorted(self.feature[by_feature], np.arange(len(self.distinct)))
+
+    def means(self, table: np.ndarray) -> np.ndarray:
+        sums = np.add.reduceat(table[self.feature], self.unit_first, axis=0)
+        return np.add.reduceat(sums[self.unit], self.first, axis=0) / self.length
+
+    def spread(self, gradient: np.ndarray) -> np.ndarray:
+        by_unit = np.add.reduceat((gradient / self.length)[self.passage_by_unit], self.unit_starts, axis=0)
+        return np.add.reduceat(by_unit[self.unit_by_feature], self.feature_starts, axis=0)
+
+
+#: A fit to be done: rows to learn from, rows to judge by the result (none: the table itself is wanted), targets and weights of all rows.
+Job = tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]
+
+
+def work(data: Passages, size: int, job: Job, epochs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(table, bias) of a fit, or (probabilities of the judged rows, bias)."""
+    learn, judge, targets, weights = job
+    table, bias = fit(data, learn, targets, weights, size, epochs)
+    table[-1] = 0
+    if judge is None:
+        return table, bias
+    z = data.means(judge, table) + bias
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True), bias
+
+
+def one_by_one(data: Passages, size: int, epochs: int) -> Callable[[list[Job]], list[tuple[np.ndarray, np.ndarray]]]:
+    return lambda jobs: [work(data, size, job, epochs) for job in jobs]
+
+
+def on_executors(spark: SparkSession) -> Callable[[Passages, int, int], Callable[[list[Job]], list[tuple[np.ndarray, np.ndarray]]]]:
+    """Fits as tasks: those of one list run side by side, on the passages that are sent once."""
+
+    def runner(data: Passages, size: int, epochs: int) -> Callable[[list[Job]], list[tuple[np.ndarray, np.ndarray]]]:
+        sent = spark.sparkContext.broadcast(data)
+
+        def run(jobs: list[Job]) -> list[tuple[np.ndarray, np.ndarray]]:
+            ordered = spark.sparkContext.broadcast(jobs)
+
+            def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    for n in b["n"]:
+                        first, bias = work(sent.value, size, ordered.value[n], epochs)
+                        yield pd.DataFrame({"n": [n], "columns": [first.shape[1]], "first": [first.astype("<f4").tobytes()], "bias": [bias.astype("<f4").tobytes()]})
+
+            each = spark.range(0, len(jobs), 1, len(jobs)).withColumnRenamed("id", "n")
+            rows = sorted(each.mapInPandas(task, "n long, columns int, first binary, bias binary").collect(), key=lambda r: r.n)
+            return [(np.frombuffer(r.first, "<f4").reshape(-1, r.columns), np.frombuffer(r.bias, "<f4")) for r in rows]
+
+        return run
+
+    return runner
+
+
+def train(documents: Sequence[tuple[Sequence[Sequence[str]], Sequence[int]]], others: Sequence[Sequence[Sequence[str]]] = (), epochs: int = EPOCHS, rounds: int = ROUNDS, runner: Callable = one_by_one) -> Model | None:
+    """The model of documents, given as the words of their passages and the votes that their raters gave each class; None if fewer than two classes have votes. ``others``: documents without votes, taken for unmarked."""
     docs, votes = [], []
-    for text, given in documents:
+    for found, given in documents:
         v = np.asarray(given, np.float32)
-        if text and v.sum() and (found := passages(text)):
+        if len(found) and v.sum():
             docs.append(found)
             votes.append(v / v.sum())
     if len(docs) < 2 or (np.asarray(votes).max(0) > 0).sum() < 2:
         return None
     voted = len(docs)
-    for text in others:
-        if found := passages(text):
-            docs.append(found)
-            votes.append(np.eye(len(CLASSES), dtype=np.float32)[0])
-    where = [k for k, ps in enumerate(docs) for _ in ps]
-    text = [p for ps in docs for p in ps]
-    owner = np.asarray(where)
+    docs += [found for found in others if len(found)]
+    votes += [np.eye(len(CLASSES), dtype=np.float32)[0]] * (len(docs) - voted)
+    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    data, vocabulary, size = numbered([p for d in docs for p in d])
+    run = runner(data, size, epochs)
     vote = np.asarray(votes, np.float32)
-    # features are numbered as they come and renumbered once it is known which of them recur
-    number: dict[str, int] = {}
-    parts, length, seen_in = [], np.empty(len(text), np.int64), []
-    for k, p in enumerate(text):
-        f = [number.setdefault(x, len(number)) for x in _features(p)] or [number.setdefault("", len(number))]
-        seen_in += [0] * (len(number) - len(seen_in))
-        for i in set(f):
-            seen_in[i] += 1
-        parts.append(np.array(f, np.int32))
-        length[k] = len(f)
-    flat = np.concatenate(parts)
-    del parts
-    keep = np.asarray(seen_in) >= 2
-    renumbered = np.where(keep, np.cumsum(keep) - 1, keep.sum()).astype(np.int32)
-    vocabulary = {x: int(renumbered[i]) for x, i in number.items() if keep[i]}
-    # what is too rare to have a number still counts in the mean, as it does when a passage is scored
-    size = len(vocabulary) + 1
-    bags = Bags(renumbered[flat], length)
-    del flat, number
     marked = vote[:, 0] < 0.5
-    targets = vote[owner].copy()
-    unvoted = owner >= voted
-    weights = np.where(unvoted, 0.3, 1.0).astype(np.float32)
+    unmarked = np.where(owner >= voted, UNVOTED_WEIGHT, 1.0).astype(np.float32)
+    targets, weights = vote[owner].copy(), unmarked
     half = (owner % 2).astype(bool)
     for _ in range(rounds):
-        p = np.empty((len(bags), len(CLASSES)), np.float32)
-        for side in (half, ~half):  # each half is judged by the other one's model, which can't know its raters' errors by heart
-            learn, judge = np.flatnonzero(side), np.flatnonzero(~side)
-            table, bias = fit(bags, learn, targets, weights, size, epochs)
-            table[-1] = 0
-            p[judge] = _of_bags(bags, judge, table, bias)
+        # each half is judged by the other one's model, which can't know its raters' errors by heart
+        sides = [(np.flatnonzero(side), np.flatnonzero(~side)) for side in (half, ~half)]
+        p = np.empty((len(data), len(CLASSES)), np.float32)
+        for (_learn, judge), (found, _) in zip(sides, run([(learn, judge, targets, weights) for learn, judge in sides])):
+            p[judge] = found
         other = 1 - p[:, 0]
         best = np.zeros(len(docs), np.float32)
         np.maximum.at(best, owner, other)
@@ -286,34 +385,41 @@ def train(documents: Sequence[tuple[str | None, Sequence[int]]], others: Sequenc
         targets[:, 0] = 1
         targets[guilty, 0] = 0
         targets[guilty, 1:] = blend[guilty] / blend[guilty].sum(1, keepdims=True)
-        weights = np.where(guilty, GUILTY_WEIGHT, np.where(unvoted, 0.3, 1.0)).astype(np.float32)
+        weights = np.where(guilty, np.float32(GUILTY_WEIGHT), unmarked)
         weights[~marked[owner] & (other > 0.9)] = 0
-    table, bias = fit(bags, np.arange(len(bags)), targets, weights, size, epochs)
+    table, bias = run([(np.arange(len(data)), None, targets, weights)])[0]
     return Model(vocabulary, table[:-1], bias)
 
 
-def _of_bags(bags: Bags, rows: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    out = np.empty((len(rows), table.shape[1]), np.float32)
-    for at in range(0, len(rows), 4096):
-        flat, first, length = bags.of(rows[at : at + 4096])
-        z = np.add.reduceat(table[flat], first, axis=0) / length[:, None] + bias
-        e = np.exp(z - z.max(1, keepdims=True))
-        out[at : at + len(z)] = e / e.sum(1, keepdims=True)
-    return out
+def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters: int = SAMPLE_CHARS, unlabelled: int = UNLABELLED) -> tuple[list[tuple[list[list[str]], list[int]]], list[list[list[str]]]]:
+    """(words of the passages, votes) of at most ``sample`` labelled documents, and the words of at most ``unlabelled`` others, with at most ``characters`` in all, chosen by a hash of their id; their texts are read on the executors."""
+    counts = [F.count_if(F.col("label") == c).alias(c) for c in CLASSES]
+    votes = labels.where(F.col("label").isin(*CLASSES) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*counts)
+    sizes = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
+    sized = cut(lookup_join(sizes, votes, ["doc_id"]).withColumn("voted", F.col(CLASSES[0]).isNotNull()))
+    chosen, room = [], characters
+    for voted, most in ((True, sample), (False, unlabelled)):
+        for r in sized.where(F.col("voted") == voted).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect():
+            if r.n <= room:
+                chosen.append((r.doc_id, r.n, [r[c] for c in CLASSES] if voted else None))
+                room -= r.n
+    if not chosen:
+        return [], []
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "words": ["\n".join(" ".join(words(p)) for p in passages(t)) for t in b["text"]]})
+
+    ids = documents.sparkSession.createDataFrame([c[:2] for c in chosen], "doc_id long, n int")
+    texts = lookup_join(documents.select("doc_id", "text", F.length("text").alias("n")), ids, ["doc_id", "n"], "inner").dropDuplicates(["doc_id"])
+    rows = texts.select("doc_id", "text").mapInPandas(read, "doc_id long, words string").collect()
+    found = {r.doc_id: [p.split(" ") if p else [] for p in r.words.split("\n")] for r in rows if r.words}
+    return [(found[i], v) for i, _, v in chosen if v and i in found], [found[i] for i, _, v in chosen if not v and i in found]
 
 
 def model(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """The model of at most ``sample`` labelled documents, chosen by a hash of their id."""
-    counts = [F.count_if(F.col("label") == c).alias(c) for c in CLASSES]
-    votes = labels.where(F.col("label").isin(*CLASSES) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*counts)
-    chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = lookup_join(documents.where(F.length("text").between(1, TRAIN_CHARS)).select("doc_id", "text"), chosen, ["doc_id"], "inner").dropDuplicates(["doc_id"])
-    rows = sorted(texts.collect(), key=lambda r: r.doc_id)
-    usable = documents.where(F.col("doc_id").isNotNull() & F.length("text").between(1, TRAIN_CHARS)).select("doc_id", "text", F.xxhash64("doc_id", F.lit(1)).alias("h"))
-    last = usable.select("h").orderBy("h").limit(UNLABELLED + len(rows)).agg(F.max("h")).first()[0]
-    extra = sorted(usable.where(F.col("h") <= F.lit(last if last is not None else 0)).select("doc_id", "text").limit(UNLABELLED + len(rows)).collect(), key=lambda r: r.doc_id)
-    known = {r.doc_id for r in rows}
-    return train([(r.text, [r[c] for c in CLASSES]) for r in rows], [r.text for r in extra if r.doc_id not in known][:UNLABELLED])
+    """The model of a bounded sample of documents, see training_rows."""
+    return train(*training_rows(documents, labels, sample), runner=on_executors(documents.sparkSession))
 
 
 def scores(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
