@@ -10,8 +10,9 @@ merges any more:
 * A string with a part that hardly anybody else has, one typing error away from a part that many have, joins the profile
   that has that part instead.
 
-A merged profile has the spellings, initials and sites of all its members, so it meets strings in the next round that
-none of its members would have met: the initials of a misspelt name, a shortened form that only its new site decides.
+A merged profile has the spellings, initials and sites of all its members and asks with all keys of its fullest
+spellings, so it meets strings in the next round that none of its members would have met: the initials of a misspelt name,
+a shortened form that only its new site decides. Rounds go on until none merges anything.
 
 Matching is by equal keys and counts per key, so no block is ever compared all with all: a family name that a third of
 the authors share costs its size. Only misspelt strings are compared one by one, with the profiles one deletion away.
@@ -25,11 +26,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -37,8 +38,10 @@ from millrace.functions import urls
 from millrace.llm import looks
 from millrace.session import cut
 
-#: Rounds after which merging stops even if something would still merge; each round joins every profile it can.
-MAX_ROUNDS = 8
+#: Names up to so many parts are found by a form with two parts shortened, and by one with one part shortened; longer ones as a whole only.
+PAIRED_PARTS, KEYED_PARTS = 12, 40
+#: A part of no more bags than this may be misspelt however often its bag was written.
+FEW_BAGS = 12
 # Role words around names, placeholders, nicknames.
 _BEFORE = re.compile(r"^(?:by|written by|text by|reporting by|story by|theo|pv|p\.v\.?|phóng viên|ctv|nhà báo|bài và ảnh|bài, ảnh|tin và ảnh|bài|ảnh|tin|nhóm pv|par|propos recueillis par|texte)\s*[:.]?\s+(?=\S)", re.I)
 _AFTER = re.compile(r"\s*(?:[,–-]\s*(?:staff writer|staff reporter|staff|correspondent|reporter|editor|contributor|contributing writer|special correspondent|envoyée? spéciale?|phóng viên|tổng hợp)|\((?:tổng hợp|ghi|lược dịch|biên dịch|dịch|thực hiện|photos?|text|compiled)\))\s*$", re.I)
@@ -99,8 +102,8 @@ def read(author: str | None) -> dict | None:
             part.append(f"{rest}|{initials[0]}|")
     elif len(whole) >= 2:
         name = rest
-        if len(whole) <= 5:
-            for n in (1, 2):
+        if len(whole) <= KEYED_PARTS:
+            for n in (1, 2) if len(whole) <= PAIRED_PARTS else (1,):
                 for short in combinations(range(len(canon)), n):
                     if len(canon) - n >= 1:
                         for spelling in {tuple(canon), tuple(whole)}:
@@ -164,27 +167,36 @@ def _holes(bags: pd.DataFrame) -> list[tuple]:
     return out
 
 
+def _join(a: DataFrame, b: DataFrame, on: Sequence[str] | str, how: str = "inner") -> DataFrame:
+    """Both sides grow with the number of names, so neither is broadcast."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def profiles(contents: DataFrame) -> DataFrame:
-    """(author, entity): each author string in use that names somebody, with the number of its journalist or newsroom."""
+    """(author, entity, name): each author string in use that names somebody, with the number of its journalist or newsroom and the spelling of it that is used most."""
     used = cut(contents.where("author is not null").groupBy("author", urls.site(F.col("url")).alias("site")).agg(F.count("*").alias("n")))
     records = used.select("author").distinct().mapInPandas(_read_all, _READ)
     records = cut(records.withColumn("bag_id", F.xxhash64("bag")))
+    asked = F.transform("part", lambda key, trust: F.struct(trust.alias("trust"), key.alias("key")))
     bags = cut(
         records.groupBy("bag_id").agg(
             F.bool_or("complete").alias("complete"), F.first("tokens").alias("tokens"), F.count("*").alias("strings"),
-            F.array_distinct(F.flatten(F.collect_set("full"))).alias("full"), F.max("part").alias("part"), F.max("accents").alias("accents"),
+            F.array_distinct(F.flatten(F.collect_set("full"))).alias("full"), F.array_distinct(F.flatten(F.collect_set(asked))).alias("part"), F.max("accents").alias("accents"),
         )
     )
-    state = bags.select("bag_id", F.col("bag_id").alias("cid"))
-    bag_sites = cut(records.select("author", "bag_id").join(used.where("site is not null"), "author").groupBy("bag_id", "site").agg(F.sum("n").alias("n")))
+    state = cut(bags.select("bag_id", F.col("bag_id").alias("cid")))
+    bag_sites = cut(_join(records.select("author", "bag_id"), used.where("site is not null"), "author").groupBy("bag_id", "site").agg(F.sum("n").alias("n")))
     typing = cut(_typing_errors(bags, bag_sites))
-    for _ in range(MAX_ROUNDS):
-        links = _links(bags, bag_sites, typing, state)
-        state = cut(state.join(links, "cid", "left").select("bag_id", F.coalesce("to", "cid").alias("cid"), F.col("to").isNotNull().alias("moved")))
-        if state.where("moved").limit(1).count() == 0:
+    while True:
+        links = cut(_links(bags, bag_sites, typing, state))
+        if links.isEmpty():
             break
-        state = state.drop("moved")
-    return records.join(state.select("bag_id", "cid"), "bag_id").select("author", F.col("cid").alias("entity"))
+        # each round merges one profile at least, so this ends
+        state = cut(_join(state, links, "cid", "left").select("bag_id", F.coalesce("to", "cid").alias("cid")))
+    named = _join(_join(records.select("author", "bag_id"), state, "bag_id"), used.groupBy("author").agg(F.sum("n").alias("n")), "author")
+    named = cut(named.select("author", F.col("cid").alias("entity"), "n"))
+    best = named.groupBy("entity").agg(F.min(F.struct((-F.col("n")).alias("n"), "author")).alias("b")).select("entity", F.col("b.author").alias("name"))
+    return _join(named.select("author", "entity"), best, "entity").select("author", "entity", "name")
 
 
 def _typing_errors(bags: DataFrame, bag_sites: DataFrame) -> DataFrame:
@@ -198,13 +210,13 @@ def _typing_errors(bags: DataFrame, bag_sites: DataFrame) -> DataFrame:
             yield pd.DataFrame(_holes(b), columns=["cid", "token", "key"])
 
     keyed = bags.where("complete").select(F.col("bag_id").alias("cid"), "tokens").mapInPandas(holes, schema)
-    keyed = cut(keyed.join(support, "token"))
+    keyed = cut(_join(keyed, support, "token"))
     rows = bag_sites.groupBy(F.col("bag_id").alias("cid")).agg(F.sum("n").alias("rows"))
-    more = bags.select(F.col("bag_id").alias("cid"), "strings", "accents").join(rows, "cid", "left").fillna(0, ["rows"])
-    # a part counts as suspect if few bags have it, or if its bag was written in one way only; only those look for others
-    wrong = keyed.join(more, "cid").where("support <= 12 or strings = 1").select("cid", "token", "key", "support", "strings", "rows", "accents")
-    right = keyed.join(more, "cid").select(F.col("cid").alias("right"), F.col("token").alias("right_token"), "key", *[F.col(c).alias(f"right_{c}") for c in ("support", "strings", "rows", "accents")])
-    pairs = wrong.join(right, "key").where(F.col("cid") != F.col("right")).dropDuplicates(["cid", "right"])
+    more = _join(bags.select(F.col("bag_id").alias("cid"), "strings", "accents"), rows, "cid", "left").fillna(0, ["rows"])
+    wrong = cut(_join(keyed, more, "cid").select("cid", "token", "key", "support", "strings", "rows", "accents"))
+    right = wrong.select(F.col("cid").alias("right"), F.col("token").alias("right_token"), "key", *[F.col(c).alias(f"right_{c}") for c in ("support", "strings", "rows", "accents")])
+    # a hole is shared by few bags: those whose other parts are equal and whose last one is a letter away
+    pairs = _join(wrong, right, "key").where((F.col("cid") != F.col("right")) & _likelier()).dropDuplicates(["cid", "right"])
 
     @F.pandas_udf(IntegerType())
     def closeness(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
@@ -212,15 +224,27 @@ def _typing_errors(bags: DataFrame, bag_sites: DataFrame) -> DataFrame:
         return pd.Series([_closeness(*v) for v in zip(a, b, x, y)], dtype="int32")
 
     pairs = cut(pairs.withColumn("far", closeness("token", "right_token", "accents", "right_accents")).where("far < 2"))
-    shared = pairs.select("cid", "right").join(bag_sites.withColumnRenamed("bag_id", "cid"), "cid").join(bag_sites.select(F.col("bag_id").alias("right"), "site", F.col("n").alias("m")), ["right", "site"]).groupBy("cid", "right").agg(F.sum(F.least("n", "m")).alias("shared"))
-    ranked = pairs.join(shared, ["cid", "right"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-    rare = (F.col("support") <= 2) & (F.struct("right_support", "right_strings", "right_rows") > F.struct("support", "strings", "rows"))
+    shared = _join(_join(pairs.select("cid", "right"), bag_sites.withColumnRenamed("bag_id", "cid"), "cid"), bag_sites.select(F.col("bag_id").alias("right"), "site", F.col("n").alias("m")), ["right", "site"])
+    shared = shared.groupBy("cid", "right").agg(F.sum(F.least("n", "m")).alias("shared"))
+    ranked = _join(pairs, shared, ["cid", "right"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
     # a common part in an otherwise unknown spelling, an accent's difference away from a well-known one of the same site
-    slip = (F.col("far") == 0) & (F.col("strings") == 1) & (F.col("right_strings") >= 3) & (F.col("shared") > 0)
-    ranked = ranked.where((F.col("right_support") >= 4 * F.col("support")) | rare | slip)
-    by = Window.partitionBy("cid").orderBy((F.col("shared") == 0).cast("int"), "far", F.col("right_support").desc(), F.col("shared").desc(), "right")
-    first = ranked.withColumn("k", F.row_number().over(by)).where("k = 1")
-    return first.select(F.col("cid").alias("bag_id"), "right")
+    slip = (F.col("far") == 0) & (F.col("shared") > 0)
+    ranked = ranked.where(_plainly_likelier() | slip)
+    # of each misspelt bag the one right spelling, found by aggregation
+    first = F.min(F.struct((F.col("shared") == 0).cast("int").alias("a"), "far", (-F.col("right_support")).alias("b"), (-F.col("shared")).alias("c"), "right")).alias("first")
+    return ranked.groupBy("cid").agg(first).select(F.col("cid").alias("bag_id"), F.col("first.right").alias("right"))
+
+
+def _plainly_likelier() -> Column:
+    """Whether the other part of a pair is so much more in use that this one is its misspelling: four times as many bags, or more than a part of two bags has."""
+    rare = (F.col("support") <= 2) & (F.struct("right_support", "right_strings", "right_rows") > F.struct("support", "strings", "rows"))
+    return (F.col("right_support") >= 4 * F.col("support")) | rare
+
+
+def _likelier() -> Column:
+    """The pairs that are looked at: the part is in few bags, or its bag was written in one way only or in far fewer ways than the other; and the other is plainly likelier, or at least written in three ways."""
+    suspect = (F.col("support") <= FEW_BAGS) | (F.col("strings") == 1) | (F.col("right_strings") >= 4 * F.col("strings"))
+    return suspect & (_plainly_likelier() | (F.col("strings") == 1) & (F.col("right_strings") >= 3))
 
 
 def _closeness(a: str, b: str, p: str, q: str) -> int:
@@ -234,30 +258,31 @@ def _closeness(a: str, b: str, p: str, q: str) -> int:
 
 
 def _links(bags: DataFrame, bag_sites: DataFrame, typing: DataFrame, state: DataFrame) -> DataFrame:
-    """(cid, to): profiles that join another one in this round."""
-    known = bags.join(state, "bag_id")
-    has_full = known.groupBy("cid").agg(F.bool_or(F.col("complete") & (F.size("full") > 0)).alias("has_full"))
+    """(cid, to): profiles that join another one in this round; none of those that are joined moves itself."""
+    known = _join(bags, state, "bag_id").withColumn("parts", F.when(F.col("complete"), F.size("tokens")).otherwise(0))
     full = known.where("complete").select("cid", F.explode("full").alias("key")).distinct()
-    sites = bag_sites.join(state, "bag_id").groupBy("cid", "site").agg(F.sum("n").alias("n"))
-    asking = known.select("cid", "complete", F.posexplode("part").alias("trust", "key")).join(has_full, "cid")
-    # a full name of two parts may lack the family name; it is asked about only as long as nothing was merged into it
-    size = known.groupBy("cid").agg(F.count("*").alias("bags"))
-    asking = asking.join(size, "cid").where("bags = 1").select("cid", "trust", "key")
+    sites = _join(bag_sites, state, "bag_id").groupBy("cid", "site").agg(F.sum("n").alias("n"))
+    # a profile asks with the keys of all its spellings that are as full as its fullest; a shorter one was answered when it joined
+    most = known.groupBy("cid").agg(F.max("parts").alias("most"))
+    asking = _join(known.where(F.size("part") > 0), most, "cid").where("parts = most").select("cid", F.explode("part").alias("p")).select("cid", "p.trust", "p.key").distinct()
     counts = full.groupBy("key").agg(F.count_distinct("cid").alias("n"), F.min("cid").alias("to"))
-    alone = asking.join(counts.where("n = 1"), "key").select("cid", "trust", F.lit(0).alias("way"), "to", F.lit(0).cast("long").alias("weight"))
-    by_site = full.join(sites, "cid").groupBy("key", "site").agg(F.count_distinct("cid").alias("n"), F.min("cid").alias("to"), F.sum("n").alias("rows"))
-    crowded = asking.join(counts.where("n > 1").select("key"), "key")
-    local = crowded.join(sites.withColumnRenamed("n", "own"), "cid").join(by_site.where("n = 1"), ["key", "site"]).select("cid", "trust", F.lit(1).alias("way"), "to", F.least("own", "rows").alias("weight"))
-    typed = typing.join(state, "bag_id").join(size, "cid").where("bags = 1").select("cid", "right").join(state.select(F.col("bag_id").alias("right"), F.col("cid").alias("to")), "right").select("cid", F.lit(0).alias("trust"), F.lit(-1).alias("way"), "to", F.lit(0).cast("long").alias("weight"))
+    found = cut(_join(asking, counts, "key"))
+    alone = found.where("n = 1").select("cid", "trust", F.lit(0).alias("way"), "to", F.lit(0).cast("long").alias("weight"))
+    crowded = found.where("n > 1").select("cid", "trust", "key")
+    by_site = _join(_join(full, crowded.select("key").distinct(), "key"), sites, "cid").groupBy("key", "site").agg(F.count_distinct("cid").alias("n"), F.min("cid").alias("to"), F.sum("n").alias("rows"))
+    local = _join(_join(crowded, sites.withColumnRenamed("n", "own"), "cid"), by_site.where("n = 1"), ["key", "site"]).select("cid", "trust", F.lit(1).alias("way"), "to", F.least("own", "rows").alias("weight"))
+    typed = _join(_join(typing, state, "bag_id").select("cid", "right"), state.select(F.col("bag_id").alias("right"), F.col("cid").alias("to")), "right")
+    typed = typed.select("cid", F.lit(0).alias("trust"), F.lit(-1).alias("way"), "to", F.lit(0).cast("long").alias("weight"))
     offers = alone.unionByName(local).unionByName(typed).where("cid != to")
-    best = offers.groupBy("cid").agg(F.min(F.struct("way", "trust", (-F.col("weight")).alias("w"), "to")).alias("b")).select("cid", F.col("b.to").alias("to"))
-    # two profiles that would join each other: the smaller number stays
-    back = best.select(F.col("cid").alias("to"), F.col("to").alias("cid"), F.lit(True).alias("mutual"))
-    return best.join(back, ["cid", "to"], "left").where(F.col("mutual").isNull() | (F.col("cid") > F.col("to"))).select("cid", "to")
+    best = cut(offers.groupBy("cid").agg(F.min(F.struct("way", "trust", (-F.col("weight")).alias("w"), "to")).alias("b")).select("cid", F.col("b.to").alias("to")))
+    # no circles: who is to be joined itself only joins a smaller number; then only those that stay are joined
+    joined = best.select(F.col("to").alias("cid"), F.lit(True).alias("joined")).distinct()
+    ordered = _join(best, joined, "cid", "left").where(F.col("joined").isNull() | (F.col("cid") > F.col("to"))).select("cid", "to")
+    return _join(ordered, ordered.select(F.col("cid").alias("to")), "to", "left_anti").select("cid", "to")
 
 
 def same_name_pairs(contents: DataFrame) -> DataFrame:
-    """(author_a, author_b): different strings that name the same person or newsroom, author_a < author_b."""
+    """(author_a, author_b): different strings that name the same person or newsroom, author_a < author_b; as many as its spellings give, where profiles() gives one row a spelling."""
     p = cut(profiles(contents))
     a, b = p.select(F.col("author").alias("author_a"), "entity"), p.select(F.col("author").alias("author_b"), "entity")
-    return a.join(b, "entity").where("author_a < author_b").select("author_a", "author_b")
+    return _join(a, b, "entity").where("author_a < author_b").select("author_a", "author_b")
