@@ -29,7 +29,7 @@ SHARE = 0.1
 def line_keys(content: Column) -> Column:
     """Array with a hash for each line of the text, split at ``\\n``; null for lines without letter or digit."""
     # only texts with characters that may be disguised leave the JVM
-    plain = F.coalesce(looks.form_udf(F.when(content.rlike(looks.SUSPECT), content)), content)
+    plain = F.coalesce(looks.plain_udf(F.when(content.rlike(looks.SUSPECT), content)), content)
     bare = F.regexp_replace(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{M}\p{N}\n]+", ""), r"\p{N}+", "0")
     return F.transform(F.split(bare, "\n"), lambda line: F.when(line != "", F.xxhash64(line)))
 
@@ -39,7 +39,9 @@ def frequent_lines(keyed: DataFrame, least_rows: int = LEAST_ROWS, share: float
     of_site = keyed.where("site is not null")
     rows = of_site.groupBy("site").agg(F.count("*").alias("rows"))
     lines = of_site.select("site", F.explode(F.array_distinct(F.array_compact("keys"))).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows)
-    return lines.join(rows, "site").where(F.col("n") >= F.col("rows") * share).groupBy("site").agg(F.collect_list("line").alias("frequent"))
+    # the share in millionths, so that no rounding decides
+    enough = F.col("n") * 1_000_000 >= F.col("rows") * round(share * 1_000_000)
+    return lines.join(rows, "site").where(enough).groupBy("site").agg(F.collect_list("line").alias("frequent"))
 
 
 def _keyed(contents: DataFrame) -> DataFrame:
@@ -47,15 +49,14 @@ def _keyed(contents: DataFrame) -> DataFrame:
     return contents.where("content is not null").withColumn("__site", F.when(site.isNotNull(), F.xxhash64(site))).withColumn("__keys", line_keys(F.col("content")))
 
 
-def _counted(contents: DataFrame, least_rows: int, share: float) -> tuple[DataFrame, DataFrame]:
-    keyed = cut(_keyed(contents.select("id", "url", "content")).select("id", F.col("__site").alias("site"), F.col("__keys").alias("keys")))
-    return keyed, frequent_lines(keyed, least_rows, share)
+def _keys(contents: DataFrame) -> DataFrame:
+    return _keyed(contents.select("id", "url", "content")).select("id", F.col("__site").alias("site"), F.col("__keys").alias("keys"))
 
 
 def frequent_positions(contents: DataFrame, least_rows: int = LEAST_ROWS, share: float = SHARE) -> DataFrame:
     """(id, line_no): the frequent lines of each document, counted from 1, blank lines included."""
-    keyed, frequent = _counted(contents, least_rows, share)
-    lines = lookup_join(keyed, frequent, ["site"], "inner")
+    keyed = cut(_keys(contents))
+    lines = lookup_join(keyed, frequent_lines(keyed, least_rows, share), ["site"], "inner")
     hit = lines.select("id", F.posexplode(F.transform("keys", lambda k: F.array_contains("frequent", k))).alias("at", "hit"))
     return hit.where("hit").select("id", (F.col("at") + 1).cast("int").alias("line_no")).distinct()
 
@@ -63,7 +64,8 @@ def frequent_positions(contents: DataFrame, least_rows: int = LEAST_ROWS, share:
 def without_frequent_lines(contents: DataFrame, least_rows: int = LEAST_ROWS, share: float = SHARE) -> DataFrame:
     """(id, url, content, lines_removed): the rows with content, without their site's frequent lines."""
     contents = contents.select("id", "url", "content")
-    _, frequent = _counted(contents, least_rows, share)
+    # keys are worked out twice, once to count and once beside the texts, which would cost more to write
+    frequent = frequent_lines(_keys(contents), least_rows, share)
     rows = lookup_join(_keyed(contents).withColumnRenamed("__site", "__of"), frequent.select(F.col("site").alias("__of"), F.col("frequent").alias("__frequent")), ["__of"])
     lines = F.arrays_zip(F.split("content", "\n").alias("line"), F.col("__keys").alias("key"))
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__frequent", x["key"]), F.lit(False)))

@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 # Letters of other scripts that look like Latin ones.
-_CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԌԛԜаеѕіјкорсухԁһԛԝ"
-_CYRILLIC_AS = "ABESIJKMHOPCTYXYGqWaesijkopcyxdhqw"
+_CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԌԛԜаеѕіјкорсухԁһԛԝӀӏү"
+_CYRILLIC_AS = "ABESIJKMHOPCTYXYGqWaesijkopcyxdhqwIly"
 _GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορτυχ"
 _GREEK_AS = "ABEZHIKMNOPTYXaikvoptux"
+_ARMENIAN, _ARMENIAN_AS = "ՍՏՕԼօսհոցզ", "USOLouhngq"
+_CHEROKEE, _CHEROKEE_AS = "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏚᎢᏙᏔᏃ", "ABCDEGHJKLMPSTVWZ"
 #: Latin letters of other uses that are taken for plain ones wherever they stand.
 _LATIN, _LATIN_AS = "ɡɑƉ", "gaĐ"
-LOOKALIKES = dict(zip(map(ord, _CYRILLIC + _GREEK), _CYRILLIC_AS + _GREEK_AS, strict=True))
+LOOKALIKES = dict(zip(map(ord, _CYRILLIC + _GREEK + _ARMENIAN + _CHEROKEE), _CYRILLIC_AS + _GREEK_AS + _ARMENIAN_AS + _CHEROKEE_AS, strict=True))
 
 #: Disguised wherever they stand, as ranges for a regular expression: full-width and small forms, ligatures and digraphs,
 #: mathematical and other styled letters, dot leaders. Their compatibility form is ordinary text.
@@ -38,7 +40,7 @@ _STYLED = "！-～￠-￦ﬀ-ﬆ﹐-﹫\U0001d400-\U0001d7ffℊ-ℓℕ℘-ℝℤ
 _IGNORED = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￰-￸\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff"
 _SPACES = "   -   　"
 _MARKS = "̀-ͯ"
-_OTHER = "Ͱ-ϿЀ-ԯ"
+_OTHER = "Ͱ-ϿЀ-ԯԱ-֏Ꭰ-Ᏽ"
 #: Any character for which the form of a text may differ from it, for texts of Latin script.
 SUSPECT = f"[{_STYLED}{_IGNORED}{_SPACES}{_MARKS}{_OTHER}{_LATIN}Ð]"
 
@@ -104,6 +106,14 @@ def form(text: str) -> str:
     return out
 
 
+def plain(text: str) -> str:
+    """The form in which all look-alikes are Latin letters, whatever the script of their word: for comparing, not for reading."""
+    out = form(text)
+    if _FOREIGN.search(out):
+        out = unicodedata.normalize("NFC", unicodedata.normalize("NFD", out).translate(LOOKALIKES))
+    return out
+
+
 def _neighbour_latin(text: str, m: re.Match[str]) -> bool:
     return bool(_PLAIN.search(text[max(0, m.start() - 12) : m.start()]) or _PLAIN.search(text[m.end() : m.end() + 12]))
 
@@ -143,6 +153,11 @@ def form_udf(values: pd.Series) -> pd.Series:
     return per_distinct(values, form)
 
 
+@F.pandas_udf(StringType())
+def plain_udf(values: pd.Series) -> pd.Series:
+    return per_distinct(values, plain)
+
+
 @F.pandas_udf(StringType())
 def key_udf(values: pd.Series) -> pd.Series:
     return per_distinct(values, key)

@@ -78,9 +78,15 @@ def repeats(drawn: DataFrame) -> DataFrame:
 
 
 def shares(drawn: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, reached_share, tokens, documents, most_repeats): a row for each target source, also for those without documents."""
-    by_source = repeats(drawn).groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"))
-    joined = targets_of(targets).join(by_source, "source", "left").fillna(0, ["tokens", "documents", "most_repeats"])
+    """(source, target_share, reached_share, tokens, documents, most_repeats, off_tokens, longest): a row for each target source, also for those without documents.
+
+    ``off_tokens``: tokens above or below the source's part of what was drawn, shares of sources with documents scaled to
+    1; at most the size of ``longest``, its longest document drawn, or of the one that would come next.
+    """
+    by_source = repeats(drawn).groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"), F.max("tokens").alias("longest"))
+    joined = targets_of(targets).join(by_source, "source", "left").fillna(0, ["tokens", "documents", "most_repeats", "longest"])
     # a row for each target source
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
-    return joined.select("source", F.round("share", 6).alias("target_share"), F.round(F.col("tokens") / F.greatest(total, F.lit(1)), 6).alias("reached_share"), "tokens", "documents", "most_repeats")
+    whole = Window.partitionBy(F.lit(1))
+    total, weights = F.sum("tokens").over(whole), F.sum(F.when(F.col("documents") > 0, F.col("share"))).over(whole)
+    off = F.when(F.col("documents") > 0, F.round(F.col("tokens") - total * F.col("share") / weights, 1))
+    return joined.select("source", F.round("share", 6).alias("target_share"), F.round(F.col("tokens") / F.greatest(total, F.lit(1)), 6).alias("reached_share"), "tokens", "documents", "most_repeats", off.alias("off_tokens"), "longest")

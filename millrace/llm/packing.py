@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.tokens import VOCABULARY, with_tokens
+from millrace.operators.joins import lookup_join
 from millrace.session import cut
 
 #: Tokens of a shard: about twenty thousand news texts.
@@ -101,8 +102,10 @@ def pack(documents: DataFrame, containers: DataFrame, vocabulary: str = VOCABULA
         out["container"] = [f"{kind}-{number}-{c}" for c in out["container"]]
         return out[["container_kind", "container", "doc_id", "piece", "tokens", "room_left"]]
 
-    # the kinds of containers are the rows of a small table, each of which packs all texts
-    return spread.join(F.broadcast(kinds.limit(1000))).groupBy("container_kind", "capacity", "shard").applyInPandas(shard, "container_kind string, container string, doc_id long, piece int, tokens long, room_left long")
+    # every kind of container packs all texts
+    every = F.lit(0).alias("every")
+    placed = lookup_join(spread.select("*", every), kinds.select("*", every), ["every"], "inner")
+    return placed.groupBy("container_kind", "capacity", "shard").applyInPandas(shard, "container_kind string, container string, doc_id long, piece int, tokens long, room_left long")
 
 
 def _mixed(ids: np.ndarray) -> np.ndarray:

@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,7 +67,7 @@ def test_sketch_beside_a_large_copy_group(spark):
     rows = [u] * 400 + list(cos * u + np.sqrt(1 - cos**2) * away) + list(rng.standard_normal((400, DIM)))
     df = spark.createDataFrame([(f"i{k:04}", r.astype(np.float32).tolist()) for k, r in enumerate(rows)], "id string, content_embedding array<float>")
     vectors = neighbours.usable_vectors(df, dim=DIM)
-    centre = neighbours._centre(vectors, vectors.groupBy("id", "copy").agg(F.count("*").alias("rows")), DIM)
+    _, centre = neighbours._members_and_centre(vectors, 1200, DIM)
     m = np.array(rows, np.float32)
     distinct = m[399:] / np.linalg.norm(m[399:], axis=1, keepdims=True)
     assert np.allclose(centre, distinct.mean(0), atol=1e-5)
@@ -75,6 +77,53 @@ def test_sketch_beside_a_large_copy_group(spark):
     assert (estimate >= neighbours.LEAST - neighbours.SLACK).mean() > 0.99
 
 
+def links(m, k=5, least=0.7):
+    m = m.astype(np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    s = m @ m.T
+    np.fill_diagonal(s, -2)
+    top = np.argsort(-s, axis=1)[:, :k]
+    return {(r, int(c)) for r in range(len(m)) for c in top[r] if s[r, c] >= least}
+
+
+def made(case):
+    rng = np.random.default_rng(17)
+    if case == "common mean":  # any two vectors have a cosine of 0.83
+        return rng.standard_normal(768) + 0.45 * rng.standard_normal((2500, 768))
+    if case == "one cluster":  # larger than a block
+        return rng.standard_normal(64) + 0.6 * rng.standard_normal((4000, 64))
+    middles = rng.standard_normal((60, 768))  # 32-bit values that no half float has
+    return np.concatenate([*(c + 0.6 * rng.standard_normal((int(rng.integers(2, 40)), 768)) for c in middles), rng.standard_normal((1000, 768))])
+
+
+@pytest.mark.parametrize("case", ["common mean", "one cluster", "clusters"])
+def test_recall(spark, tmp_path, case):
+    m = made(case).astype(np.float32)
+    pq.write_table(pa.table({"id": [f"r{k:06}" for k in range(len(m))], "content_embedding": pa.array(list(m), pa.list_(pa.float32()))}), tmp_path / "v.parquet")
+    got = {(int(r.id[1:]), int(r.other[1:])) for r in neighbours.nearest(spark.read.parquet(str(tmp_path / "v.parquet")).repartition(6), dim=m.shape[1]).select("id", "other").collect()}
+    want = links(m)
+    assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+def test_levels():
+    a = np.array([0, 0, 5 << 40, 1], np.int64)
+    b = np.array([0, 1, 6 << 40, 1 << (neighbours.TEXT_BITS - 1)], np.int64)
+    whole = neighbours.TEXT_BITS // neighbours.LEVEL
+    assert neighbours.levels(a, b).tolist() == [whole, (neighbours.TEXT_BITS - 1) // neighbours.LEVEL, (neighbours.TEXT_BITS - 42) // neighbours.LEVEL, 0]
+
+
+def test_offers_are_ascended_from_the_deepest_level(spark):
+    depth = neighbours.TEXT_BITS // neighbours.LEVEL
+    offer = lambda level, apart, other: ((depth - level) << 58) | (apart << 50) | other
+    deep = [(1, offer(9, 50, 1000 + k)) for k in range(neighbours.ASCENT)]
+    rows = [*deep, (1, offer(3, 1, 7)), (2, offer(9, 50, 5)), (2, offer(3, 1, 5)), (2, offer(0, 20, 6))]
+    got = {}
+    for r in neighbours._candidates(spark.createDataFrame(rows, "row long, offer long")).collect():
+        got.setdefault(r.row, []).append((r.apart, r.other))
+    assert got[1] == [(50, 1000 + k) for k in range(neighbours.CANDIDATES)]  # the shallow one came after ASCENT others
+    assert got[2][0] == (1, 5) and (20, 6) in got[2]
+
+
 def test_strings_keep_prefixes():
     rng = np.random.default_rng(1)
     v = rng.standard_normal((200, DIM)).astype(np.float32)

@@ -18,6 +18,7 @@ def contents(spark, rows):
         ("plain", None), ("Trận đấu – “vượt” m² №7 5 µg ❤️ 👩‍💻 α Ωμέγα «Северный ветер» fi", None), ("", None), ("नमस्‍ते", None), ("1️⃣ 🏴󠁧󠁢󠁥󠁮󠁧󠁿", None),
         ("é", "é"), ("ｈọｃ １２", "học 12"), ("𝐭𝗁𝚎", "the"), ("ﬁrst", "first"), ("a b c　d", "a b c d"), ("Ho­me​", "Home"), ("а house iѕ", "a house is"),
         ("ɡood", "good"), ("sа́ch", "sách"), ("Ðông", "Đông"), ("Ðað", None), ("x‍y", "xy"), ("a️", "a"), ("﻿", ""),
+        ("hօuse", "house"), ("ᎢᎻE end", "THE end"), ("Հայաստան", None), ("ᏣᎳᎩ", None),
     ],
 )
 def test_forms(text, form):
@@ -43,7 +44,7 @@ def brute_lines(rows, least, share):
     import unicodedata
 
     def key(line):
-        kept = "".join(c for c in looks.form(line).lower() if unicodedata.category(c)[0] in "LMN")
+        kept = "".join(c for c in looks.plain(line).lower() if unicodedata.category(c)[0] in "LMN")
         return re.sub(r"\d+", "0", kept)
 
     def site(u):
@@ -64,7 +65,7 @@ def brute_lines(rows, least, share):
 
 def test_frequent_lines_against_brute_force(spark):
     rng = random.Random(1)
-    notes = ["Follow A for 12 stories", "FOLLOW  a, for 9 stories!", "Ｆｏｌｌｏｗ a for 3 stories", "rare", "", "---", "12"]
+    notes = ["Follow A for 12 stories", "Fоllоw а fоr 3 stоriеs", "осе", "oce", "FOLLOW  a, for 9 stories!", "Ｆｏｌｌｏｗ a for 3 stories", "rare", "", "---", "12"]
     rows = []
     for k in range(120):
         lines = [f"body {rng.choice('abcdef')}{k} x{'y' * k}" for _ in range(3)] + rng.choices(notes, k=2)
