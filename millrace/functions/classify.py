@@ -9,11 +9,12 @@ from millrace.functions import urls
 
 # Alternatives that exclude a URL wherever they stand in it, file endings, article endings.
 EXCLUDED = (
-    "login register logout signin signup admin dashboard api rss feed search tag archive "
-    r"\d{4}/\d{2}/\d{2} sitemap\.xml robots\.txt contact about privacy terms policy 404 error ajax json xml pdf print share "
-    r"comment reply download upload edit delete create update wp-admin wp-content wp-includes node_modules \.git favicon"
-).split()
-FILE_ENDINGS = "jpg jpeg png gif pdf doc docx xls xlsx zip rar mp3 mp4 avi".split()
+    "login", "register", "logout", "signin", "signup", "admin", "dashboard", "api", "rss", "feed", "search", "tag", "archive",
+    r"\d{4}/\d{2}/\d{2}", r"sitemap\.xml", r"robots\.txt", "contact", "about", "privacy", "terms", "policy", "404", "error",
+    "ajax", "json", "xml", "pdf", "print", "share", "comment", "reply", "download", "upload", "edit", "delete", "create", "update",
+    "wp-admin", "wp-content", "wp-includes", "node_modules", r"\.git", "favicon",
+)
+FILE_ENDINGS = ("jpg", "jpeg", "png", "gif", "pdf", "doc", "docx", "xls", "xlsx", "zip", "rar", "mp3", "mp4", "avi")
 _PAGE = r"(\.(html?|tpo|php|aspx|epi))?"
 
 EXCLUDE = f"(?i)({'|'.join(EXCLUDED)})"
@@ -59,9 +60,14 @@ def is_home(url: Column) -> Column:
     return urls.path(url).isin("", "/")
 
 
-def is_likely_navigation(url: Column) -> Column:
-    """No date directories, no post, article or story directory, a path of 2 to 49 characters in at most three parts."""
+def has_short_path(url: Column) -> Column:
+    """A path of 2 to 49 characters in at most three parts."""
     p = urls.path(url)
     # trailing empty parts don't count, as in the JVM's split
     parts = F.size(F.split(F.regexp_replace(p, "/+$", ""), "/"))
-    return ~url.rlike(r"/\d{4}/\d{2}/") & ~url.rlike("/(post|article|story)/") & F.length(p).between(2, 49) & (parts <= 3)
+    return F.coalesce(F.length(p).between(2, 49) & (parts <= 3), F.lit(False))
+
+
+def is_likely_navigation(url: Column) -> Column:
+    """A short path without date directories and without a post, article or story directory."""
+    return ~url.rlike(r"/\d{4}/\d{2}/") & ~url.rlike("/(post|article|story)/") & has_short_path(url)

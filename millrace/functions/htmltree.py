@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from html import unescape
+from html import escape, unescape
 
 # The standard's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,6 +37,8 @@ _TAG = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+#: A tag that closes itself; a slash at the end of an unquoted value is part of the value.
+_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")
 _BLANKS = re.compile(r"[ \t\r\n]+")
 _ALL_BLANKS = re.compile(r"[ \t\r\n\f\xa0]+")
 
@@ -124,7 +126,7 @@ def parse(html: str | None) -> Node:
                 if inner:
                     node.children.append(unescape(inner) if tag in ("title", "textarea") else inner)
                 at = close.end() if close else end
-            elif tag not in VOID and not raw.endswith("/"):
+            elif tag not in VOID and not _CLOSED.search(raw):
                 here = node
         elif (tag := m[3]) is not None:
             tag = tag.lower()
@@ -227,25 +229,104 @@ def blocks(root: Node) -> list[Block]:
     return out
 
 
-def render(root: Node) -> str:
-    """The page as text: a line for each block, list entries marked and indented by depth, the cells of a table row side by side."""
-    lines: list[str] = []
-    row: Node | None = None
-    table: Node | None = None
-    for b in blocks(root):
-        chain = [b.node, *b.node.ancestors()]
-        in_cell = b.node.tag in ("td", "th")
-        this_row = next((n for n in chain if n.tag == "tr"), None) if in_cell else None
-        this_table = next((n for n in chain if n.tag == "table"), None)
-        if this_row is not None and this_row is row:
-            lines[-1] += "\t" + b.text
+class Line:
+    """A rendered line: a visible block and where it stands, which is worked out when it is asked for."""
+
+    __slots__ = ("block", "_chain")
+
+    def __init__(self, block: Block) -> None:
+        self.block, self._chain = block, None
+
+    @property
+    def chain(self) -> list[Node]:
+        """The elements around the block, innermost first."""
+        if self._chain is None:
+            self._chain = [self.block.node, *self.block.node.ancestors()]
+        return self._chain
+
+    def around(self, *tags: str) -> Node | None:
+        return next((n for n in self.chain if n.tag in tags), None)
+
+    @property
+    def cell(self) -> tuple[Node, Node, Node] | None:
+        """Its table, row and cell, if it stands in the cell of a row."""
+        cell, row, table = self.around("td", "th"), self.around("tr"), self.around("table")
+        return (table, row, cell) if cell is not None and row is not None and table is not None else None
+
+    def written(self) -> str:
+        """The text with the indent of the lists around it, and the mark of its list entry if it opens one."""
+        lists = [n for n in self.chain if n.tag in ("ul", "ol", "menu")]
+        if not lists:
+            return self.block.text
+        item, indent = self.around("li"), "  " * (len(lists) - 1)
+        if item is None or item is not self.block.node:
+            return indent + self.block.text
+        if lists[0].tag != "ol":
+            return f"{indent}- {self.block.text}"
+        place = [n for n in lists[0].children if type(n) is Node and n.tag == "li"].index(item) if item in lists[0].children else 0
+        return f"{indent}{place + 1}. {self.block.text}"
+
+
+def layout(root: Node) -> list[Line]:
+    """All visible lines of a page, in order."""
+    return [Line(b) for b in blocks(root)]
+
+
+#: A column of a table is aligned up to this width; beyond it cells are only kept apart.
+ALIGNED = 60
+
+
+def _table(cells: list[tuple[tuple[Node, Node, Node], str]]) -> list[str]:
+    """The rows of a table with its columns aligned, two blanks apart; several lines of a cell are one."""
+    rows: list[tuple[Node, list[tuple[Node, str]]]] = []
+    for (_, row, cell), text in cells:
+        if not rows or rows[-1][0] is not row:
+            rows.append((row, []))
+        own = rows[-1][1]
+        if own and own[-1][0] is cell:
+            own[-1] = (cell, f"{own[-1][1]} {text}")
+        else:
+            own.append((cell, text))
+    widths: list[int] = []
+    for _, own in rows:
+        for k, (_, text) in enumerate(own):
+            if k == len(widths):
+                widths.append(0)
+            if len(text) <= ALIGNED:
+                widths[k] = max(widths[k], len(text))
+    return ["  ".join(text.ljust(widths[k]) for k, (_, text) in enumerate(own)).rstrip() for _, own in rows]
+
+
+def write(lines: list[Line]) -> str:
+    """Lines as text: a blank line between blocks, none between the lines of one block or the entries of one list, list entries marked and indented, the cells of tables in aligned columns."""
+    out: list[str] = []
+    k = 0
+    last: Line | None = None
+    while k < len(lines):
+        line = lines[k]
+        cell = line.cell
+        if cell is not None:
+            end = k
+            while end < len(lines) and (c := lines[end].cell) is not None and c[0] is cell[0]:
+                end += 1
+            if out:
+                out.append("")
+            out += _table([(x.cell, x.block.text) for x in lines[k:end]])
+            last, k = None, end
+            if k < len(lines):
+                out.append("")
             continue
-        if lines and (b.node.tag in ("h1", "h2", "h3", "h4", "h5", "h6") or this_table is not table):
-            lines.append("")
-        row, table = this_row, this_table
-        depth = sum(n.tag in ("ul", "ol") for n in chain)
-        lines.append("  " * max(0, depth - 1) + "- " + b.text if b.node.tag == "li" else b.text)
-    return "\n".join(lines)
+        listed = last is not None and last.around("ul", "ol", "menu") is not None and line.around("ul", "ol", "menu") is not None
+        if last is not None and last.block.node is not line.block.node and not listed:
+            out.append("")
+        out.append(line.written())
+        last, k = line, k + 1
+    return "\n".join(out)
+
+
+def render(root: Node) -> str:
+    """The page as text, see write()."""
+    return write(layout(root))
 
 
 _SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)|\.([\w-]+)|#([\w-]+)|\[\s*([\w-]+)\s*(?:([*^$~|]?=)\s*(?:\"([^\"]*)\"|'([^']*)'|([^\]\s]+))\s*)?\]|:not\(:has\(([\w-]+)\)\)")
@@ -324,10 +405,34 @@ def _matches(node: Node, steps: tuple, root: Node) -> bool:
     return False
 
 
+@lru_cache(4096)
+def _plain_selectors(selector: str) -> tuple[frozenset, frozenset, frozenset, tuple]:
+    """The alternatives of a selector that are one tag, class or id, as sets, and the others."""
+    plain: tuple[set, set, set] = (set(), set(), set())
+    others = []
+    for steps in compile_selector(selector):
+        tests = steps[0][1]
+        which = next((k for k in range(3) if len(steps) == 1 and len(tests) == 1 and tests[0][k] is not None and tests[0][0] != "*"), None)
+        if which is None:
+            others.append(steps)
+        else:
+            plain[which].add(tests[0][which].lower() if which == 1 else tests[0][which])
+    return frozenset(plain[0]), frozenset(plain[1]), frozenset(plain[2]), tuple(others)
+
+
+def _any(node: Node, selector: str, root: Node) -> bool:
+    tags, classes, ids, others = _plain_selectors(selector)
+    if node.tag in tags:
+        return True
+    if node.raw and (classes or ids):
+        if ids and node.attrs.get("id") in ids or classes and any(c.lower() in classes for c in node.classes):
+            return True
+    return any(_matches(node, s, root) for s in others)
+
+
 def select(root: Node, selector: str) -> list[Node]:
     """Elements below ``root`` that match, in document order."""
-    alternatives = compile_selector(selector)
-    return [n for n in root.descendants() if any(_matches(n, s, root) for s in alternatives)]
+    return [n for n in root.descendants() if _any(n, selector, root)]
 
 
 def first_text(root: Node, selector: str | None) -> str | None:
@@ -335,10 +440,10 @@ def first_text(root: Node, selector: str | None) -> str | None:
     if not selector or not selector.strip():
         return None
     try:
-        alternatives = compile_selector(selector)
+        compile_selector(selector)
     except ValueError:
         return None
-    found = next((n for n in root.descendants() if any(_matches(n, s, root) for s in alternatives)), None)
+    found = next((n for n in root.descendants() if _any(n, selector, root)), None)
     return None if found is None else found.text()
 
 
@@ -347,3 +452,24 @@ def remove(root: Node, selector: str) -> None:
     for node in select(root, selector):
         if node.parent is not None and node in node.parent.children:
             node.parent.children.remove(node)
+
+
+def to_html(root: Node) -> str:
+    """The tree as HTML again: attributes as they were written, end tags added, comments gone."""
+    out: list[str] = []
+    stack: list = list(reversed(root.children))
+    while stack:
+        item = stack.pop()
+        kind = type(item)
+        if kind is str:
+            out.append(item)
+        elif kind is tuple:
+            out.append(f"</{item[0]}>")
+        elif item.tag in RAW:
+            out.append(f"<{item.tag}{item.raw}>{''.join(c for c in item.children if type(c) is str)}</{item.tag}>")
+        else:
+            out.append(f"<{item.tag}{item.raw}>")
+            if item.tag not in VOID:
+                stack.append((item.tag,))
+                stack.extend(c if type(c) is Node else escape(c, quote=False) for c in reversed(item.children))
+    return "".join(out)

@@ -6,8 +6,11 @@ import re
 from urllib.parse import quote, unquote_to_bytes
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType
+
+from millrace.functions.urls import trimmed
 
 _SCHEME = re.compile(r"[^\W\d_][\w.+-]*$")
 # Session keys that a canonical query leaves out, default ports, schemes that open a connection.
@@ -15,12 +18,12 @@ SESSION_KEYS = frozenset({"jsessionid", "phpsessid", "aspsessionid"})
 PORTS = {"http": 80, "https": 443, "ftp": 21}
 OPENABLE = frozenset({"http", "https", "ftp", "file", "jar", "mailto"})
 
-PARTS = StructType([StructField(n, StringType()) for n in ("scheme", "location", "path", "parameters", "query", "fragment")])
+PARTS = ("scheme", "location", "path", "parameters", "query", "fragment")
 
 
 def split(spec: str) -> dict[str, str | None]:
     """The six parts of RFC 1808; null for parts that aren't there."""
-    p: dict[str, str | None] = dict.fromkeys(("scheme", "location", "path", "parameters", "query", "fragment"))
+    p: dict[str, str | None] = dict.fromkeys(PARTS)
     rest, mark, fragment = spec.partition("#")
     if mark:
         p["fragment"] = fragment
@@ -187,6 +190,23 @@ def resolve_same_site_udf(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
     return pd.Series([None if b is None or h is None else resolve(b, h, same_site=True) for b, h in zip(bases, hrefs)], dtype=object)
 
 
-@F.pandas_udf(PARTS)
-def parts_udf(urls: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([split(u.strip()) if u is not None else dict.fromkeys(PARTS.names) for u in urls], columns=PARTS.names)
+def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
+    """``df`` with the parts that split() gives of a URL column, as built-in expressions; each step takes one part off what the one before left."""
+    whole, left = df.columns, F.col("__left")
+
+    def before(mark: str) -> Column:
+        return F.regexp_extract(left, f"^([^{mark}]*)", 1)
+
+    def behind(mark: str) -> Column:
+        return F.when(F.contains(left, F.lit(mark)), F.regexp_extract(left, rf"^[^{mark}]*[{mark}]([\s\S]*)$", 1))
+
+    rows = df.withColumn("__left", trimmed(F.col(url)))
+    rows = rows.select(*whole, behind("#").alias("fragment"), before("#").alias("__left"))
+    scheme = F.nullif(F.regexp_extract(left, r"^(\p{L}[\p{L}\p{N}_.+-]*):", 1), F.lit(""))
+    rows = rows.withColumn("scheme", scheme).withColumn("__left", F.coalesce(F.substr(left, F.length("scheme") + 2), left))
+    net = F.startswith(left, F.lit("//"))
+    location = F.when(net & F.contains(F.substr(left, F.lit(3)), F.lit("/")), F.regexp_extract(left, "^//([^/]*)", 1)).when(net, F.regexp_extract(left, "^//([^?;]*)", 1))
+    rows = rows.withColumn("location", location).withColumn("__left", F.coalesce(F.substr(left, F.length("location") + 3), left))
+    rows = rows.withColumn("query", behind("?")).withColumn("__left", before("?"))
+    rows = rows.withColumn("parameters", behind(";")).withColumn("__left", before(";"))
+    return rows.select(*whole, "scheme", "location", F.nullif(left, F.lit("")).alias("path"), "parameters", "query", "fragment")

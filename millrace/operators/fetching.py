@@ -15,7 +15,7 @@ from millrace.operators.frontier import RETRY_DELAY_S, RETRY_LIMIT
 REDIRECTS = (300, 301, 302, 303, 307, 308)
 MAX_HOPS = 2
 PAGE_BYTES, ROBOTS_BYTES = 5 << 20, 500 << 10
-FLUSH_FETCHES, FLUSH_GAP_S = 10, 180
+FLUSH_FETCHES, FLUSH_GAP_S, FORGET_S = 10, 180, 1200
 
 
 def outcome(attempts: DataFrame) -> DataFrame:
@@ -119,26 +119,26 @@ def may_fetch(links: DataFrame, metadata: DataFrame, cache: DataFrame | None, as
 
 
 class HostCounter:
-    """Fetches of a host since its last flush."""
+    """Fetches of a host since its last flush. A fetch flushes if it is the FLUSH_FETCHES-th, or if there was no flush within FLUSH_GAP_S; what is known of a host is forgotten FORGET_S after its last flush."""
 
     __slots__ = ("count", "since")
 
-    def __init__(self) -> None:
-        self.count, self.since = 0, None
+    def __init__(self, count: int = 0, since: int | None = None) -> None:
+        self.count, self.since = count, since
 
     def see(self, at_us: int) -> int | None:
         """The count that is flushed by a fetch at this time, if it is."""
+        if self.since is not None and at_us - self.since > FORGET_S * 1_000_000:
+            self.count, self.since = 0, None
         self.count += 1
-        if self.since is None:
-            self.since = at_us
-        if self.count >= FLUSH_FETCHES or at_us - self.since > FLUSH_GAP_S * 1_000_000:
+        if self.count >= FLUSH_FETCHES or self.since is None or at_us - self.since > FLUSH_GAP_S * 1_000_000:
             flushed, self.count, self.since = self.count, 0, at_us
             return flushed
         return None
 
 
 def host_flushes(fetches: DataFrame) -> DataFrame:
-    """(host, flushed_at, fetches): when each host's counter is flushed, at FLUSH_FETCHES fetches or FLUSH_GAP_S after the last flush, from (host, ts).
+    """(host, flushed_at, fetches): when each host's counter is flushed, see HostCounter, from (host, ts).
 
     Each flush depends on the one before, so a host is read in order; rows stream through, nothing is held but the counter.
     """

@@ -12,6 +12,7 @@ from millrace.functions import urls
 from millrace.operators import robots
 from millrace.operators.joins import lookup_join
 from millrace.operators.ranking import ranked
+from millrace.session import cut
 
 # Visits of a cycle by priority, sub-queues, back queues and their capacity, batch sizes, retry limits.
 SCHEDULE = (3, 3, 3, 3, 3, 2, 2, 2, 1)
@@ -64,6 +65,13 @@ def counters_by_host(admitted: DataFrame) -> DataFrame:
     return counted.groupBy(F.lower("host").alias("host")).agg(F.count_if(F.col("verdict") == "admitted").alias("processed"), F.count_if(F.col("verdict") != "admitted").alias("rejected"))
 
 
+def totals(admitted: DataFrame) -> DataFrame:
+    """(scheduled, processed, rejected): all URLs that were looked at, and how many of them were admitted or not."""
+    c = counters_by_host(admitted)
+    n = lambda name: F.coalesce(F.sum(name), F.lit(0))
+    return c.agg((n("processed") + n("rejected")).alias("scheduled"), n("processed").alias("processed"), n("rejected").alias("rejected"))
+
+
 def _served(priority: Column) -> Column:
     return priority.isin(*set(SCHEDULE))
 
@@ -99,20 +107,20 @@ def front_order(admitted: DataFrame, cursor: int = 0) -> DataFrame:
 
     Within a priority the least recently crawled leaves first. The whole order is ranked without a task per priority.
     """
-    rows = with_front_queue(admitted)
-    served = ranked(rows.where(_served(F.col("priority"))), ["priority"], _front_order(), "rank").withColumn("visit", _visit(F.col("rank"), F.col("priority"), cursor))
+    rows = cut(with_front_queue(admitted))
+    served = ranked(rows.where(_served(F.col("priority"))), ["priority"], _front_order(), "rank", few_keys=True).withColumn("visit", _visit(F.col("rank"), F.col("priority"), cursor))
     starved = rows.where(~F.coalesce(_served(F.col("priority")), F.lit(False))).withColumn("rank", F.lit(None).cast("long")).withColumn("visit", F.lit(None).cast("long"))
     return served.unionByName(starved)
 
 
 def front_batch(admitted: DataFrame, n: int = FRONT_BATCH, cursor: int = 0) -> DataFrame:
     """The next ``n`` rows to leave the front queues: the first n of each priority are enough to know them, so nothing is sorted whole."""
-    rows = with_front_queue(admitted)
+    rows = cut(with_front_queue(admitted))
     heads = None
     for p in sorted(set(SCHEDULE)):
         head = rows.where(F.col("priority") == p).orderBy(*_front_order()).limit(n)
         heads = head if heads is None else heads.unionByName(head)
-    ordered = ranked(heads, ["priority"], _front_order(), "rank").withColumn("visit", _visit(F.col("rank"), F.col("priority"), cursor))
+    ordered = ranked(heads, ["priority"], _front_order(), "rank", few_keys=True).withColumn("visit", _visit(F.col("rank"), F.col("priority"), cursor))
     return ordered.orderBy("visit").limit(n)
 
 
@@ -122,7 +130,7 @@ def back_order(arrived: DataFrame, cursor: int = 0, capacity: int = BACK_CAPACIT
     A host has one queue; a queue beyond ``capacity`` drops what arrives; queues are drained in turn from the cursor.
     """
     queued = arrived.withColumn("queue", urls.bucket(F.lower("host"), BACK_QUEUES))
-    placed = ranked(queued, ["queue"], [F.col("visit").asc_nulls_last(), F.col("url").asc()], "place").where(F.col("place") <= capacity)
+    placed = ranked(queued, ["queue"], [F.col("visit").asc_nulls_last(), F.col("url").asc()], "place", few_keys=True).where(F.col("place") <= capacity)
     return placed.withColumn("turn", F.pmod(F.col("queue") - cursor, F.lit(BACK_QUEUES)))
 
 
@@ -142,6 +150,11 @@ def statistics(front: DataFrame, back: DataFrame) -> DataFrame:
     return both.unionByName(totals).unionByName(health).unionByName(hosts)
 
 
+def cleared(front: DataFrame, back: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The queues after they are cleared; the retry set stays."""
+    return front.limit(0), back.limit(0)
+
+
 def is_empty(stats: DataFrame) -> DataFrame:
     """(empty): whether no queue holds a URL."""
     return stats.where("side in ('front', 'back') and queue is not null").agg(F.coalesce(F.sum("urls") == 0, F.lit(True)).alias("empty"))

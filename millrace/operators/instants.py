@@ -4,7 +4,8 @@ A text is first brought to one canonical spelling (weekdays dropped, month names
 read by four notations: date first, time first, a bare number, a distance from now. What it says about its zone decides
 the offset: a numeric offset, an abbreviation of the site's own zone, or none. Times without a zone are local to the
 site. The zone of a site comes from the locale table; for sites that it leaves out the offset history is estimated:
-each candidate zone is laid over the site's zone-less times and the one that fits their arrival times best is taken.
+every history of the tz database is laid over the site's zone-less times and the one that fits their arrival times best is
+taken.
 Everything is a built-in expression, so parsing runs inside the scan's stage.
 
 Defined results: null, blank, unreadable and non-existing dates give null; a zone name that is unknown everywhere gives
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import zoneinfo
 from collections import defaultdict
+from collections.abc import Sequence
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache, reduce
 
@@ -151,14 +153,60 @@ def numeric_offset(zone: Column) -> Column:
     return F.when(zone.rlike(pattern), F.when(seconds <= 18 * 3600, signed))
 
 
-def estimate_zones(times: DataFrame, candidates: DataFrame, tolerance_s: int = 60) -> DataFrame:
-    """(site, estimated_zone, times_used, violations): the candidate offset history that the arrival times contradict least.
+#: Years for which two zones must have the same offsets to count as one.
+_YEARS = (2020, 2038)
+_REGIONS = ("Africa/", "America/", "Antarctica/", "Asia/", "Atlantic/", "Australia/", "Europe/", "Indian/", "Pacific/")
 
-    ``times`` has __site, __local and __received_us of zone-less times, ``candidates`` one column ``zone`` (bounded by the tz
-    database). A time later than its arrival is a violation and costs 1; otherwise it costs its delay in days, at most 1.
-    Ties go to the zone first by name. Costs are summed by partial aggregation, so a site with most rows is no hot key.
+
+def _history(zone: zoneinfo.ZoneInfo) -> tuple[tuple[int, int], ...]:
+    """(hour since 1970, offset in seconds) of each change of a zone's offset, the first offset in front."""
+
+    def offset(hour: int) -> int:
+        return int(datetime.fromtimestamp(hour * 3600, zone).utcoffset().total_seconds())
+
+    step, end = 14 * 24, int(datetime(_YEARS[1], 1, 1, tzinfo=timezone.utc).timestamp()) // 3600
+    at = int(datetime(_YEARS[0], 1, 1, tzinfo=timezone.utc).timestamp()) // 3600
+    here = offset(at)
+    found = [(0, here)]
+    while at < end:
+        ahead = offset(at + step)
+        if ahead != here:
+            low, high = at, at + step
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (middle, high) if offset(middle) == here else (low, middle)
+            here = offset(high)
+            found.append((high, here))
+            at = high
+        else:
+            at += step
+    return tuple(found)
+
+
+@lru_cache(1)
+def zone_classes() -> dict[str, str]:
+    """Each zone of the tz database with the first, by name, of those that have had the same offsets since 2020 and will have; zones of regions come before others."""
+    names = sorted(zoneinfo.available_timezones(), key=lambda n: (not n.startswith(_REGIONS), n))
+    first: dict[tuple, str] = {}
+    return {n: first.setdefault(_history(zoneinfo.ZoneInfo(n)), n) for n in names}
+
+
+def candidates() -> list[str]:
+    """One zone for each history of offsets in the tz database, and UTC by its name."""
+    named = {c: "UTC" if c == zone_classes()["UTC"] else c for c in set(zone_classes().values())}
+    return sorted(named.values())
+
+
+def estimate_zones(times: DataFrame, zones: Sequence[str], tolerance_s: int = 60) -> DataFrame:
+    """(site, estimated_zone, times_used, violations): the offset history that the arrival times contradict least.
+
+    ``times`` has __site, __local and __received_us of zone-less times, ``zones`` is bounded by the tz database; each time
+    is laid over all of them. A time later than its arrival is a violation and costs 1; otherwise it costs its delay in
+    days, at most 1. Ties go to the zone first by name. Costs are summed by partial aggregation, so a site with most rows
+    is no hot key.
     """
-    laid = times.where("__local is not null and __site is not null and __received_us is not null").crossJoin(F.broadcast(candidates.distinct())).withColumnRenamed("zone", "__in_zone")
+    usable = times.where("__local is not null and __site is not null and __received_us is not null")
+    laid = usable.select("__site", "__local", "__received_us", F.explode(F.array(*map(F.lit, sorted(zones)))).alias("__in_zone"))
     delay = F.col("__received_us") - _in_zone_us()
     late = delay < -tolerance_s * 1_000_000
     cost = F.when(late, 1.0).otherwise(F.least(F.greatest(delay, F.lit(0)) / 86_400e6, F.lit(1.0)))
@@ -167,23 +215,26 @@ def estimate_zones(times: DataFrame, candidates: DataFrame, tolerance_s: int = 6
     return best.select(F.col("__site").alias("site"), F.col("b.zone").alias("estimated_zone"), F.col("b.n").alias("times_used"), F.col("b.late").alias("violations"))
 
 
-def _candidates(locales: DataFrame) -> DataFrame:
-    spark = locales.sparkSession
-    return locales.where("time_zone is not null").select(F.col("time_zone").alias("zone")).union(spark.createDataFrame([("UTC",)], "zone string")).distinct()
-
-
 def _known_zones(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(z,) for z in sorted(zoneinfo.available_timezones())], "time_zone string")
+    """(time_zone, zone_class) of the tz database."""
+    return spark.createDataFrame(sorted(zone_classes().items()), "time_zone string, zone_class string")
 
 
 def site_zones(parsed: DataFrame, locales: DataFrame) -> DataFrame:
     """(site, zone, date_order): the zone of the locale table, and the estimated one for sites that it leaves out or gives an unknown zone."""
-    known = locales.join(F.broadcast(_known_zones(locales.sparkSession)), "time_zone", "left_semi")
+    spark = locales.sparkSession
+    names = spark.createDataFrame([(z,) for z in sorted(zoneinfo.available_timezones())], "time_zone string")
+    known = locales.join(F.broadcast(names), "time_zone", "left_semi")
     given = known.groupBy(F.lower("domain").alias("site")).agg(F.min("time_zone").alias("given_zone"))
     order = locales.where("domain is not null").groupBy(F.lower("domain").alias("site")).agg(F.min("date_order").alias("date_order"))
-    rest = lookup_join(parsed.where("__zone = '' and __fixed_us is null").withColumn("site", F.col("__site")), given.select("site"), ["site"], "left_anti").drop("site")
-    estimated = estimate_zones(with_local_time(rest, F.lit("dmy")), _candidates(known))
-    return given.join(order, "site", "full").join(estimated.select("site", "estimated_zone"), "site", "full").select("site", F.coalesce("given_zone", "estimated_zone").alias("zone"), "date_order")
+    rest = cut(lookup_join(parsed.where("__zone = '' and __fixed_us is null and __site is not null").withColumn("site", F.col("__site")), given.select("site"), ["site"], "left_anti").drop("site"))
+    settled = given.join(order, "site", "full")
+    if rest.isEmpty():
+        return settled.select("site", F.col("given_zone").alias("zone"), "date_order")
+    # the order of numbers in a date is known, if at all, from the locale table too
+    ordered = lookup_join(rest.withColumn("site", F.col("__site")), order, ["site"])
+    estimated = estimate_zones(with_local_time(ordered, F.col("date_order")), candidates())
+    return settled.join(estimated.select("site", "estimated_zone"), "site", "full").select("site", F.coalesce("given_zone", "estimated_zone").alias("zone"), "date_order")
 
 
 def parse(contents: DataFrame) -> DataFrame:
@@ -210,8 +261,11 @@ def publish_instants(contents: DataFrame, locales: DataFrame) -> DataFrame:
 
 
 def zone_report(contents: DataFrame, locales: DataFrame) -> DataFrame:
-    """(site, given_zone, estimated_zone, times_used, violations): for every site with zone-less times, how the zone that arrival times suggest compares with the given one."""
-    loose = with_local_time(parse(contents).where("__zone = '' and __fixed_us is null"), F.lit("dmy"))
-    estimated = estimate_zones(loose, _candidates(locales))
-    given = locales.groupBy(F.lower("domain").alias("site")).agg(F.min("time_zone").alias("given_zone"))
-    return estimated.join(given, "site", "left").select("site", "given_zone", "estimated_zone", "times_used", "violations")
+    """(site, given_zone, estimated_zone, same, times_used, violations): for every site with zone-less times, how the zone that arrival times suggest compares with the given one; ``same``: both have the same offsets."""
+    order = locales.where("domain is not null").groupBy(F.lower("domain").alias("site")).agg(F.min("date_order").alias("date_order"), F.min("time_zone").alias("given_zone"))
+    loose = lookup_join(parse(contents).where("__zone = '' and __fixed_us is null").withColumn("site", F.col("__site")), order.select("site", "date_order"), ["site"])
+    estimated = estimate_zones(with_local_time(loose, F.col("date_order")), candidates())
+    # both tables are bounded by the tz database
+    classes = F.broadcast(_known_zones(locales.sparkSession))
+    both = estimated.join(order, "site", "left").join(classes.withColumnsRenamed({"time_zone": "given_zone", "zone_class": "given_class"}), "given_zone", "left").join(classes.withColumnsRenamed({"time_zone": "estimated_zone", "zone_class": "estimated_class"}), "estimated_zone", "left")
+    return both.select("site", "given_zone", "estimated_zone", (F.col("given_class") == F.col("estimated_class")).alias("same"), "times_used", "violations")

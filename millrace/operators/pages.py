@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,81 +14,137 @@ from millrace.functions import htmltree as html
 from millrace.functions.resolve import resolve
 from millrace.operators.joins import lookup_join
 
-# Where navigation and headers stand, what is noise, the selectors used for hosts without their own.
-NAVIGATION = ", ".join(
-    ["nav", "navigation"]
-    + [f".{c}" for c in "nav navigation navbar menu main-menu primary-menu header-menu top-menu site-nav main-nav menu-nav header-nav primary-nav".split()]
-    + [f"#{c}" for c in "nav navigation navbar menu main-menu primary-menu header-menu primary-nav header-nav menu-nav".split()]
-    + [".dropdown-menu"]
+# Where navigation, headers, contents, prominent links and breadcrumbs stand, what is noise, the selectors used
+# for hosts without their own.
+NAVIGATION = (
+    "nav, navigation, "
+    ".nav, .navigation, .navbar, .menu, .main-menu, .primary-menu, "
+    ".header-menu, .top-menu, .site-nav, .main-nav, .menu-nav, .header-nav, .primary-nav, "
+    "#nav, #navigation, #navbar, #menu, #main-menu, #primary-menu, #header-menu, #primary-nav, #header-nav, #menu-nav, "
+    ".dropdown-menu"
 )
-HEADER = ", ".join(["header"] + [f"{m}{c}" for m in ".#" for c in "header site-header page-header main-header".split()])
+HEADER = "header, .header, .site-header, .page-header, .main-header, #header, #site-header, #page-header, #main-header"
+CONTENT_AREAS = ".main-content, .content, .site-content, #content, #main-content, .category-list, .section-list, .menu-categories, .topics"
+PROMINENT = "a.btn, a.button, a[class*=prominent], a[class*=primary], a[class*=main], a[class*=category], a[class*=section], a[class*=topic]"
+BREADCRUMBS = ".breadcrumb a, .breadcrumbs a, [class*=breadcrumb] a, .crumb a, .crumbs a, nav[aria-label*=breadcrumb] a"
 NOISE = (
-    "script, noscript, style, svg, img, link, head, footer, nav, [class*='menu'], [class*='nav'], [class*='banner'], [class*='comment'], [class*='share'], "
-    "[id*='banner'], [id*='comment'], [id*='share'], .ads, .advertisment, .social, .copy-right, #copy-right"
+    "script, noscript, style, svg, img, link, "
+    "head, footer, nav, [class*='menu'], [class*='nav'], "
+    ".ads, .advertisment, .social, .copy-right, #copy-right, "
+    "[id*='banner'], [class*='banner'], [class*='comment'], [id*='comment'], [class*='share'], [id*='share']"
 )
 MORE_NOISE = NOISE + ", [id*='ads'], header:not(:has(h1))"
+#: Attributes and the words in them by which a link, or an element around it, is likely navigation.
+LINK_MARKS = {"class": ("nav", "menu", "primary", "main", "category", "section"), "id": ("nav", "menu")}
+AROUND_MARKS = {"class": ("nav", "menu", "header"), "id": ("nav", "menu", "header")}
 DEFAULT_SELECTORS = {"title": "h1", "content": ".content", "author": ".author", "publish_at": ".date"}
 #: Characters of HTML a token, and tokens that a selector provider takes at most.
 CHARS_PER_TOKEN, TOKEN_LIMIT = 4, 125_000
 
-FACTS = "id string, url string, base string, canonical string, og_url string, title string, nav_links array<string>, header_links array<string>, page_links array<string>, kept_text string, html_chars long, kept_chars long"
+#: What can be known of a page, by name; all_links has a link as often as the page has it.
+FACTS = {
+    "base": "string", "canonical": "string", "og_url": "string", "title": "string",
+    "nav_links": "array<string>", "header_links": "array<string>", "content_links": "array<string>", "prominent_links": "array<string>", "breadcrumb_links": "array<string>", "page_links": "array<string>", "all_links": "array<string>",
+    "kept_html": "string", "html_chars": "long", "kept_chars": "long",
+}
 
 
-def _links_in(nodes: list[html.Node]) -> list[str]:
-    out = []
-    for n in nodes:
-        out += [a.attrs["href"] for a in n.descendants() if a.tag == "a" and "href" in a.attrs]
-    return out
+def _marked(node: html.Node, marks: dict[str, Sequence[str]]) -> bool:
+    return any(w in node.attrs.get(a, "").lower() for a, words in marks.items() for w in words)
 
 
 def _likely_navigation(link: html.Node) -> bool:
-    own = (link.attrs.get("class", "") + " ").lower(), link.attrs.get("id", "").lower()
-    if any(w in own[0] for w in ("nav", "menu", "primary", "main", "category", "section")) or any(w in own[1] for w in ("nav", "menu")):
-        return True
-    for up in link.ancestors():
-        if up.tag == "body":
-            return False
-        if any(w in up.attrs.get(a, "").lower() for a in ("class", "id") for w in ("nav", "menu", "header")):
-            return True
-    return False
-
-
-def facts_of(page: str | None, url: str | None, noise: str = NOISE) -> tuple:
-    """Everything that the operators need of one page, from one tree. Links are resolved against the page's own address: canonical, else og:url, else the fetched URL."""
-    root = html.parse(page)
-    canonical = next((n.attrs.get("href") for n in html.select(root, "link[rel=canonical]") if n.attrs.get("href", "").strip()), None)
-    og = next((n.attrs.get("content") for n in html.select(root, "meta[property='og:url']") if n.attrs.get("content", "").strip()), None)
-    base = canonical or og or (url.strip() if url and url.strip() else None)
-
-    def full(hrefs: list[str], skip: bool) -> list[str]:
-        if base is None:
-            return []
-        found = (resolve(base, h, same_site=True) for h in hrefs if not skip or not (h == "" or h.startswith("javascript:") or h == "#"))
-        return list(dict.fromkeys(found))
-
-    nav = full(_links_in(html.select(root, NAVIGATION)), True)
-    headers = [a for n in html.select(root, HEADER) for a in n.descendants() if a.tag == "a" and "href" in a.attrs and _likely_navigation(a)]
-    header = full([a.attrs["href"] for a in headers], True)
-    every = full([a.attrs["href"] for a in root.descendants() if a.tag == "a" and "href" in a.attrs], False)
-    title = html.first_text(root, "h1")
-    html.remove(root, noise)
-    kept = root.text()
-    size = len(page or "")
-    return base, canonical, og, title, nav, header, every, kept, size, len(kept)
-
-
-def page_facts(pages: DataFrame, noise: str = NOISE) -> DataFrame:
-    """FACTS of (id, url, raw_html); rows without HTML are left out. Each page is parsed once; ask only for the columns you need."""
+    around = takewhile(lambda n: n.tag != "body", link.ancestors())
+    return _marked(link, LINK_MARKS) or any(_marked(n, AROUND_MARKS) for n in around)
+
+
+def _is_link(node: html.Node) -> bool:
+    return node.tag == "a" and "href" in node.attrs
+
+
+def _followed(href: str) -> bool:
+    """Whether a navigation link leads anywhere."""
+    return not (href in ("", "#") or href.startswith("javascript:"))
+
+
+class Page:
+    """One page's tree and what is worked out from it on demand. Links are resolved against the page's own address: canonical, else og:url, else the fetched URL."""
+
+    def __init__(self, page: str | None, url: str | None, noise: str = NOISE) -> None:
+        self.root, self.noise, self.size = html.parse(page), noise, len(page or "")
+        self.canonical = self._address("link[rel=canonical]", "href")
+        self.og_url = self._address("meta[property='og:url']", "content")
+        self.base = self.canonical or self.og_url or (url.strip() if url and url.strip() else None)
+
+    def _address(self, selector: str, attribute: str) -> str | None:
+        found = (n.attrs.get(attribute, "") for n in html.select(self.root, selector))
+        return next((v for v in found if v.strip()), None)
+
+    def _resolved(self, hrefs: Iterator[str]) -> list[str]:
+        return [] if self.base is None else [resolve(self.base, h, same_site=True) for h in hrefs]
+
+    def _within(self, selector: str, only: Callable[[html.Node], bool] = lambda n: True) -> list[str]:
+        links = (a for n in html.select(self.root, selector) for a in n.descendants() if _is_link(a) and only(a))
+        return list(dict.fromkeys(self._resolved(a.attrs["href"] for a in links if _followed(a.attrs["href"]))))
+
+    def _selected(self, selector: str) -> list[str]:
+        links = (a for a in html.select(self.root, selector) if _is_link(a))
+        return list(dict.fromkeys(self._resolved(a.attrs["href"] for a in links if _followed(a.attrs["href"]))))
+
+    def fact(self, name: str) -> object:
+        """The fact ``name``; those of the page without noise come last, as the noise is taken out of the tree."""
+        if name in ("base", "canonical", "og_url"):
+            return getattr(self, name)
+        if name == "title":
+            return html.first_text(self.root, "h1")
+        if name == "nav_links":
+            return self._within(NAVIGATION)
+        if name == "header_links":
+            return self._within(HEADER, _likely_navigation)
+        if name == "content_links":
+            return self._within(CONTENT_AREAS, _likely_navigation)
+        if name == "prominent_links":
+            return self._selected(PROMINENT)
+        if name == "breadcrumb_links":
+            return self._selected(BREADCRUMBS)
+        if name in ("page_links", "all_links"):
+            every = self._resolved(a.attrs["href"] for a in self.root.descendants() if _is_link(a))
+            return every if name == "all_links" else list(dict.fromkeys(every))
+        if name == "html_chars":
+            return self.size
+        html.remove(self.root, self.noise)
+        kept = html.to_html(self.root)
+        return kept if name == "kept_html" else len(kept)
+
+
+def facts_of(page: str | None, url: str | None, wanted: Sequence[str], noise: str = NOISE) -> tuple:
+    """The facts ``wanted`` of one page, in the order of FACTS, from one tree."""
+    p = Page(page, url, noise)
+    return tuple(p.fact(name) for name in FACTS if name in wanted)
+
+
+def page_facts(pages: DataFrame, wanted: Sequence[str], noise: str = NOISE) -> DataFrame:
+    """(id, url, then the facts ``wanted``) of (id, url, raw_html); rows without HTML are left out. Each page is parsed once, and nothing that isn't wanted is worked out or leaves Python."""
+    unknown = set(wanted) - set(FACTS)
+    if unknown:
+        raise ValueError(f"facts: {sorted(unknown)}")
+    names = [n for n in FACTS if n in wanted]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in FACTS.split(", ")]
         for b in batches:
-            yield pd.DataFrame([(i, u, *facts_of(h, u, noise)) for i, u, h in zip(b["id"], b["url"], b["raw_html"])], columns=names)
+            yield pd.DataFrame([(i, u, *facts_of(h, u, names, noise)) for i, u, h in zip(b["id"], b["url"], b["raw_html"])], columns=["id", "url", *names])
 
-    return pages.where("raw_html is not null").select("id", "url", "raw_html").mapInPandas(read, FACTS)
+    schema = ", ".join(["id string", "url string", *(f"{n} {FACTS[n]}" for n in names)])
+    return pages.where("raw_html is not null").select("id", "url", "raw_html").mapInPandas(read, schema)
 
 
-def _valid(links: Column, test) -> Column:  # noqa: ANN001
+#: The facts that each operator below reads.
+SITEMAP_FACTS = ("base", "nav_links", "header_links")
+LINK_FACTS = (*SITEMAP_FACTS, "page_links")
+WIDE_FACTS = ("content_links", "prominent_links", "breadcrumb_links", "all_links")
+
+
+def _valid(links: Column, test: Callable[[Column], Column]) -> Column:
     return F.array_distinct(F.transform(F.filter(links, test), urls.link_form))
 
 
@@ -106,15 +163,35 @@ def new_links(facts: DataFrame) -> DataFrame:
 
 
 def link_frequency(facts: DataFrame) -> DataFrame:
-    """(id, url, n): navigation links that stand at least twice on a page and have a short path."""
-    counted = facts.select("id", F.explode("page_links").alias("link")).where(classify.is_navigation_link(F.col("link"))).groupBy("id", urls.link_form(F.col("link")).alias("url")).agg(F.count("*").alias("n"))
-    return counted.where((F.col("n") >= 2) & classify.is_likely_navigation(F.col("url")))
+    """(id, url, n): navigation links that stand at least twice on a page and have a short path; n counts every place of the link, with and without a last slash.
+
+    Counted by what a counter of links is for. The crawler's own one looks its counts up under another key than it stores
+    them, so it never passes 1, and nothing calls it.
+    """
+    counted = facts.select("id", F.explode("all_links").alias("link")).where(classify.is_navigation_link(F.col("link"))).groupBy("id", urls.link_form(F.col("link")).alias("url")).agg(F.count("*").alias("n"))
+    return counted.where((F.col("n") >= 2) & classify.has_short_path(F.col("url")))
+
+
+def more_sitemap_links(facts: DataFrame) -> DataFrame:
+    """(id, kind, url): links of content areas, prominent links whose URL is likely navigation, and breadcrumbs, each once for its kind, from WIDE_FACTS."""
+    kinds = {
+        "content": _valid(F.col("content_links"), classify.is_navigation_link),
+        "prominent": _valid(F.col("prominent_links"), lambda u: classify.is_navigation_link(u) & classify.is_likely_navigation(u)),
+        "breadcrumb": _valid(F.col("breadcrumb_links"), classify.is_navigation_link),
+    }
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), links.alias("links")) for k, links in kinds.items()])
+    return facts.select("id", F.explode(each).alias("k")).select("id", "k.kind", F.explode("k.links").alias("url"))
 
 
 def token_reduction(facts: DataFrame) -> DataFrame:
-    """(id, tokens_before, tokens_after, reduction, fits): estimated tokens of the page and of what is left of it without noise."""
+    """(id, tokens_before, tokens_after, reduction, fits): estimated tokens of the page and of its HTML without noise, from the facts html_chars and kept_chars."""
     before, after = F.floor(F.col("html_chars") / CHARS_PER_TOKEN), F.floor(F.col("kept_chars") / CHARS_PER_TOKEN)
-    return facts.select("id", before.alias("tokens_before"), after.alias("tokens_after"), F.round((before - after) / F.greatest(before, F.lit(1)) * 100, 2).alias("reduction"), (after <= TOKEN_LIMIT).alias("fits"))
+    return facts.select("id", before.alias("tokens_before"), after.alias("tokens_after"), F.round((before - after) / F.greatest(before, F.lit(1)) * 100, 2).alias("reduction"), fits(after).alias("fits"))
+
+
+def fits(tokens: Column) -> Column:
+    """Whether a selector provider takes a text of so many tokens."""
+    return tokens <= TOKEN_LIMIT
 
 
 def with_selectors(pages: DataFrame, registry: DataFrame) -> DataFrame:
@@ -147,18 +224,45 @@ def articles(pages: DataFrame, registry: DataFrame) -> DataFrame:
     return found.withColumn("parsed", full)
 
 
+def parse_counters(parsed: DataFrame) -> DataFrame:
+    """(host, parsed, failed) of articles(), by site."""
+    return parsed.groupBy(urls.site(F.col("url")).alias("host")).agg(F.count_if("parsed").alias("parsed"), F.count_if(~F.col("parsed")).alias("failed"))
+
+
+def extracted_total(links: DataFrame) -> DataFrame:
+    """(extracted): how many links were found and sent back to the frontier, from new_links()."""
+    return links.agg(F.count("*").alias("extracted"))
+
+
+def parse(pages: DataFrame, kind: str, registry: DataFrame | None = None) -> DataFrame:
+    """The strategy for a kind of page: ``home`` gives seeds, ``url`` new links, ``content`` the article."""
+    strategies: dict[str, Callable[[], DataFrame]] = {
+        "home": lambda: sitemap(page_facts(pages, SITEMAP_FACTS)),
+        "url": lambda: new_links(page_facts(pages, LINK_FACTS)),
+        "content": lambda: articles(pages, registry),
+    }
+    if kind not in strategies or kind == "content" and registry is None:
+        raise ValueError(f"kind: {kind}")
+    return strategies[kind]()
+
+
 def missing_selectors(pages: DataFrame, registry: DataFrame) -> DataFrame:
     """(domain): hosts of pages that the registry doesn't know, each once, for a selector provider to be asked about."""
     hosts = pages.select(urls.site(F.col("url")).alias("domain")).where("domain is not null").distinct()
     return hosts.join(registry.select(F.lower("domain").alias("domain")), "domain", "left_anti")
 
 
-PROMPT = "Give the CSS selectors of title, content, author and publication date of the news page below as JSON with the keys title, content, author, publish_at; null where there is none.\n\n{html}"
+# The wording is our own; the keys are those of the selector registry.
+PROMPT = "Give the CSS selectors of title, content, author and publication date of the news page below as JSON with the keys title, content, author, publish_at; null where there is none.\n\n"
 _REPLY = "struct<title string, content string, author string, publish_at string>"
 
 
-def prompt(text: Column) -> Column:
-    return F.concat(F.lit(PROMPT.partition("{html}")[0]), text)
+def prompts(pages: DataFrame) -> DataFrame:
+    """(id, domain, prompt, tokens, fits): the question for a selector provider about each page, with its HTML without noise; ``fits`` tells whether it may be asked."""
+    facts = page_facts(pages, ("kept_html",))
+    text = F.concat(F.lit(PROMPT), F.col("kept_html"))
+    tokens = F.floor(F.length(text) / CHARS_PER_TOKEN)
+    return facts.select("id", urls.site(F.col("url")).alias("domain"), text.alias("prompt"), tokens.alias("tokens"), fits(tokens).alias("fits"))
 
 
 def reply_selectors(reply: Column) -> Column:

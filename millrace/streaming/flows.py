@@ -7,18 +7,20 @@ by watermarks or time to live. ``run_available`` runs a query over what there is
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from millrace.functions import urls
 from millrace.operators import frontier, store
-from millrace.operators.fetching import HostCounter
-from millrace.session import checkpoint_dir
+from millrace.operators.fetching import FORGET_S, HostCounter
+from millrace.session import checkpoint_dir, cut
 
 FAILURE_TTL_S, SUCCESS_TTL_S = 20 * 60, 60 * 60
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -61,75 +63,110 @@ def windowed_counts(events: DataFrame, key: str, ts: str = "ts", window: str = "
     return counted.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", (F.col("n") / seconds).alias("rate"))
 
 
-def sessions(events: DataFrame, key: str, gap: str = "30 minutes", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """(key, start, end, n): runs of events no more than ``gap`` apart."""
-    seen = events.withColumn("__at", F.col(ts).cast("timestamp")).withWatermark("__at", late)
-    return seen.groupBy(F.session_window("__at", gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-
-
 class StatusCache(StatefulProcessor):
-    """The last status of each URL, kept for SUCCESS_TTL_S after a success and FAILURE_TTL_S after a failure."""
+    """The last status of each URL and its failures since the last success, known for SUCCESS_TTL_S after a success and FAILURE_TTL_S after a failure.
 
-    def __init__(self, success: bool) -> None:
-        self.ttl_ms = 1000 * (SUCCESS_TTL_S if success else FAILURE_TTL_S)
+    Times are those of the attempts, so a replay gives what the first run gave; attempts older than the last known one
+    change nothing. The state itself is dropped by the clock after the longer of both times. Counts that must outlive it
+    stand in the metadata (fetching.fold_metadata).
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("status", "status int, retry_count int", ttlDurationMs=self.ttl_ms)
+        self.state = handle.getValueState("status", "status int, retry_count int, us long", ttlDurationMs=1000 * max(SUCCESS_TTL_S, FAILURE_TTL_S))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        old = self.state.get() if self.state.exists() else None
-        status, retries = (int(old[0]), int(old[1])) if old is not None else (None, 0)
-        for b in rows:
-            for s in b.sort_values("ts")["status"]:
-                retries = 0 if s == 200 else retries + 1
-                status = None if pd.isna(s) else int(s)
-        self.state.update((status if status is not None else 0, retries))
-        yield pd.DataFrame({"id": [key[0]], "status": [status], "retry_count": [retries], "known_before": [old is not None]})
+        found = pd.concat([b[["status", "us"]] for b in rows]).sort_values("us", kind="stable")
+        status, retries, at = self.state.get() if self.state.exists() else (None, 0, None)
+        known = at is not None and len(found) > 0 and not self.expired(status, at, int(found["us"].iat[0]))
+        for s, us in zip(found["status"], found["us"]):
+            if at is not None and us < at:
+                continue
+            if at is not None and self.expired(status, at, int(us)):
+                retries = 0
+            status, at = (0 if pd.isna(s) else int(s)), int(us)
+            retries = 0 if status == 200 else retries + 1
+        if at is not None:
+            self.state.update((status, retries, at))
+        yield pd.DataFrame({"id": [key[0]], "status": [status], "retry_count": [retries], "known_before": [known]})
+
+    @staticmethod
+    def expired(status: int | None, at: int, now: int) -> bool:
+        return now - at > 1_000_000 * (SUCCESS_TTL_S if status == 200 else FAILURE_TTL_S)
 
     def close(self) -> None:
         pass
 
 
-def cached_status(attempts: DataFrame, success: bool = False) -> DataFrame:
-    """(id, status, retry_count, known_before) per micro-batch from (url, status, ts). Needs the RocksDB state store."""
-    keyed = attempts.where(~urls.is_blank(F.col("url"))).select(urls.url_id(F.col("url")).alias("id"), "status", "ts")
-    return keyed.groupBy("id").transformWithStateInPandas(StatusCache(success), "id string, status int, retry_count int, known_before boolean", "update", "processingTime")
+def cached_status(attempts: DataFrame) -> DataFrame:
+    """(id, status, retry_count, known_before) per micro-batch from (url, status, ts); attempts without a time are left out. Needs the RocksDB state store."""
+    keyed = attempts.where(~urls.is_blank(F.col("url")) & F.col("ts").isNotNull()).select(urls.url_id(F.col("url")).alias("id"), "status", F.unix_micros("ts").alias("us"))
+    return keyed.groupBy("id").transformWithStateInPandas(StatusCache(), "id string, status int, retry_count int, known_before boolean", "update", "processingTime")
 
 
 def host_flushes(fetches: DataFrame) -> DataFrame:
-    """(host, us, fetches): flushes of each host's counter, from (host, ts); the batch form is fetching.host_flushes."""
+    """(host, us, fetches): flushes of each host's counter, from (host, ts); the batch form is fetching.host_flushes.
+
+    A host's state is dropped FORGET_S after its last fetch; a counter that old starts anew anyway.
+    """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        counter = HostCounter()
-        if state.exists:
-            count, since = state.get
-            counter.count, counter.since = count, since if since >= 0 else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        count, since = state.get if state.exists else (0, -1)
+        counter = HostCounter(count, since if since >= 0 else None)
         rows = []
-        for us in sorted(int(t) for b in batches for t in b["us"]):
+        for us in np.sort(np.concatenate([b["us"].to_numpy() for b in batches])).tolist():
             n = counter.see(us)
             if n is not None:
                 rows.append((key[0], us, n))
         state.update((counter.count, -1 if counter.since is None else counter.since))
+        state.setTimeoutDuration(1000 * FORGET_S)
         yield pd.DataFrame(rows, columns=["host", "us", "fetches"])
 
     keyed = fetches.where("host is not null and ts is not null").select("host", F.unix_micros("ts").alias("us"))
-    return keyed.groupBy("host").applyInPandasWithState(fold, "host string, us long, fetches int", "count int, since long", "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("host").applyInPandasWithState(fold, "host string, us long, fetches int", "count int, since long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+#: Buckets of a store by a hash of the URL.
+STORE_BUCKETS = 64
+
+
+def _versions(spark: SparkSession, folder: str, n: int) -> dict[int, int]:
+    """The batch that wrote each bucket last, as it was after batch ``n``; at most one entry a bucket."""
+    return {r.bucket: r.version for r in spark.read.parquet(f"{folder}/versions/batch={n}").collect()} if n >= 0 else {}
+
+
+def _buckets(spark: SparkSession, folder: str, versions: dict[int, int]) -> DataFrame | None:
+    paths = [f"{folder}/rows/batch={v}/bucket={b}" for b, v in sorted(versions.items())]
+    return spark.read.parquet(*paths) if paths else None
 
 
-def upsert_into(folder: str) -> Callable[[DataFrame, int], None]:
-    """A micro-batch function that merges contents into a versioned table: version n + 1 is written from version n, so a repeated batch gives the same table."""
+def upsert_into(folder: str, buckets: int = STORE_BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A micro-batch function that merges contents into a store of ``buckets`` parts by a hash of the URL.
+
+    Only the buckets that a batch touches are read and written; the list of each bucket's version is written last, from
+    that of the batch before, so a repeated batch gives the same store and a reader sees whole batches.
+    """
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{folder}/v{n}") if n else None
-        merged = store.upserted(old.drop("is_insert") if old is not None else None, batch, F.struct("received_at", "id"))
-        merged.write.mode("overwrite").parquet(f"{folder}/v{n + 1}")
+        versions = _versions(spark, folder, n - 1)
+        bucket = F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
+        touched = [r.bucket for r in batch.where("url is not null").select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets``
+        old = _buckets(spark, folder, {b: versions[b] for b in touched if b in versions})
+        merged = store.upserted(None if old is None else old.drop("is_insert"), batch, F.struct("received_at", "id"))
+        merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/rows/batch={n}")
+        written = {r.bucket for r in spark.read.parquet(f"{folder}/rows/batch={n}").select("bucket").distinct().collect()} if touched else set()
+        now = sorted((versions | dict.fromkeys(written, n)).items())
+        spark.createDataFrame(now, "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/versions/batch={n}")
 
     return merge
 
 
 def latest(spark: SparkSession, folder: str, batches: int) -> DataFrame:
-    return spark.read.parquet(f"{folder}/v{batches}")
+    """The store after so many batches."""
+    return _buckets(spark, folder, _versions(spark, folder, batches - 1))
 
 
 def retry_router(as_of: Column, frontier_path: str, waiting_path: str) -> Callable[[DataFrame, int], None]:
@@ -143,6 +180,17 @@ def retry_router(as_of: Column, frontier_path: str, waiting_path: str) -> Callab
     return route
 
 
+def drain_waiting(spark: SparkSession, frontier_path: str, waiting_path: str, tick: int, n: int = frontier.RETRY_BATCH) -> DataFrame:
+    """(url): the ``n`` smallest URLs of the waiting set that no tick has sent back yet, written to the frontier under this tick. A repeated tick sends the same."""
+    waiting = spark.read.parquet(waiting_path).select("url").distinct()
+    before = spark.read.schema("url string, tick int").parquet(f"{waiting_path}_sent") if tick else None
+    left = waiting if before is None else waiting.join(before.where(F.col("tick") < tick).select("url"), "url", "left_anti")
+    sent = cut(left.orderBy("url").limit(n))
+    sent.write.mode("overwrite").parquet(f"{waiting_path}_sent/tick={tick}")
+    sent.write.mode("overwrite").parquet(f"{frontier_path}/batch=retry-{tick}")
+    return sent
+
+
 def admission(domains: DataFrame, rules: DataFrame | None, folder: str) -> Callable[[DataFrame, int], None]:
     """A micro-batch function that admits tasks against a snapshot of domains and rules and writes the verdicts."""
 
@@ -150,3 +198,22 @@ def admission(domains: DataFrame, rules: DataFrame | None, folder: str) -> Calla
         frontier.admit(batch, domains, rules).write.mode("overwrite").parquet(f"{folder}/batch={n}")
 
     return admit
+
+
+#: How often the crawler's own clocks tick.
+TICKS = {"front_to_back": "3 seconds", "dispatch": "2 seconds", "retry": "5 minutes", "statistics": "30 seconds", "recrawl": "20 minutes"}
+
+
+def start_topics(streams: Mapping[str, DataFrame], handlers: Mapping[str, Callable[[DataFrame, int], None]], folder: str, every: str | None = None) -> dict[str, StreamingQuery]:
+    """One query a topic, each with its own checkpoint: its micro-batches go to the topic's handler. Without ``every`` what there is is worked off once."""
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    unknown = set(handlers) - set(streams)
+    if unknown:
+        raise ValueError(f"topics: {sorted(unknown)}")
+    return {t: streams[t].writeStream.queryName(f"{t}-{uuid.uuid4().hex[:8]}").option("checkpointLocation", f"{folder}/{t}").trigger(**trigger).foreachBatch(h).start() for t, h in handlers.items()}
+
+
+def start_tick(spark: SparkSession, name: str, each: Callable[[int], None], folder: str, every: str | None = None) -> StreamingQuery:
+    """Call ``each`` with the number of the tick, at the pace of TICKS[name] or ``every``; a crash repeats a tick."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.option("checkpointLocation", f"{folder}/tick-{name}").trigger(processingTime=every or TICKS[name]).foreachBatch(lambda _, n: each(n)).start()

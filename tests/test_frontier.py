@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import domains, fetching, frontier
+from millrace.operators import domains, fetching, frontier, robots
 from millrace.operators.joins import lookup_join
 from millrace.operators.ranking import ranked
 from millrace.plans import crawl, fixtures
@@ -78,7 +78,7 @@ def test_domains(spark):
     reg = registry(spark, [("a.example", None, 2, True), ("b.example", None, 4, False)])
     new = domains.bootstrap(reg, domains.configured(spark, ["a.example", "n.example", " n.example ", ""]), fixtures.as_of()).collect()
     assert [(r.domain, r.priority, r.seed_urls) for r in new] == [("n.example", 1, ["https://n.example"])]
-    changes = fixtures.domain_changes(reg)
+    changes = fixtures.domain_changes(reg)  # of every domain
     updated = {r.domain: r for r in domains.update(reg, changes).collect()}
     assert updated["a.example"].seed_urls == ["https://a.example/new"] and updated["a.example"].active is False and updated["b.example"].active is False
     assert updated["b.example"].priority == 4 and updated["b.example"].last_crawled is not None
@@ -144,7 +144,7 @@ def test_may_fetch(spark):
 def test_host_flushes(spark):
     rows = [("a", datetime(2024, 1, 1, 0, 0, k)) for k in range(23)] + [("b", datetime(2024, 1, 1, 0, 0, 0)), ("b", datetime(2024, 1, 1, 0, 3, 1)), (None, datetime(2024, 1, 1)), ("c", None)]
     got = sorted((r.host, r.fetches) for r in fetching.host_flushes(spark.createDataFrame(rows, "host string, ts timestamp")).collect())
-    assert got == [("a", 10), ("a", 10), ("b", 2)]
+    assert got == [("a", 1), ("a", 10), ("a", 10), ("b", 1), ("b", 1)]
 
 
 def test_redirects(spark):
@@ -160,3 +160,21 @@ def test_closure(spark):
     meta = spark.createDataFrame([(u, h, 200, 0, None) for u, h in pages_], "url string, raw_html string, status_code int, retry_count int, last_attempt timestamp").withColumn("id", urls.url_id(F.col("url")))
     got = crawl.closure(spark.createDataFrame([("https://a.example/",)], "url string"), meta, registry(spark, [("a.example", None, 1, True)]), fixtures.as_of())
     assert {r.url: r.depth for r in got.collect()} == {"https://a.example/": 0, "https://a.example/one": 1, "https://a.example/two": 2}
+
+
+def test_closure_goes_on_to_the_end(spark):
+    from millrace.functions import urls
+
+    words = "one two three four five six seven eight nine ten eleven".split()
+    pages_ = [(f"https://a.example/{w}", f"<a href=/{n}>next</a>") for w, n in zip(words, words[1:])]
+    meta = spark.createDataFrame([(u, h, 200, 0, None) for u, h in pages_], "url string, raw_html string, status_code int, retry_count int, last_attempt timestamp").withColumn("id", urls.url_id(F.col("url")))
+    seeds, reg = spark.createDataFrame([("https://a.example/one",)], "url string"), registry(spark, [("a.example", None, 1, True)])
+    got = crawl.closure(seeds, meta, reg, fixtures.as_of())
+    assert {r.url: r.depth for r in got.collect()} == {f"https://a.example/{w}": k for k, w in enumerate(words)}
+    assert crawl.closure(seeds, meta, reg, fixtures.as_of(), max_depth=2).count() == 3
+    assert crawl.closure(seeds.limit(0), meta, reg, fixtures.as_of()).count() == 0
+
+
+def test_robots_bodies_of_other_types_are_not_read(spark):
+    got = robots.rules(fixtures.typed_bodies(spark)).collect()
+    assert [(r.host, r.pattern) for r in got] == [("h0.example", "/x"), ("h1.example", "/y")]

@@ -31,25 +31,39 @@ def test_select():
     assert h.first_text(root, "p:::") is None and h.first_text(root, None) is None and h.first_text(root, "h9") is None
 
 
-def test_render_aligns_cells():
-    assert h.render(h.parse("<ul><li>a<ul><li>b</ul></ul><table><tr><td>1</td><td>2</td></tr></table>")) == "- a\n  - b\n\n1\t2"
+def test_render():
+    page = "<h1>T</h1><p>a<br>b</p><p>c</p><ul><li>one<ul><li>two</ul><li>three</ul><ol><li>x<li>y</ol><table><tr><th>name<th>n</tr><tr><td>long name<td>1<tr><td><p>two</p><p>lines</p><td>22</table><div>end <span hidden>no</span></div>"
+    assert h.render(h.parse(page)).split("\n") == ["T", "", "a", "b", "", "c", "", "- one", "  - two", "- three", "1. x", "2. y", "", "name       n", "long name  1", "two lines  22", "", "end"]
+    assert h.render(h.parse(f"<table><tr><td>{'x' * 100_000}<td>a<tr><td>b<td>c</table>")) == f"{'x' * 100_000}  a\nb  c" and h.render(h.parse(None)) == ""
+
+
+def test_html_again():
+    page = "<div id=a><p class='b c'>x &lt; y<br>z</p><img src=i></div>"
+    assert h.to_html(h.parse(page)) == "<div id=a><p class='b c'>x &lt; y<br>z</p><img src=i></div>"
+    assert h.to_html(h.parse("<p>a<p>b")) == "<p>a</p><p>b</p>" and h.to_html(h.parse("<a href=/x/>l</a><i/>t")) == "<a href=/x/>l</a><i/></i>t"
+
+
+def test_selectors_by_sets_and_one_by_one():
+    root = h.parse("<div class='x Menu'><nav><a id=n>1</a></nav></div><p id=menu>2</p><span class=top-menu>3</span>")
+    assert [n.tag for n in h.select(root, pages.NAVIGATION)] == ["div", "nav", "p", "span"]
 
 
 def test_page_facts():
     page = "<link rel=canonical href='https://s.example/here'><nav><a href=/one/>1</a><a href='#'>x</a><a href='https://o.example/y'>y</a></nav><header><div class=menu><a href=/two>2</a></div></header><a href=/three>3</a><a href=/one>1</a><footer>f</footer><h1>T</h1>"
-    base, canonical, og, title, nav, header, every, kept, size, kept_size = pages.facts_of(page, None)
-    assert base == canonical == "https://s.example/here" and og is None and title == "T"
+    got = dict(zip(pages.FACTS, pages.facts_of(page, None, list(pages.FACTS))))
+    assert got["base"] == got["canonical"] == "https://s.example/here" and got["og_url"] is None and got["title"] == "T"
     # links to other sites become the page itself
-    assert nav == ["https://s.example/one/", "https://s.example/here", "https://s.example/two"]
-    assert header == ["https://s.example/two"]
-    assert "https://s.example/three" in every and "f" not in kept.split()
-    assert pages.facts_of("<a href=/x>x</a>", None)[6] == []
+    assert got["nav_links"] == ["https://s.example/one/", "https://s.example/here", "https://s.example/two"]
+    assert got["header_links"] == ["https://s.example/two"]
+    assert "https://s.example/three" in got["page_links"] and len(got["all_links"]) == 6 and "<footer>" not in got["kept_html"] and got["kept_chars"] == len(got["kept_html"])
+    assert pages.facts_of("<a href=/x>x</a>", None, ["page_links"]) == ([],)
+    assert pages.facts_of(None, "u", ["page_links", "kept_chars", "html_chars"]) == ([], 0, 0)
 
 
 def test_links_and_sitemap(spark):
     page = "<nav><a href=/one/>1</a><a href=/story-1234567.html>s</a></nav><a href=/three>3</a><a href=/one>1</a><a href=/x/y>deep</a>"
     df = spark.createDataFrame([("i", "https://s.example/", page, 200), ("n", None, None, 200)], "id string, url string, raw_html string, status_code int")
-    facts = pages.page_facts(df)
+    facts = pages.page_facts(df, pages.LINK_FACTS)
     assert pages.sitemap(facts).first().seeds == ["https://s.example", "https://s.example/one"]
     assert {r.url for r in pages.new_links(facts).collect()} == {"https://s.example/three", "https://s.example/story-1234567.html"}
 
@@ -63,9 +77,24 @@ def test_articles(spark):
     assert not got["3"].parsed
     missing = pages.missing_selectors(df, reg)
     assert {r.domain for r in missing.collect()} == {"a.example", "c.example"}
-    done = adapters.completed_registry(reg, missing, adapters.DefaultSelectors)
+    done = adapters.completed_registry(reg, missing, df, adapters.DefaultSelectors)
     assert {r.domain for r in done.where("is_default").collect()} == {"a.example", "c.example"}
 
+    class Provider:
+        """Fails twice, then knows an answer from the page that it is shown."""
+
+        def __init__(self):
+            self.calls = 0
+
+        def selectors(self, host, text):
+            self.calls += 1
+            if self.calls % 3:
+                raise OSError("limit")
+            return {"title": "h1", "content": ".content" if "class=content" in text else None, "author": host, "publish_at": None}
+
+    asked = {r.domain: r for r in adapters.completed_registry(reg, missing, df, Provider, sleep=lambda s: None).where("author is not null").collect()}
+    assert asked["a.example"].content == ".content" and asked["c.example"].content is None and not asked["a.example"].is_default
+
 
 def test_reply(spark):
     from pyspark.sql import functions as F

@@ -1,5 +1,9 @@
+import glob
+import os
+import time
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import fetching
@@ -32,13 +36,52 @@ def test_host_counters_match_the_batch_form(spark, tmp_path):
     t = datetime(2024, 1, 1)
     df = spark.createDataFrame([("h", t + timedelta(seconds=k)) for k in range(25)], "host string, ts timestamp").coalesce(1)
     out = flows.run_available(flows.host_flushes(stream_of(spark, df, tmp_path / "in", 1)), folder=str(tmp_path / "q"))
-    assert [r.fetches for r in out.orderBy("us").collect()] == [r.fetches for r in fetching.host_flushes(df).orderBy("flushed_at").collect()] == [10, 10]
-
-
-def test_status_cache(spark, tmp_path):
-    df = spark.createDataFrame([("https://a/x", 500, datetime(2024, 1, 1, 1)), ("https://A/x/", 404, datetime(2024, 1, 1, 2)), (None, 200, None)], "url string, status int, ts timestamp")
-    out = flows.run_available(flows.cached_status(stream_of(spark, df, tmp_path / "in", 1)), mode="update", folder=str(tmp_path / "q"), once=True)
-    assert [(r.status, r.retry_count, r.known_before) for r in out.collect()] == [(404, 2, False)]
+    assert [r.fetches for r in out.orderBy("us").collect()] == [r.fetches for r in fetching.host_flushes(df).orderBy("flushed_at").collect()] == [1, 10, 10]
+
+
+def in_batches(spark, batches, schema, folder):
+    """A stream that has one micro-batch for each list of rows."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/part={k}")
+        for f in glob.glob(f"{folder}/part={k}/*.parquet"):
+            os.utime(f, (1_000_000 + k, 1_000_000 + k))  # files are taken in the order of their times
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
+
+
+def test_status_cache_over_three_batches(spark, tmp_path):
+    t = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    schema = "url string, status int, ts timestamp"
+    batches = [
+        [("https://A/x/", 404, t(1, 10)), ("https://a/x", 500, t(1)), (None, 200, t(1)), ("https://a/y", 200, t(1)), ("https://a/z", 500, None)],
+        # x again within 20 minutes of its failure, y within an hour of its success
+        [("https://a/x", 503, t(1, 25)), ("https://a/y", 200, t(1, 50)), ("https://a/y", 500, t(0))],
+        # both too late by now: x after 20 minutes, y after an hour
+        [("https://a/x", 503, t(1, 50)), ("https://a/y", 500, t(3))],
+    ]
+    got = []
+    for k in range(3):
+        stream = in_batches(spark, batches[k : k + 1], schema, str(tmp_path / f"in{k}")) if k == 0 else None
+        if k:
+            spark.createDataFrame(batches[k], schema).coalesce(1).write.parquet(str(tmp_path / f"in0/part={k}"))
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in0/part=*"))
+        # one micro-batch a run, as state with a time to live doesn't end otherwise; the checkpoint goes on
+        flows.run_available(flows.cached_status(stream), mode="update", folder=str(tmp_path / "q"), once=True)
+        rows = spark.read.parquet(str(tmp_path / "q/table")).select("status", "retry_count", "known_before").collect()
+        got.append(sorted((r.status, r.retry_count, r.known_before) for r in rows))
+    assert got[0] == [(200, 0, False), (404, 2, False)]
+    assert sorted(set(got[1]) - set(got[0])) == [(200, 0, True), (503, 3, True)]
+    assert sorted(set(got[2]) - set(got[1])) == [(500, 1, False), (503, 1, False)]
+
+
+def test_host_counters_over_batches(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    times = [1, 5, 60, 100, 400, 401, 402, 4000, *range(4010, 4040, 2)]
+    rows = [("h", t + timedelta(seconds=s)) for s in times]
+    stream = in_batches(spark, [rows[:3], rows[3:8], rows[8:]], "host string, ts timestamp", str(tmp_path / "in"))
+    out = flows.run_available(flows.host_flushes(stream), folder=str(tmp_path / "q"))
+    batch = fetching.host_flushes(spark.createDataFrame(rows, "host string, ts timestamp"))
+    assert sorted((r.us, r.fetches) for r in out.collect()) == sorted((int((r.flushed_at - datetime(1970, 1, 1)).total_seconds() * 1_000_000), r.fetches) for r in batch.collect())
+    assert [r.fetches for r in batch.orderBy("flushed_at").collect()] == [1, 4, 1, 10]
 
 
 def test_upserts_and_retries(spark, tmp_path):
@@ -47,6 +90,16 @@ def test_upserts_and_retries(spark, tmp_path):
     flows.run_batches(stream_of(spark, df, tmp_path / "in"), flows.upsert_into(table), folder=str(tmp_path / "q"))
     got = {r.url: r.title for r in flows.latest(spark, table, 3).collect()}
     assert set(got) == {"u0", "u1", "u2"}
+    # a batch touches its own buckets only, and a repeated one changes nothing
+    merge = flows.upsert_into(table)
+    more = spark.createDataFrame([("x", "new", "t", "c", datetime(2025, 1, 1)), ("y", None, "t", "c", None)], df.schema)
+    for _ in range(2):
+        merge(more, 3)
+        assert {r.url: r.title for r in flows.latest(spark, table, 4).collect()} == got | {"new": "t"}
+    assert len(glob.glob(f"{table}/rows/batch=3/bucket=*")) == 1
+    assert {r.url: r.title for r in flows.latest(spark, table, 3).collect()} == got
+    merge(more.limit(0), 4)
+    assert flows.latest(spark, table, 5).count() == 4
     msgs = spark.createDataFrame([('{"url":"u1","retryCount":1,"lastAttempt":"2024-01-01T00:00:00Z","httpStatus":500,"x":1}', None), ("broken", None)], "value string, ts timestamp")
     r = kafka.decoded(msgs, "retry_url_tasks").select("url", F.col("retryCount").alias("retry_count"), F.col("lastAttempt").alias("last_attempt"), F.col("httpStatus").alias("http_status"))
     ready, waiting = str(tmp_path / "ready"), str(tmp_path / "waiting")
@@ -54,6 +107,48 @@ def test_upserts_and_retries(spark, tmp_path):
     assert [x.url for x in spark.read.parquet(ready).collect()] == ["u1"] and spark.read.parquet(waiting).count() == 0
 
 
+def test_waiting_set_is_drained(spark, tmp_path):
+    waiting, front = str(tmp_path / "waiting"), str(tmp_path / "front")
+    spark.createDataFrame([(f"u{k}",) for k in (3, 1, 2, 1, 9, 4, 7)], "url string").write.parquet(waiting + "/batch=0")
+    ticks = [[r.url for r in flows.drain_waiting(spark, front, waiting, k, 3).orderBy("url").collect()] for k in (0, 1, 1, 2)]
+    assert ticks == [["u1", "u2", "u3"], ["u4", "u7", "u9"], ["u4", "u7", "u9"], []]
+    assert spark.read.parquet(front).count() == 6
+
+
+def test_a_query_a_topic(spark, tmp_path):
+    seen = {}
+    streams = {t: stream_of(spark, spark.createDataFrame([(f"{t}-{k}",) for k in range(4)], "value string"), tmp_path / t, 2) for t in kafka.TEXT_TOPICS}
+    handlers = {t: lambda b, n, t=t: seen.setdefault(t, []).extend(r.value for r in b.collect()) for t in kafka.TEXT_TOPICS}
+    for q in flows.start_topics(streams, handlers, str(tmp_path / "checkpoints")).values():
+        q.awaitTermination(120)
+    assert {t: sorted(v) for t, v in seen.items()} == {t: [f"{t}-{k}" for k in range(4)] for t in kafka.TEXT_TOPICS}
+    with pytest.raises(ValueError):
+        flows.start_topics({}, handlers, str(tmp_path / "none"))
+
+
+def test_ticks(spark, tmp_path):
+    ticks = []
+    query = flows.start_tick(spark, "dispatch", ticks.append, str(tmp_path), every="500 milliseconds")
+    for _ in range(60):
+        if len(ticks) >= 2:
+            break
+        time.sleep(0.5)
+    query.stop()
+    assert ticks[:2] == [0, 1]
+
+
+def test_topics_need_the_connector(spark, tmp_path):
+    options = kafka.read_options("b:9092", "new_url_tasks")
+    assert options["startingOffsets"] == "earliest" and options["subscribe"] == "new_url_tasks"
+    with pytest.raises(Exception, match="kafka"):
+        kafka.source(spark, "b:9092", "new_url_tasks")
+    stream = stream_of(spark, spark.createDataFrame([("u", 1)], "url string, retryCount int"), tmp_path / "in", 1)
+    assert kafka.written(stream, "retry_url_tasks").columns == ["value"] and kafka.sink(stream, "b:9092", "retry_url_tasks", str(tmp_path / "c")) is not None
+    rows = kafka.written(spark.createDataFrame([("u", 1)], "url string, retryCount int"), "retry_url_tasks").collect()
+    assert rows[0].value == '{"url":"u","retryCount":1}'
+    assert kafka.written(spark.createDataFrame([("u",)], "value string"), "fetching_tasks").first().value == "u"
+
+
 def test_admission_stream(spark, tmp_path):
     doms = spark.createDataFrame([("d", "a.example", [], None, None, 1, True)], "id string, domain string, seed_urls array<string>, last_crawled timestamp, create_at timestamp, priority int, active boolean")
     tasks = spark.createDataFrame([(1, "https://a.example/x"), (2, "https://b.example/")], "task_id long, url string")

@@ -89,3 +89,11 @@ def test_canonical():
 def test_split_parts():
     assert resolve.split("s://l/p;m?q#f") == {"scheme": "s", "location": "l", "path": "/p", "parameters": "m", "query": "q", "fragment": "f"}
     assert resolve.split("//l?q")["location"] == "l"
+
+
+def test_parts_as_columns(spark):
+    specs = ["s://l/p;m?q#f", "//l?q", "//l;x", "http://a.example", "p;m;n?a?b#c#d", "", "#", "?", "mailto:x@y", "1a:b", "a/b:c", "http://h/p#s://x?y", " http://h/ ", "x:", "é:y//z"]
+    df = spark.createDataFrame([(u, "k") for u in specs] + [(None, "k")], "url string, left string")
+    for r in resolve.with_parts(df).collect():
+        want = resolve.split(r.url.strip()) if r.url is not None else dict.fromkeys(resolve.PARTS)
+        assert {n: r[n] for n in resolve.PARTS} == want, r.url
