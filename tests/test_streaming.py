@@ -35,17 +35,19 @@ def test_windows_match_a_batch(spark, tmp_path):
 def test_host_counters_match_the_batch_form(spark, tmp_path):
     t = datetime(2024, 1, 1)
     df = spark.createDataFrame([("h", t + timedelta(seconds=k)) for k in range(25)], "host string, ts timestamp").coalesce(1)
-    out = flows.run_available(flows.host_flushes(stream_of(spark, df, tmp_path / "in", 1)), folder=str(tmp_path / "q"))
+    out = flows.run_available(flows.host_flushes(stream_of(spark, df, tmp_path / "in", 1)), folder=str(tmp_path / "q"), once=True)
     assert [r.fetches for r in out.orderBy("us").collect()] == [r.fetches for r in fetching.host_flushes(df).orderBy("flushed_at").collect()] == [1, 10, 10]
 
 
-def in_batches(spark, batches, schema, folder):
-    """A stream that has one micro-batch for each list of rows."""
+def runs(spark, flow, batches, schema, folder, mode):
+    """What a flow has written after each of several micro-batches: one run each, with one checkpoint, as state that ends by the clock doesn't end otherwise."""
+    found = []
     for k, rows in enumerate(batches):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/part={k}")
-        for f in glob.glob(f"{folder}/part={k}/*.parquet"):
-            os.utime(f, (1_000_000 + k, 1_000_000 + k))  # files are taken in the order of their times
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/part={k}")
+        flows.run_available(flow(spark.readStream.schema(schema).parquet(f"{folder}/in/part=*")), mode=mode, folder=f"{folder}/q", once=True)
+        found.append(spark.read.parquet(f"{folder}/q/table"))
+        found[-1] = found[-1].collect()
+    return found
 
 
 def test_status_cache_over_three_batches(spark, tmp_path):
@@ -58,16 +60,7 @@ def test_status_cache_over_three_batches(spark, tmp_path):
         # both too late by now: x after 20 minutes, y after an hour
         [("https://a/x", 503, t(1, 50)), ("https://a/y", 500, t(3))],
     ]
-    got = []
-    for k in range(3):
-        stream = in_batches(spark, batches[k : k + 1], schema, str(tmp_path / f"in{k}")) if k == 0 else None
-        if k:
-            spark.createDataFrame(batches[k], schema).coalesce(1).write.parquet(str(tmp_path / f"in0/part={k}"))
-            stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in0/part=*"))
-        # one micro-batch a run, as state with a time to live doesn't end otherwise; the checkpoint goes on
-        flows.run_available(flows.cached_status(stream), mode="update", folder=str(tmp_path / "q"), once=True)
-        rows = spark.read.parquet(str(tmp_path / "q/table")).select("status", "retry_count", "known_before").collect()
-        got.append(sorted((r.status, r.retry_count, r.known_before) for r in rows))
+    got = [sorted((r.status, r.retry_count, r.known_before) for r in rows) for rows in runs(spark, flows.cached_status, batches, schema, str(tmp_path), "update")]
     assert got[0] == [(200, 0, False), (404, 2, False)]
     assert sorted(set(got[1]) - set(got[0])) == [(200, 0, True), (503, 3, True)]
     assert sorted(set(got[2]) - set(got[1])) == [(500, 1, False), (503, 1, False)]
@@ -77,10 +70,9 @@ def test_host_counters_over_batches(spark, tmp_path):
     t = datetime(2024, 1, 1)
     times = [1, 5, 60, 100, 400, 401, 402, 4000, *range(4010, 4040, 2)]
     rows = [("h", t + timedelta(seconds=s)) for s in times]
-    stream = in_batches(spark, [rows[:3], rows[3:8], rows[8:]], "host string, ts timestamp", str(tmp_path / "in"))
-    out = flows.run_available(flows.host_flushes(stream), folder=str(tmp_path / "q"))
+    out = runs(spark, flows.host_flushes, [rows[:3], rows[3:8], rows[8:]], "host string, ts timestamp", str(tmp_path), "append")[-1]
     batch = fetching.host_flushes(spark.createDataFrame(rows, "host string, ts timestamp"))
-    assert sorted((r.us, r.fetches) for r in out.collect()) == sorted((int((r.flushed_at - datetime(1970, 1, 1)).total_seconds() * 1_000_000), r.fetches) for r in batch.collect())
+    assert sorted((r.us, r.fetches) for r in out) == sorted((int((r.flushed_at - datetime(1970, 1, 1)).total_seconds() * 1_000_000), r.fetches) for r in batch.collect())
     assert [r.fetches for r in batch.orderBy("flushed_at").collect()] == [1, 4, 1, 10]
 
 
