@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_cleaned": t(lambda c: frequent_lines.without_frequent_lines(c).select("id", "content", "lines_removed"), "contents"),
         "p3_found": t(main_body.main_paragraphs, "url_metadata", "contents"),
         "p3_paragraphs": t(lambda p, c: main_body.main_paragraphs(p, c, with_text=True), "url_metadata", "contents"),
+        "p3_texts": t(main_body.main_texts, "url_metadata"),
         "p5_found": t(names.same_name_pairs, "contents"),
         "p5_entities": t(names.profiles, "contents"),
         "p6_found": t(looks.changed_fields, "contents"),

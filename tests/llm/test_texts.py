@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import htmltree
 from millrace.llm import frequent_lines, looks, main_body
 
 CONTENTS = "id string, url string, title string, content string, author string, site string, keys int, line string"
@@ -129,6 +130,18 @@ def test_line_model_counts_all_pages(spark):
     assert all(word(k) in weights for k in range(3200))
 
 
+def test_rendered_body():
+    page = "<title>Story</title><nav><a href=/>Home</a></nav><article><h1>Story</h1><p>The council of the town met on Monday.</p><ul><li>First it spoke about the bridge.</li><li>Then about the school.</li></ul><table><tr><th>Year<th>Cost</tr><tr><td>2023<td>5</tr></table></article><footer>f</footer>"
+    text = htmltree.write(main_body.lines_of_page(page, None, {}))
+    assert text.split("\n") == ["The council of the town met on Monday.", "", "- First it spoke about the bridge.", "- Then about the school.", "", "Year  Cost", "2023  5"]
+
+
+def test_texts_of_pages(spark):
+    rows = [(f"p{k}", f"https://courier.example/{k}", page(k, layout=k % 3 == 0), 200) for k in range(40)] + [("none", None, None, 200), ("empty", None, "", 200)]
+    got = {r.id: r.text for r in main_body.main_texts(spark.createDataFrame(rows, "id string, url string, raw_html string, status_code int")).collect()}
+    assert got["p1"] == "\n\n".join([sentence(1, j) for j in range(3)] + [heading(1)]) and got["empty"] == "" and "none" not in got
+
+
 @pytest.mark.parametrize("bad", [None, "", "<h1>x", "<p>" * 3000 + "a", "<h1>a</h1>" + "b " * 200_000])
 def test_odd_pages(bad):
     main_body.body_of_page(bad, None, {})
