@@ -118,11 +118,16 @@ def _neighbour_latin(text: str, m: re.Match[str]) -> bool:
     return bool(_PLAIN.search(text[max(0, m.start() - 12) : m.start()]) or _PLAIN.search(text[m.end() : m.end() + 12]))
 
 
+def _compatible(text: str) -> str:
+    # most texts are in that form, and asking is cheaper than making it
+    return text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
+
+
 def key(text: str) -> str:
     """The form for comparison."""
     if text.isascii():
         return _BLANKS.sub(" ", text.casefold()).strip()
-    out = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", _INVISIBLE.sub("", form(text))).casefold())
+    out = _compatible(_compatible(_INVISIBLE.sub("", form(text))).casefold())
     return _BLANKS.sub(" ", out).strip()
 
 

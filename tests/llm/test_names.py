@@ -46,3 +46,17 @@ def test_shared_initials_stay_apart(spark):
     assert names.same_name_pairs(df).count() == 0
     near = spark.createDataFrame([*rows[:2], ("A. Bold", "https://b.example/9")], "author string, url string")
     assert [(r.author_a, r.author_b) for r in names.same_name_pairs(near).collect()] == [("A. Bold", "Alan Bold")]
+
+
+def test_long_names_and_chains(spark):
+    rows = [("Juan Carlos Maria de la Cruz Vega", "https://a.example/")] * 3 + [("J. Carlos Maria de la Cruz Vega", "https://b.example/"), ("Ann " * 2000, "https://a.example/"), ("Ann " * 2000 + "B.", "https://a.example/")]
+    # two misspellings of a short form that itself joins the full name
+    rows += [("Dưỡn Lệ Hiềm", "https://c.example/")] * 4 + [("Lệ Hiềm", "https://c.example/")] * 2 + [("LỆ HIỀM", "https://c.example/"), ("By Lệ Hiềm", "https://c.example/"), ("Lệ Hiềmm", "https://d.example/"), ("Lệ Hiiềm", "https://d.example/")]
+    df = spark.createDataFrame(rows, "author string, url string")
+    by = {}
+    for r in names.profiles(df).collect():
+        by.setdefault(r.entity, set()).add(r.author)
+        assert r.name in {x for x, _ in rows}
+    groups = sorted(map(sorted, by.values()), key=len)
+    assert sorted(["Dưỡn Lệ Hiềm", "Lệ Hiềm", "LỆ HIỀM", "By Lệ Hiềm", "Lệ Hiềmm", "Lệ Hiiềm"]) in groups
+    assert sorted(["Juan Carlos Maria de la Cruz Vega", "J. Carlos Maria de la Cruz Vega"]) in groups

@@ -177,6 +177,8 @@ def test_pack_on_spark(spark):
         assert part.groupby("doc_id")["tokens"].sum().to_dict() == want
         assert (part.groupby("container")["tokens"].sum() + part.groupby("container")["room_left"].first() == cap).all()
     assert packing.pack(documents(spark, []), kinds).count() == 0
+    many = spark.createDataFrame([(f"k{k}", 16) for k in range(1100)], "container_kind string, capacity_tokens int")
+    assert packing.pack(documents(spark, rows[:2]), many).select("container_kind").distinct().count() == 1100
     r = {x.container_kind: x for x in packing.rooms(packing.pack(documents(spark, rows), kinds)).collect()}
     assert r["b"].unused < 0.1
 
@@ -195,6 +197,8 @@ def test_mixing(spark):
     assert got["gone"].tokens == 0 and abs(sum(r.reached_share for r in got.values()) - 1) < 1e-5
     for s, share in (("hot", 0.4), ("s0", 0.3), ("s1", 0.2)):
         assert abs(got[s].reached_share - share / 0.9) < 0.01
+        assert abs(got[s].off_tokens) <= 60 and got[s].longest <= 60  # no document has more tokens
+    assert got["gone"].off_tokens is None
     few = mixing.draw(df, targets, budget=5000).toPandas()
     assert 5000 - 120 <= few["tokens"].sum() <= 5000
     assert few[["doc_id", "repeat"]].values.tolist() == pdf[["doc_id", "repeat"]].values.tolist()[: len(few)]

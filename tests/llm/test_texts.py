@@ -122,12 +122,16 @@ def test_main_body(spark):
     assert main_body.main_paragraphs(pages.limit(0), stored.limit(0)).count() == 0
 
 
-def test_line_model_counts_all_pages(spark):
+def test_line_model_counts_all_pages(spark, monkeypatch):
     # a word on two pages each, on more pages than any sample took
     word = lambda k: "q" + "".join(chr(97 + int(d)) for d in str(k // 2))
     rows = [(f"p{k}", f"https://courier.example/{k}", f"<article><h1>Story</h1><p>The whole body of this page is about {word(k)} and the town of rivers.</p></article>", 200) for k in range(3200)]
-    weights = main_body.line_model(spark.createDataFrame(rows, "id string, url string, raw_html string, status_code int"))
+    bodies = main_body.page_bodies(spark.createDataFrame(rows, "id string, url string, raw_html string, status_code int"))
+    weights = main_body.line_model(bodies)
     assert all(word(k) in weights for k in range(3200))
+    monkeypatch.setattr(main_body, "MODEL_FEATURES", 500)
+    few = main_body.line_model(bodies)
+    assert len(few) < 600 and {"town", "rivers"} <= set(few)  # what is seen most is kept
 
 
 def test_rendered_body():
