@@ -166,6 +166,56 @@ def _date(x: str) -> str:
     return f"coalesce({gmt}, {zoned}, {iso}, {', '.join(times)}, {', '.join(days)}, {ago})"
 
 
+# Problem 4 once more, from its statement: notations, units and zone abbreviations written out.
+_MONTHS = ("jan", "feb|fév", "mar", "apr|avr", "may|mai", "jun|juin", "jul|juil", "aug|aoû", "sep", "oct", "nov", "dec|déc")
+_WEEKDAYS = "monday|mon|tuesday|tues|tue|wednesday|wed|thursday|thurs|thur|thu|friday|fri|saturday|sat|sunday|sun|thứ hai|thứ ba|thứ tư|thứ năm|thứ sáu|thứ bảy|chủ nhật|lundi|mardi|mercredi|jeudi|vendredi|samedi|dimanche"
+_OFFSETS = {
+    "z": 0, "utc": 0, "gmt": 0, "wet": 0, "west": 3600, "bst": 3600, "cet": 3600, "cest": 7200, "eet": 7200, "eest": 10800, "msk": 10800, "ict": 25200, "jst": 32400, "kst": 32400, "awst": 28800, "acst": 34200, "acdt": 37800, "aest": 36000, "aedt": 39600, "nzst": 43200, "nzdt": 46800,
+    "est": -18000, "edt": -14400, "cst": -21600, "cdt": -18000, "mst": -25200, "mdt": -21600, "pst": -28800, "pdt": -25200,
+}
+
+
+def _instants() -> str:
+    t = r"lower(trim(regexp_replace(publish_at, '[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}]+', ' ', 'g')))"
+    t = f"regexp_replace({t}, '^(?:{_WEEKDAYS})[,.]? ', '')"
+    t = f"regexp_replace({t}, '[(),]', ' ', 'g')"
+    t = rf"regexp_replace(regexp_replace({t}, ' (?:ngày|at|lúc|à) +(\d)', ' \1', 'g'), '(^| )tháng (\d{{1,2}})', '\1m\2')"
+    for k, names in enumerate(_MONTHS, 1):
+        t = rf"regexp_replace({t}, '\b(?:{names})[a-zà-ÿ]*\.?', 'm{k}')"
+    t = f"trim(regexp_replace({t}, ' +', ' ', 'g'))"
+    clock = r"(\d{1,2})[:h](\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?: ?(am|pm))?"
+    zone = r"(?: ?(z|[a-z]{2,5}|(?:gmt|utc)? ?[+-]\d{1,2}(?::?\d{2})?))?"
+    dates = [(r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", "y mo d"), (r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})", "a b y"), (r"(\d{1,2}) m(\d{1,2}) (\d{4})", "d mo y"), (r"m(\d{1,2}) (\d{1,2}) (\d{4})", "mo d y")]
+    cases = []
+    for date, names in dates:
+        for pattern, order in ((f"^{date}(?:(?:t| t?){clock})?{zone}$", f"{names} h mi s f ap z"), (f"^{clock} {date}{zone}$", f"h mi s f ap {names} z")):
+            where = order.split()
+            parts = ", ".join(f"{n} := " + (f"regexp_extract(t, '{pattern}', {where.index(n) + 1})" if n in where else "''") for n in ("y", "a", "b", "mo", "d", "h", "mi", "s", "f", "ap", "z"))
+            cases.append(f"WHEN regexp_matches(t, '{pattern}') THEN struct_pack({parts})")
+    n = lambda x: f"try_cast(p.{x} AS BIGINT)"
+    month = f"coalesce({n('mo')}, CASE WHEN mdy THEN {n('a')} ELSE {n('b')} END)"
+    day = f"coalesce({n('d')}, CASE WHEN mdy THEN {n('b')} ELSE {n('a')} END)"
+    hour = f"CASE WHEN p.ap = '' THEN {n('h')} WHEN {n('h')} NOT BETWEEN 1 AND 12 THEN NULL WHEN p.ap = 'am' THEN {n('h')} % 12 ELSE {n('h')} % 12 + 12 END"
+    second = f"coalesce({n('s')}, 0)"
+    units = "CASE WHEN regexp_full_match(u, 'seconds?|secs?|giây|secondes?') THEN 1 WHEN regexp_full_match(u, 'minutes?|mins?|phút') THEN 60 WHEN regexp_full_match(u, 'hours?|hrs?|giờ|tiếng|heures?') THEN 3600 WHEN regexp_full_match(u, 'days?|ngày|jours?') THEN 86400 WHEN regexp_full_match(u, 'weeks?|tuần|semaines?') THEN 604800 END"
+    away = r"CASE WHEN regexp_matches(t, '^il y a \d{1,6} [^ ]+$|^\d{1,6} [^ ]+ (?:ago|trước)$') THEN try_cast(regexp_extract(t, '^(?:il y a )?(\d{1,6})', 1) AS BIGINT) END"
+    unit = r"regexp_extract(t, '^(?:il y a )?\d{1,6} ([^ ]+)', 1)"
+    offsets = " ".join(f"WHEN '{k}' THEN {v}" for k, v in _OFFSETS.items())
+    number = r"CASE WHEN regexp_matches(t, '^-?\d{1,15}$') AND NOT regexp_matches(t, '^\d{8}$') THEN try_cast(t AS BIGINT) END"
+    numeric = r"^(?:gmt|utc)?([+-])(\d{1,2}):?(\d{2})?$"
+    return f"""
+WITH c AS (SELECT c.id, {_host('c.url')} AS h, epoch_us(received_at) AS received, {t} AS t FROM contents c),
+w AS (SELECT c.*, coalesce(l.time_zone, 'UTC') AS tz, coalesce(l.date_order = 'mdy', false) AS mdy, {unit} AS u, {away} AS k, {number} AS num, CASE {' '.join(cases)} END AS p FROM c LEFT JOIN site_locales l ON lower(l.domain) = lower(c.h)),
+r AS (SELECT *, try_cast(lpad(p.y, 4, '0') || '-' || lpad(({month})::VARCHAR, 2, '0') || '-' || lpad(({day})::VARCHAR, 2, '0') AS DATE) AS day, {hour} AS hour, {n('mi')} AS minute, {second} AS second, CASE WHEN p.f = '' THEN 0 ELSE rpad(p.f, 6, '0')[1:6]::BIGINT END AS micro, replace(p.z, ' ', '') AS zone FROM w),
+q AS (SELECT *, epoch_us(day::TIMESTAMP) + CASE WHEN p.h = '' THEN 0 WHEN hour BETWEEN 0 AND 23 AND minute BETWEEN 0 AND 59 AND second BETWEEN 0 AND 59 THEN ((hour * 60 + minute) * 60 + second) * 1000000 + micro END AS wall FROM r),
+i AS (SELECT *, make_timestamp(wall) AS ts, CASE WHEN regexp_matches(zone, '{numeric}') THEN CASE WHEN regexp_extract(zone, '{numeric}', 1) = '-' THEN -1 ELSE 1 END * (regexp_extract(zone, '{numeric}', 2)::BIGINT * 3600 + coalesce(try_cast(regexp_extract(zone, '{numeric}', 3) AS BIGINT), 0) * 60) ELSE CASE zone {offsets} END END AS off FROM q),
+z AS (SELECT id, CASE WHEN num IS NOT NULL THEN CASE WHEN abs(num) >= 100000000000 THEN num * 1000 ELSE num * 1000000 END WHEN k IS NOT NULL THEN received - k * ({units}) * 1000000
+  WHEN t IN ('now', 'just now', 'today', 'vừa xong', 'hôm nay', 'aujourd''hui') THEN received WHEN t IN ('yesterday', 'hôm qua', 'hier') THEN received - 86400000000
+  WHEN zone <> '' THEN wall - off * 1000000
+  WHEN timezone(tz, timezone(tz, ts) - INTERVAL 1 HOUR) = ts THEN epoch_us(timezone(tz, ts) - INTERVAL 1 HOUR) ELSE epoch_us(timezone(tz, ts)) END AS publish_us FROM i)
+SELECT DISTINCT id, publish_us FROM z WHERE publish_us IS NOT NULL"""
+
+
 # Pages by regular expressions, for the markup of the tables: links stand in double quotes, navigation isn't nested.
 _PAGES = r"""
 pages AS (SELECT DISTINCT id, url, raw_html, coalesce(nullif(regexp_extract(raw_html, '<link rel="canonical" href="([^"]*)"', 1), ''), regexp_replace(url, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')) AS base FROM url_metadata WHERE status_code = 200 AND raw_html IS NOT NULL),
@@ -209,6 +259,22 @@ def oracle_sql() -> dict[str, str]:
     fresh = f"""WITH {_PAGES}, {_links()}, {_links(_NAV)},
 known AS (SELECT id, base, {base} AS u FROM pages UNION SELECT id, base, regexp_replace(url, '/$', '') FROM navs WHERE {nav}),
 fresh AS (SELECT DISTINCT l.id, regexp_replace(l.url, '/$', '') AS url FROM (SELECT * FROM links WHERE {section}) l WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.id = l.id AND k.base = l.base AND k.u = regexp_replace(l.url, '/$', '')))"""
+
+    def closure(seeds: str) -> str:
+        """Each URL at the smallest depth at which a walk over stored pages reaches it; walks go far beyond the depth of the tables."""
+        known = f"length({_trim('url')}) > 0 AND {_scheme('url')} IN ('http', 'https', 'ftp', 'file', 'jar', 'mailto') AND {_host('url')} IN (SELECT domain FROM domains)"
+        return f"""{fresh.replace('WITH', 'WITH RECURSIVE', 1)},
+m AS (SELECT id, arg_max_null(status_code, coalesce(last_attempt, TIMESTAMPTZ '1970-01-01 00:00:00+00')) AS status_code, max(retry_count) AS retry_count, max(last_attempt) AS last_attempt FROM url_metadata GROUP BY id),
+ok AS (SELECT DISTINCT f.id, f.url, f.next FROM (SELECT id, url, sha256({_normal('url')}) AS next FROM fresh WHERE {known}) f LEFT JOIN m ON m.id = f.next
+  WHERE CASE WHEN m.id IS NULL THEN true WHEN coalesce(m.status_code <> 200, true) AND coalesce(m.retry_count, 0) > 3 THEN m.last_attempt IS NULL OR {_AS_OF} - m.last_attempt >= INTERVAL 5 MINUTE ELSE NOT {_is_article('f.url')} END),
+r AS (SELECT DISTINCT url, sha256({_normal('url')}) AS id, 0 AS depth FROM ({seeds}) WHERE {known} UNION SELECT ok.url, ok.next, r.depth + 1 FROM r JOIN ok ON ok.id = r.id WHERE r.depth < 40)
+SELECT url, min(depth)::INT AS depth FROM r GROUP BY url"""
+
+    # small pages and what is left of them without noise, end tags added
+    kept = """SELECT * FROM (VALUES ('1', 'a.example', '<h1>T</h1><div class=content>C <p>c</p></div><span class=author>A</span>', '<h1>T</h1><div class=content>C <p>c</p></div><span class=author>A</span>'),
+  ('2', 'b.example', '<h1>T</h1><main>M &amp; m</main><nav>n</nav>', '<h1>T</h1><main>M &amp; m</main>'), ('3', 'c.example', '<h1>T</h1><p>no content', '<h1>T</h1><p>no content</p>'),
+  ('4', 'd.example', '<header><a class=main href=/h1>h</a></header><div id=content><div class=menu><a href=/m1>m</a></div><a href=/m2>no</a></div><a class=''btn'' href=/p1>p</a><a class=''btn'' href=/2024/05/x>p</a><div class=breadcrumbs><a href=/b1/>b</a><a href=''#''>b</a></div><a href=/r1>1</a><a href=/r1/>2</a><a href=/once>3</a>',
+   '<header><a class=main href=/h1>h</a></header><div id=content><a href=/m2>no</a></div><a class=''btn'' href=/p1>p</a><a class=''btn'' href=/2024/05/x>p</a><div class=breadcrumbs><a href=/b1/>b</a><a href=''#''>b</a></div><a href=/r1>1</a><a href=/r1/>2</a><a href=/once>3</a>')) t(id, domain, page, kept)"""
     merge_valid = f"SELECT *, coalesce(received_at < TIMESTAMPTZ '2025-02-01 00:00:00+00', true) AS early FROM contents WHERE {valid}"
     rest = "regexp_replace(regexp_extract(t, '^([^#]*)'), '^\\p{L}[\\p{L}\\p{N}_.+-]*:', '')"
     return {
@@ -284,6 +350,8 @@ SELECT x.url, coalesce(hit.kind, 3) AS robots, coalesce(d.delay, 2) AS crawl_del
         "robots_gate": r"SELECT * FROM (VALUES ('h0.example', '*', 2, '/x', '^\Q/x\E.*'), ('h1.example', '*', 2, '/y', '^\Q/y\E.*')) t(host, agents, type, pattern, regex)",
         "domain_create": f"SELECT domain, priority, active FROM domains UNION ALL SELECT h, 1, true FROM ({bootstrap})",
         "domain_delete": "SELECT domain FROM domains WHERE coalesce(active, false)",
+        "crawl_closure": closure("SELECT unnest(seed_urls) AS url FROM domains WHERE coalesce(active, false)"),
+        "crawl_closure_pages": closure("SELECT url FROM url_metadata"),
         "metadata_lookup": "SELECT id, url, status_code FROM url_metadata WHERE id = (SELECT min(id) FROM url_metadata)",
         # each flush is known from the one before: a recursion over a host's fetches in order
         "host_tracker": f"""WITH RECURSIVE f AS (SELECT host, us, row_number() OVER (PARTITION BY host ORDER BY us) AS k FROM (SELECT lower({_host('url')}) AS host, epoch_us(ts) AS us FROM new_url_tasks WHERE {_host('url')} IS NOT NULL AND ts IS NOT NULL)),
@@ -301,12 +369,14 @@ d AS (SELECT *, CASE WHEN location IS NULL THEN r ELSE substr(r, length(location
 SELECT url, scheme, location, nullif(regexp_extract(p, '^([^?;]*)', 1), '') AS path, CASE WHEN regexp_matches(p, '^[^?]*;') THEN regexp_extract(p, '^[^?;]*;([^?]*)', 1) END AS parameters, CASE WHEN contains(p, '?') THEN regexp_extract(p, '\\?(.*)$', 1) END AS query, fragment FROM d""",
         "page_links": f"WITH {_PAGES}, {_links()} SELECT DISTINCT id, url FROM links",
         "nav_links": f"WITH {_PAGES}, {_links(_NAV)} SELECT DISTINCT id, url FROM navs",
+        "header_links": f"""WITH {_PAGES}, {_links("'(?s)<header[ >].*?</header>'").replace('FROM sited)', "FROM sited WHERE regexp_matches(raw_html, '(?s)<header[^>]*(class|id)=[^>]*(nav|menu|header)|<header[ >].*(class|id)=[^>]*(nav|menu|header|main|primary|category|section).*</header>'))")} SELECT DISTINCT id, url FROM navs""",
         "sitemap_seeds": f"WITH {_PAGES}, {_links(_NAV)} SELECT id, {base} AS url FROM pages UNION SELECT id, regexp_replace(url, '/$', '') FROM navs WHERE {nav}",
         "new_links": f"{fresh} SELECT id, url FROM fresh",
         "extracted_total": f"{fresh} SELECT count(*) AS extracted FROM fresh",
         "link_frequency": f"""WITH {_PAGES}, every AS (SELECT id, base, md5(raw_html) AS page, {_full('h')} AS url FROM (SELECT *, unnest(regexp_extract_all(raw_html, {_HREF}, 1)) AS h FROM sited)),
 n AS (SELECT id, base, page, regexp_replace(url, '/$', '') AS url, count(*) AS n FROM every WHERE {nav} GROUP BY ALL HAVING count(*) >= 2)
 SELECT id, url, max(n) AS n FROM n WHERE length({_path('url')}) BETWEEN 2 AND 49 AND len(string_split(rtrim({_path('url')}, '/'), '/')) <= 3 GROUP BY id, url""",
+        "p4_found": _instants(),
         "date_parse": f"SELECT id, timezone('UTC', {_date('publish_at')}) AS publish_at FROM contents",
         "search_keyword": f"WITH {dated}, {hits} SELECT id, url, timezone('UTC', moment) AS publish_at FROM hits ORDER BY moment DESC NULLS LAST, url, id LIMIT 5",
         "search_keyword_page": f"WITH {dated}, {hits} SELECT id, url, timezone('UTC', moment) AS publish_at FROM hits ORDER BY moment DESC NULLS LAST, url, id LIMIT 10 OFFSET 20",
@@ -327,8 +397,9 @@ SELECT f.id, l.url, l.title, md5(l.content) AS content_md5, NOT l.stored AS is_i
         "sitemap_cases": "SELECT '4' AS id, kind, 'https://d.example/' || path AS url FROM (VALUES ('content', 'm1'), ('prominent', 'h1'), ('prominent', 'p1'), ('breadcrumb', 'b1')) t(kind, path)",
         "header_cases": "SELECT '4' AS id, 'https://d.example/h1' AS url",
         "frequency_cases": "SELECT '4' AS id, 'https://d.example/r1' AS url, 2::BIGINT AS n",
-        "prompt_cases": """SELECT id, domain, kept, true AS fits FROM (VALUES ('1', 'a.example', '<h1>T</h1><div class=content>C <p>c</p></div><span class=author>A</span>'), ('2', 'b.example', '<h1>T</h1><main>M &amp; m</main>'), ('3', 'c.example', '<h1>T</h1><p>no content</p>'),
-  ('4', 'd.example', '<header><a class=main href=/h1>h</a></header><div id=content><a href=/m2>no</a></div><a class=''btn'' href=/p1>p</a><a class=''btn'' href=/2024/05/x>p</a><div class=breadcrumbs><a href=/b1/>b</a><a href=''#''>b</a></div><a href=/r1>1</a><a href=/r1/>2</a><a href=/once>3</a>')) t(id, domain, kept)""",
+        "prompt_cases": f"SELECT id, domain, kept, true AS fits FROM ({kept})",
+        "token_cases": f"SELECT id, (length(page) // 4)::BIGINT AS tokens_before, (length(kept) // 4)::BIGINT AS tokens_after, round((length(page) // 4 - length(kept) // 4) / (length(page) // 4)::DOUBLE * 100, 2) AS reduction, true AS fits FROM ({kept})",
+        "parse_counter_cases": "SELECT * FROM (VALUES ('a.example', 1::BIGINT, 0::BIGINT), ('b.example', 1, 0), ('c.example', 0, 1), ('d.example', 0, 1)) t(host, parsed, failed)",
         "metric_samples": "SELECT event_type AS metric, NULL::VARCHAR AS label, date_trunc('second', ts)::TIMESTAMP AS ts, count(*) AS inc FROM events GROUP BY ALL",
         "metric_last": "SELECT event_type AS metric, NULL::VARCHAR AS label, count(*) AS value FROM events GROUP BY ALL",
         "metric_rate": f"""WITH {_SERIES}, g AS (SELECT *, coalesce(value - lag(value) OVER (PARTITION BY metric ORDER BY ts), 0) AS grown, epoch(ts)::BIGINT AS s FROM series)

@@ -158,6 +158,8 @@ def queries() -> dict[str, Query]:
         "sitemap_cases": lambda s, d: pages.more_sitemap_links(pages.page_facts(fixtures.small_pages(s), pages.WIDE_FACTS)),
         "header_cases": lambda s, d: pages.page_facts(fixtures.small_pages(s), ("header_links",)).select("id", F.explode("header_links").alias("url")),
         "frequency_cases": lambda s, d: pages.link_frequency(pages.page_facts(fixtures.small_pages(s), ("all_links",))),
+        "parse_counter_cases": lambda s, d: pages.parse_counters(pages.articles(fixtures.small_pages(s), fixtures.small_registry(s))),
+        "token_cases": lambda s, d: pages.token_reduction(pages.page_facts(fixtures.small_pages(s), ("html_chars", "kept_chars"))),
         "prompt_cases": lambda s, d: pages.prompts(fixtures.small_pages(s)).select("id", "domain", F.substring_index("prompt", "\n\n", -1).alias("kept"), "fits"),
         # store and search
         "store_counters": t(store.store_counters, "contents"),
