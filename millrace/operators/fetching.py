@@ -160,6 +160,16 @@ def host_flushes(fetches: DataFrame) -> DataFrame:
 
 
 def politeness_gap(fetches: DataFrame, limit: int = 30, window_s: int = 60) -> DataFrame:
-    """Requests (key, ts) with ``in_window``, those of the last ``window_s`` seconds, and whether a limiter would hold them back."""
-    w = Window.partitionBy("key").orderBy(F.unix_micros("ts")).rangeBetween(-window_s * 1_000_000 + 1, 0)
-    return fetches.withColumn("in_window", F.count("*").over(w)).withColumn("held", F.col("in_window") > limit)
+    """Requests (key, ts) with ``in_window``, those of the last ``window_s`` seconds, and whether a limiter would hold them back.
+
+    A window reaches into one slice of time before its own at most. So rows are counted in slices, each of which also has
+    the rows of the slice before, and a key with most requests is split by time. Rows without a time are a slice of their own.
+    """
+    width = window_s * 1_000_000
+    us = F.unix_micros("ts")
+    slot = F.floor(us / width)
+    seats = F.when(us.isNotNull(), F.array(F.struct(slot.alias("slot"), F.lit(True).alias("own")), F.struct((slot + 1).alias("slot"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(slot.alias("slot"), F.lit(True).alias("own"))))
+    seated = fetches.withColumn("__seat", F.explode(seats)).withColumn("__us", us)
+    w = Window.partitionBy("key", "__seat.slot").orderBy("__us").rangeBetween(-width + 1, 0)
+    counted = seated.withColumn("in_window", F.count("*").over(w)).where("__seat.own")
+    return counted.drop("__seat", "__us").withColumn("held", F.col("in_window") > limit)

@@ -277,8 +277,24 @@ SELECT url, min(depth)::INT AS depth FROM r GROUP BY url"""
    '<header><a class=main href=/h1>h</a></header><div id=content><a href=/m2>no</a></div><a class=''btn'' href=/p1>p</a><a class=''btn'' href=/2024/05/x>p</a><div class=breadcrumbs><a href=/b1/>b</a><a href=''#''>b</a></div><a href=/r1>1</a><a href=/r1/>2</a><a href=/once>3</a>')) t(id, domain, page, kept)"""
     merge_valid = f"SELECT *, coalesce(received_at < TIMESTAMPTZ '2025-02-01 00:00:00+00', true) AS early FROM contents WHERE {valid}"
     rest = "regexp_replace(regexp_extract(t, '^([^#]*)'), '^\\p{L}[\\p{L}\\p{N}_.+-]*:', '')"
+    flushes = f"""WITH RECURSIVE f AS (SELECT host, us, row_number() OVER (PARTITION BY host ORDER BY us) AS k FROM (SELECT lower({_host('url')}) AS host, epoch_us(ts) AS us FROM new_url_tasks WHERE {_host('url')} IS NOT NULL AND ts IS NOT NULL)),
+r AS (SELECT host, k, us, 0 AS n, us AS since, 1 AS flushed FROM f WHERE k = 1
+  UNION ALL SELECT f.host, f.k, f.us, CASE WHEN g.go THEN 0 ELSE g.n END, CASE WHEN g.go THEN f.us ELSE r.since END, CASE WHEN g.go THEN g.n ELSE 0 END
+  FROM r JOIN f ON f.host = r.host AND f.k = r.k + 1, LATERAL (SELECT CASE WHEN f.us - r.since > 1200000000 THEN 1 ELSE r.n + 1 END AS n, (CASE WHEN f.us - r.since > 1200000000 THEN 1 ELSE r.n + 1 END >= 10 OR f.us - r.since > 180000000) AS go) g)"""
+    by_host = f"{_verdicts()} SELECT lower(host) AS host, verdict, count(*) AS urls, sum(copies)::BIGINT AS copies FROM judged GROUP BY lower(host), verdict"
+    upserts = f"""WITH v AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY received_at, id) AS first, row_number() OVER (PARTITION BY url ORDER BY received_at DESC, id DESC) AS last FROM contents WHERE {valid})
+SELECT f.id, l.url, l.title, md5(l.content) AS content_md5 FROM v f JOIN v l ON f.url = l.url AND f.first = 1 AND l.last = 1"""
+    not_blank = f"length({_trim('url')}) > 0"
     return {
-        "admit_by_host": f"{_verdicts()} SELECT lower(host) AS host, verdict, count(*) AS urls, sum(copies)::BIGINT AS copies FROM judged GROUP BY lower(host), verdict",
+        # streams give what their tables give at once
+        "stream_dedup": "SELECT DISTINCT url FROM new_url_tasks",
+        "stream_windows": "SELECT event_type, to_timestamp(s) AS start, to_timestamp(s + 300) AS \"end\", count(*) AS n FROM (SELECT event_type, (epoch_us(ts) // 15000000 - k) * 15 AS s FROM events, range(20) t(k)) GROUP BY event_type, s",
+        "stream_host_flushes": f"{flushes} SELECT host, us, flushed::INT AS fetches FROM r WHERE flushed > 0",
+        "stream_upserts": upserts,
+        "stream_retries": f"""SELECT DISTINCT url, CASE WHEN {_RETRY_READY} THEN 'frontier' ELSE 'retry_set' END AS route FROM retry_url_tasks WHERE {not_blank}
+UNION ALL SELECT * FROM (SELECT DISTINCT url, 'sent' AS route FROM retry_url_tasks WHERE {not_blank} AND NOT ({_RETRY_READY}) ORDER BY url LIMIT 5)""",
+        "stream_admission": by_host,
+        "admit_by_host": by_host,
         "admit_counters": f"{_verdicts()} SELECT lower(host) AS host, count(*) FILTER (verdict = 'admitted') AS processed, count(*) FILTER (verdict <> 'admitted') AS rejected FROM judged WHERE verdict <> 'blank' GROUP BY lower(host)",
         "url_hash_id": f"SELECT url, sha256({_normal('url')}) AS id FROM {u}",
         "java_bucket": f"SELECT domain, {_hash('domain')} AS hash, {_bucket('domain', 3)} AS of_3, {_bucket('domain', 10)} AS of_10 FROM domains",
@@ -354,11 +370,7 @@ SELECT x.url, coalesce(hit.kind, 3) AS robots, coalesce(d.delay, 2) AS crawl_del
         "crawl_closure_pages": closure("SELECT url FROM url_metadata"),
         "metadata_lookup": "SELECT id, url, status_code FROM url_metadata WHERE id = (SELECT min(id) FROM url_metadata)",
         # each flush is known from the one before: a recursion over a host's fetches in order
-        "host_tracker": f"""WITH RECURSIVE f AS (SELECT host, us, row_number() OVER (PARTITION BY host ORDER BY us) AS k FROM (SELECT lower({_host('url')}) AS host, epoch_us(ts) AS us FROM new_url_tasks WHERE {_host('url')} IS NOT NULL AND ts IS NOT NULL)),
-r AS (SELECT host, k, us, 0 AS n, us AS since, 1 AS flushed FROM f WHERE k = 1
-  UNION ALL SELECT f.host, f.k, f.us, CASE WHEN g.go THEN 0 ELSE g.n END, CASE WHEN g.go THEN f.us ELSE r.since END, CASE WHEN g.go THEN g.n ELSE 0 END
-  FROM r JOIN f ON f.host = r.host AND f.k = r.k + 1, LATERAL (SELECT CASE WHEN f.us - r.since > 1200000000 THEN 1 ELSE r.n + 1 END AS n, (CASE WHEN f.us - r.since > 1200000000 THEN 1 ELSE r.n + 1 END >= 10 OR f.us - r.since > 180000000) AS go) g)
-SELECT host, make_timestamp(us) AS flushed_at, flushed::INT AS fetches FROM r WHERE flushed > 0""",
+        "host_tracker": f"{flushes} SELECT host, make_timestamp(us) AS flushed_at, flushed::INT AS fetches FROM r WHERE flushed > 0",
         # for URLs as they stand in the table: no default ports, no dots in paths, nothing that is encoded
         "url_canonical": f"""WITH a AS (SELECT url, {_trim('url')} AS t FROM {u}), b AS (SELECT *, regexp_extract(t, '^([^#]*)', 1) AS s FROM a)
 SELECT url, CASE WHEN regexp_matches(s, '^(?i)(https?|ftp|file|jar|mailto)://[^/?#]+') THEN lower(regexp_extract(s, '^([A-Za-z]+://[^/?#]+)', 1)) || coalesce(nullif(regexp_replace(replace(regexp_extract(s, '^[A-Za-z]+://[^/?#]+([^?]*)', 1), ' ', '%20'), '/+', '/', 'g'), ''), '/')

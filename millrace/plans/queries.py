@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import analysis, classify, dates, resolve, urls
 from millrace.operators import domains, fetching, frontier, instants, metrics, pages, robots, store
-from millrace.plans import crawl, fixtures
+from millrace.plans import crawl, fixtures, streams
 from millrace.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,7 +84,7 @@ def queries() -> dict[str, Query]:
     def t(f: Callable[..., DataFrame], *tables: str) -> Query:
         return lambda spark, d: f(*[table(spark, d, name) for name in tables])
 
-    return {
+    return streams.queries() | {
         "p4_found": t(lambda c, s: instants.publish_instants(c, s).where("publish_us is not null").distinct(), "contents", "site_locales"),
         "p4_zones": t(instants.zone_report, "contents", "site_locales"),
         # frontier

@@ -8,3 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``folder``; columns and filters are pushed into the scan by whoever uses it."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def streamed(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same table as a stream of its files."""
+    return spark.readStream.schema(table(spark, folder, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
