@@ -36,12 +36,13 @@ def line_keys(content: Column) -> Column:
 
 def frequent_lines(keyed: DataFrame, least_rows: int = LEAST_ROWS, share: float = SHARE) -> DataFrame:
     """(site, frequent): for each site the hashes of its frequent lines. ``keyed`` has site (a hash) and keys, a row for each document."""
-    of_site = keyed.where("site is not null")
-    rows = of_site.groupBy("site").agg(F.count("*").alias("rows"))
-    lines = of_site.select("site", F.explode(F.array_distinct(F.array_compact("keys"))).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows)
+    own = F.concat(F.array(F.lit(None).cast("long")), F.array_distinct(F.array_compact("keys")))  # null counts the rows themselves
+    counted = keyed.where("site is not null").select("site", F.explode(own).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
+    counted = cut(counted.where((F.col("n") >= least_rows) | F.col("line").isNull()))
+    rows = counted.where("line is null").select("site", F.col("n").alias("rows"))
     # the share in millionths, so that no rounding decides
     enough = F.col("n") * 1_000_000 >= F.col("rows") * round(share * 1_000_000)
-    return lines.join(rows, "site").where(enough).groupBy("site").agg(F.collect_list("line").alias("frequent"))
+    return counted.where("line is not null").join(rows, "site").where(enough).groupBy("site").agg(F.collect_list("line").alias("frequent"))
 
 
 def _keyed(contents: DataFrame) -> DataFrame:

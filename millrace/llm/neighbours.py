@@ -324,7 +324,7 @@ def _top(m: np.ndarray, asking: np.ndarray, among: np.ndarray, k: int, least: fl
         else:
             r, c = np.nonzero(s >= least - room)
         a, o = part[r], among[c]
-        exact = np.concatenate([np.empty(0), *(_cosines(m[a[n : n + 8192]], m[o[n : n + 8192]]) for n in range(0, len(a), 8192))])
+        exact = np.concatenate([np.empty(0), *(_cosines(m[a[n : n + 4096]], m[o[n : n + 4096]]) for n in range(0, len(a), 4096))])
         order = np.lexsort((o, -exact, a))
         a, o, exact = a[order], o[order], exact[order]
         starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
