@@ -42,6 +42,8 @@ CLASSES = ("none", "abuse", "hate", "sexual")
 SAMPLE, SAMPLE_CHARS = 12_000, 100_000_000
 #: Documents without labels that training reads at most, as examples of what ordinary passages look like, and the weight of their passages.
 UNLABELLED, UNVOTED_WEIGHT = 2_000, 0.3
+#: Passages of these that a model finds with at least this probability are left out of the next one, as nobody said that they are unmarked.
+DOUBTED = 0.3
 DIMENSIONS = 16
 ROUNDS = 3
 EPOCHS = 6
@@ -386,7 +388,7 @@ def train(documents: Sequence[tuple[Sequence[Sequence[str]], Sequence[int]]], ot
         targets[guilty, 0] = 0
         targets[guilty, 1:] = blend[guilty] / blend[guilty].sum(1, keepdims=True)
         weights = np.where(guilty, np.float32(GUILTY_WEIGHT), unmarked)
-        weights[~marked[owner] & (other > 0.9)] = 0
+        weights[~marked[owner] & (other > np.where(owner >= voted, DOUBTED, 0.9))] = 0
     table, bias = run([(np.arange(len(data)), None, targets, weights)])[0]
     return Model(vocabulary, table[:-1], bias)
 
@@ -405,6 +407,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE,
                 room -= r.n
     if not chosen:
         return [], []
+    chosen.sort(key=lambda c: c[0])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
