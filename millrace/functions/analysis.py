@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,17 +30,3 @@ def embedding_text(title: Column, content: Column) -> Column:
     """What is embedded of an article: trimmed title, a blank, the first characters of the trimmed content; blank parts are left out."""
     parts = [F.nullif(F.trim(title), F.lit("")), F.nullif(F.substring(F.trim(content), 1, EMBED_CHARS), F.lit(""))]
     return F.concat_ws(" ", *parts)
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors of one length; null if a length differs or one of them is null or all zero."""
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms)
-
-
-def vector(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
