@@ -26,6 +26,7 @@ alike; a long text costs its length.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -204,7 +205,7 @@ def numbered(passages_of_words: Sequence[Sequence[str]]) -> tuple[Passages, dict
     unit_of: dict[object, int] = {}
     bare: list[str] = []  # of words only; None for pairs
     names: list[list[str]] = []
-    flat, length = [], np.empty(len(passages_of_words), np.int64)
+    flat, length = array("i"), np.empty(len(passages_of_words), np.int64)
     for k, ws in enumerate(passages_of_words):
         own = []
         for w in ws:
@@ -227,7 +228,7 @@ def numbered(passages_of_words: Sequence[Sequence[str]]) -> tuple[Passages, dict
             if own[0] == len(names):
                 bare.append("")
                 names.append([""])
-        flat += own
+        flat.extend(own)
         length[k] = len(own)
     units = np.asarray(flat, np.int32)
     owner = np.repeat(np.arange(len(length)), length)
@@ -415,8 +416,11 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE,
 
     ids = documents.sparkSession.createDataFrame([c[:2] for c in chosen], "doc_id long, n int")
     texts = lookup_join(documents.select("doc_id", "text", F.length("text").alias("n")), ids, ["doc_id", "n"], "inner").dropDuplicates(["doc_id"])
-    rows = texts.select("doc_id", "text").mapInPandas(read, "doc_id long, words string").collect()
-    found = {r.doc_id: [p.split(" ") if p else [] for p in r.words.split("\n")] for r in rows if r.words}
+    same: dict[str, str] = {}  # one string for all places of a word
+    found = {}
+    for r in texts.select("doc_id", "text").mapInPandas(read, "doc_id long, words string").collect():
+        if r.words:
+            found[r.doc_id] = [[same.setdefault(w, w) for w in p.split(" ")] if p else [] for p in r.words.split("\n")]
     return [(found[i], v) for i, _, v in chosen if v and i in found], [found[i] for i, _, v in chosen if not v and i in found]
 
 
