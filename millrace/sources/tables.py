@@ -11,5 +11,5 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def streamed(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The same table as a stream of its files."""
-    return spark.readStream.schema(table(spark, folder, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """The same table as a stream of its files, be it one file or a folder of them; a stream takes one file as its path only if that is a pattern."""
+    return spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/{name}.parque[t]")

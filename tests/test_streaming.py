@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import fetching
-from millrace.plans import fixtures
+from millrace.plans import fixtures, streams
 from millrace.sources import kafka
 from millrace.streaming import flows
 
@@ -146,3 +146,21 @@ def test_admission_stream(spark, tmp_path):
     tasks = spark.createDataFrame([(1, "https://a.example/x"), (2, "https://b.example/")], "task_id long, url string")
     flows.run_batches(stream_of(spark, tasks, tmp_path / "in", 1), flows.admission(doms, None, str(tmp_path / "out")), folder=str(tmp_path / "q"))
     assert {r.url: r.verdict for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"https://a.example/x": "admitted", "https://b.example/": "not_whitelisted"}
+
+
+def in_parts(spark, small, folder, *names):
+    """A folder in which these tables are folders of three files."""
+    for name in names:
+        spark.read.parquet(f"{small}/{name}.parquet").repartition(3).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def same_in_parts(spark, small, folder, query, *names):
+    shown = lambda d: sorted(map(str, streams.queries()[query](spark, d).collect()))
+    found = shown(in_parts(spark, small, folder, *names))
+    assert found and found == shown(small)
+
+
+@pytest.mark.parametrize("query", ["stream_admission", "stream_dedup", "stream_host_flushes"])
+def test_tasks_in_parts(spark, small, tmp_path, query):
+    same_in_parts(spark, small, tmp_path, query, "new_url_tasks", "domains")
