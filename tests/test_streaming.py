@@ -164,3 +164,7 @@ def same_in_parts(spark, small, folder, query, *names):
 @pytest.mark.parametrize("query", ["stream_admission", "stream_dedup", "stream_host_flushes"])
 def test_tasks_in_parts(spark, small, tmp_path, query):
     same_in_parts(spark, small, tmp_path, query, "new_url_tasks", "domains")
+
+
+def test_retries_in_parts(spark, small, tmp_path):
+    same_in_parts(spark, small, tmp_path, "stream_retries", "retry_url_tasks")
