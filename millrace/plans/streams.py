@@ -32,7 +32,9 @@ def upserts(spark: SparkSession, d: str) -> DataFrame:
     folder = flows.workspace(spark)
     rows = streamed(spark, d, "contents").select("id", "url", "title", "content", "received_at")
     flows.run_batches(rows, flows.upsert_into(f"{folder}/store"), f"{folder}/query")
-    return flows.latest(spark, f"{folder}/store", 1).select("id", "url", "title", F.md5("content").alias("content_md5"))
+    stored = flows.latest(spark, f"{folder}/store", 1)
+    stored = table(spark, d, "contents").limit(0) if stored is None else stored
+    return stored.select("id", "url", "title", F.md5("content").alias("content_md5"))
 
 
 def retries(spark: SparkSession, d: str) -> DataFrame:

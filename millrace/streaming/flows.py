@@ -153,19 +153,19 @@ def upsert_into(folder: str, buckets: int = STORE_BUCKETS) -> Callable[[DataFram
         spark = batch.sparkSession
         versions = _versions(spark, folder, n - 1)
         bucket = F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
-        touched = [r.bucket for r in batch.where("url is not null").select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets``
-        old = _buckets(spark, folder, {b: versions[b] for b in touched if b in versions})
-        merged = store.upserted(None if old is None else old.drop("is_insert"), batch, F.struct("received_at", "id"))
-        merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/rows/batch={n}")
-        written = {r.bucket for r in spark.read.parquet(f"{folder}/rows/batch={n}").select("bucket").distinct().collect()} if touched else set()
-        now = sorted((versions | dict.fromkeys(written, n)).items())
+        touched = [r.bucket for r in store.validated(batch).where("valid").select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets``
+        if touched:
+            old = _buckets(spark, folder, {b: versions[b] for b in touched if b in versions})
+            merged = store.upserted(None if old is None else old.drop("is_insert"), batch, F.struct("received_at", "id"))
+            merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/rows/batch={n}")
+        now = sorted((versions | dict.fromkeys(touched, n)).items())
         spark.createDataFrame(now, "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/versions/batch={n}")
 
     return merge
 
 
-def latest(spark: SparkSession, folder: str, batches: int) -> DataFrame:
-    """The store after so many batches."""
+def latest(spark: SparkSession, folder: str, batches: int) -> DataFrame | None:
+    """The store after so many batches; none if nothing has been stored."""
     return _buckets(spark, folder, _versions(spark, folder, batches - 1))
 
 

@@ -168,3 +168,15 @@ def test_tasks_in_parts(spark, small, tmp_path, query):
 
 def test_retries_in_parts(spark, small, tmp_path):
     same_in_parts(spark, small, tmp_path, "stream_retries", "retry_url_tasks")
+
+
+def test_upserts_in_parts(spark, small, tmp_path):
+    same_in_parts(spark, small, tmp_path, "stream_upserts", "contents")
+
+
+@pytest.mark.parametrize("kept", ["false", "url is null or trim(title) = ''"])
+def test_upserts_of_nothing_valid(spark, small, tmp_path, kept):
+    rows = spark.read.parquet(f"{small}/contents.parquet")
+    blank = rows.limit(3).withColumn("title", F.lit(" "))
+    rows.unionByName(blank).where(kept).write.parquet(f"{tmp_path}/contents.parquet")
+    assert streams.queries()["stream_upserts"](spark, str(tmp_path)).count() == 0
