@@ -9,8 +9,9 @@ paragraphs, or written as text (main_texts) with the spacing of blocks, the mark
 Wording: what a layout cannot tell (a site notice between two line breaks, a stored text without tags) is decided by a
 line model. It is trained from the layouts of all fetched pages: blocks inside bodies against blocks of menus, footers,
 comments, share bars, bylines and pointers. Its evidence is words and word pairs with digits masked and the site's own
-name masked. Lines and features are counted on the executors, over all pages; the model itself, the features seen more
-than once, MODEL_FEATURES at most, is broadcast.
+name masked. Lines and features are counted on the executors, over all pages. The model has all features seen more than
+once, however many: the weights of the MODEL_FEATURES seen most are broadcast, those of the rarer ones are joined to the
+rows that have them.
 
 Results, also for odd input: null, empty or unparsable HTML, pages without a headline or prose give no row; a null text
 gives no row; repeated rows give their paragraphs once per id. Other columns of the input are ignored.
@@ -21,10 +22,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
-from math import exp, log, sqrt
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from math import sqrt
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ THRESHOLD = 0.0
 PAGE_THRESHOLD = 0.6
 #: Log odds at which an opening ("See also:", ">>") decides alone.
 OPENING = 2.5
-#: Features of the line model at most, about; this bounds what is broadcast.
+#: Features of the line model that are broadcast, about; the others are joined, so results don't depend on it.
 MODEL_FEATURES = 1_000_000
 #: Share of the pages of a site at which a masked body line counts as its notice when the model is trained.
 REPEATED = 0.1
@@ -172,7 +174,52 @@ def features(words: list[str]) -> tuple[list[str], int]:
     return opening + sorted(set(words) | {f"{a} {b}" for a, b in zip(words, [*words[1:], "$"])}), len(opening)
 
 
-def evidence(line: str, names: frozenset[str], weights: dict[str, float]) -> float:
+class LineModel(dict):
+    """The weights of the features that have been seen most; ``rare`` has (x, weight) of all others, if there are others."""
+
+    rare: DataFrame | None = None
+
+
+class Weights:
+    """The weights that are broadcast and those of the rare features of one row."""
+
+    def __init__(self, known: dict[str, float], rare: dict[str, float]) -> None:
+        self.known, self.rare = known, rare
+
+    def get(self, x: str, missing: float) -> float:
+        w = self.known.get(x)
+        return self.rare.get(x, missing) if w is None else w
+
+
+def rare_weights(rows: DataFrame, key: str, model: LineModel, known: Broadcast, found: Callable[[pd.DataFrame], Iterator[Iterable[str]]]) -> DataFrame | None:
+    """(key, rare_x, rare_w): what the model knows of the rows' features beside what is broadcast; none if it is all broadcast.
+
+    ``found`` gives the features of each row of a batch. Rows of one key get the weights of all their features.
+    """
+    if model.rare is None:
+        return None
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame(list({(k, x) for k, f in zip(b[key], found(b)) for x in f if x not in known.value}), columns=[key, "x"])
+
+    pairs = rows.mapInPandas(asked, f"{key} long, x string").distinct()
+    held = lookup_join(pairs, model.rare, ["x"], "inner").groupBy(key).agg(F.collect_list(F.struct("x", "weight")).alias("rare"))
+    return held.select(key, F.col("rare.x").alias("rare_x"), F.col("rare.weight").alias("rare_w"))
+
+
+def _with_rare(rows: DataFrame, rare: DataFrame | None, key: str) -> DataFrame:
+    if rare is None:
+        return rows.withColumns({"rare_x": F.lit(None).cast("array<string>"), "rare_w": F.lit(None).cast("array<double>")})
+    return rows.join(rare, key, "left")
+
+
+def _weights(known: Broadcast, b: pd.DataFrame) -> Iterator[dict[str, float] | Weights]:
+    """The weights for each row of a batch of _with_rare()."""
+    return (known.value if x is None else Weights(known.value, dict(zip(x, w))) for x, w in zip(b["rare_x"], b["rare_w"]))
+
+
+def evidence(line: str, names: frozenset[str], weights: dict[str, float] | Weights) -> float:
     """Evidence against a line; above THRESHOLD it isn't body. Either all its features speak against it, or one of its openings alone does so strongly."""
     f, n = features(masked(line, names))
     if not f:
@@ -231,23 +278,28 @@ def line_counts(bodies: DataFrame) -> DataFrame:
     return cut(split.groupBy("line").agg(F.sum("body").alias("body"), F.sum("off").alias("off")))
 
 
-def line_model(bodies: DataFrame) -> dict[str, float]:
-    """Evidence of each feature against a line being body, from page_bodies(): smoothed log odds, shrunk where a feature is rare; features seen once are left out, and the rarest if there are more than MODEL_FEATURES.
+def line_model(bodies: DataFrame) -> LineModel:
+    """Evidence of each feature against a line being body, from page_bodies(): smoothed log odds, shrunk where a feature is rare; features seen once are left out.
 
     In a second round lines whose openings speak against them count for the other side. For words, a masked line that
     occurs n times counts as sqrt(n).
     """
-    counts = line_counts(bodies)
-    weights: dict[str, float] = {}
+    counts = line_counts(bodies).withColumn("key", F.xxhash64("line"))
+    model = LineModel()
     for r in range(2):
-        sent = bodies.sparkSession.sparkContext.broadcast(weights)
+        known = bodies.sparkSession.sparkContext.broadcast(dict(model))
+
+        def openings(b: pd.DataFrame) -> Iterator[list[str]]:
+            for line in b["line"]:
+                f, n = features(line.split(" "))
+                yield f[:n]
 
-        def feature_counts(batches: Iterator[pd.DataFrame], r: int = r, sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        def feature_counts(batches: Iterator[pd.DataFrame], r: int = r, known: Broadcast = known) -> Iterator[pd.DataFrame]:
             for b in batches:
                 sums: dict[tuple[str, bool], list[float]] = {}
-                for line, *both in zip(b["line"], b["off"], b["body"]):
+                for weights, line, *both in zip(_weights(known, b), b["line"], b["off"], b["body"]):
                     f, n = features(line.split(" "))
-                    good = r == 0 or max(sent.value.get(x, 0.0) for x in f[:n]) <= 1
+                    good = r == 0 or max(weights.get(x, 0.0) for x in f[:n]) <= 1
                     for body, times in enumerate(both):
                         if times > 0:
                             side, damped = int(body and good), sqrt(times)
@@ -256,26 +308,28 @@ def line_model(bodies: DataFrame) -> dict[str, float]:
                             sums.setdefault(("", False), [0.0, 0.0])[side] += damped
                 yield pd.DataFrame([(x, o, *v) for (x, o), v in sums.items()], columns=["x", "opening", "off", "body"])
 
-        total = counts.mapInPandas(feature_counts, "x string, opening boolean, off double, body double").groupBy("x", "opening").agg(F.sum("off").alias("off"), F.sum("body").alias("body"))
-        rows = _bounded(cut(total.where("off + body > 1.2 or x = ''"))).toPandas()
-        own = rows[rows["x"] == ""]
-        totals = [2.0 + own["off"].sum(), 2.0 + own["body"].sum()]
-        weights = {}
-        # words by likelihood; openings, each of which may decide alone, by the odds of the lines that have them
-        for x, opening, o, i in rows[rows["x"] != ""].itertuples(index=False):
-            odds = (o + 0.5) / (i + 0.5) if opening else ((o + 0.5) / totals[0]) / ((i + 0.5) / totals[1])
-            weights[x] = log(odds) * (1 - exp(-(o + i) / 2))
-    return weights
+        lines = _with_rare(counts, rare_weights(counts, "key", model, known, openings), "key")
+        total = lines.mapInPandas(feature_counts, "x string, opening boolean, off double, body double").groupBy("x", "opening").agg(F.sum("off").alias("off"), F.sum("body").alias("body"))
+        model = _weighed(cut(total.where("off + body > 1.2 or x = ''")))
+    return model
 
 
-def _bounded(total: DataFrame) -> DataFrame:
-    """The features that the model keeps: all, or the MODEL_FEATURES, about, that have been seen most."""
-    n = total.count()
-    if n <= MODEL_FEATURES:
-        return total
+def _weighed(total: DataFrame) -> LineModel:
+    """The model of all features: the MODEL_FEATURES, about, that have been seen most in memory, the others as a table."""
+    own = total.where("x = ''").agg(F.sum("off").alias("off"), F.sum("body").alias("body")).first()
+    off, body = 2.0 + (own.off or 0.0), 2.0 + (own.body or 0.0)
+    o, i = F.col("off") + 0.5, F.col("body") + 0.5
+    # words by likelihood; openings, each of which may decide alone, by the odds of the lines that have them
+    odds = F.when(F.col("opening"), o / i).otherwise((o / off) / (i / body))
     seen = F.col("off") + F.col("body")
-    least = total.select(seen.alias("seen")).approxQuantile("seen", [1 - MODEL_FEATURES / n], 0.001)[0]
-    return total.where((seen > least) | (F.col("x") == ""))
+    weighed = total.where("x <> ''").select("x", seen.alias("seen"), (F.log(odds) * (1 - F.exp(-seen / 2))).alias("weight"))
+    n = total.count()
+    least = weighed.approxQuantile("seen", [1 - MODEL_FEATURES / n], min(0.001, 0.1 * MODEL_FEATURES / n))[0] if n > MODEL_FEATURES else 0.0
+    common = weighed.where(F.col("seen") > least).select("x", "weight").toPandas()
+    model = LineModel(zip(common["x"], common["weight"]))
+    if n > MODEL_FEATURES:
+        model.rare = weighed.where(F.col("seen") <= least).select("x", "weight")
+    return model
 
 
 def _fetched(pages: DataFrame) -> DataFrame:
@@ -286,7 +340,7 @@ def _md5(text: str) -> str:
     return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def lines_of_page(html: str | None, url: str | None, weights: dict[str, float]) -> list[Line]:
+def lines_of_page(html: str | None, url: str | None, weights: dict[str, float] | Weights) -> list[Line]:
     """The rendered lines of a page's main body, in order."""
     names = site_names(url)
     root = htmltree.parse(html)
@@ -296,25 +350,46 @@ def lines_of_page(html: str | None, url: str | None, weights: dict[str, float])
     return [x for x in lines if id(x.block) in kept]
 
 
-def kept_lines(body: Sequence[str], url: str | None, weights: dict[str, float]) -> list[str]:
+def kept_lines(body: Sequence[str], url: str | None, weights: dict[str, float] | Weights) -> list[str]:
     """The lines of a page's body by its layout that the line model leaves in it."""
     names = site_names(url)
     return [t for t in body if evidence(t, names, weights) <= PAGE_THRESHOLD]
 
 
-def body_of_page(html: str | None, url: str | None, weights: dict[str, float]) -> list[str]:
+def body_of_page(html: str | None, url: str | None, weights: dict[str, float] | Weights) -> list[str]:
     """The paragraphs of a page's main body, in order."""
     return kept_lines([t for t, inside in page_lines(html, url) if inside], url, weights)
 
 
-def body_of_text(text: str | None, url: str | None, title: str | None, author: str | None, weights: dict[str, float]) -> list[str]:
+def _text_lines(text: str | None) -> Iterator[str]:
+    for line in (text or "").split("\n"):
+        line = _BLANKS.sub(" ", line).strip(" ")
+        if line:
+            yield line
+
+
+def _features_of(rows: Iterable[tuple[str | None, Iterable[str]]]) -> Iterator[set[str]]:
+    """The features of each row's lines, from (url, lines)."""
+    for url, lines in rows:
+        names = site_names(url)
+        yield {x for line in lines for x in features(masked(line, names))[0]}
+
+
+def _body_features(b: pd.DataFrame) -> Iterator[set[str]]:
+    return _features_of(zip(b["url"], b["body"]))
+
+
+def _text_features(b: pd.DataFrame) -> Iterator[set[str]]:
+    return _features_of(zip(b["url"], map(_text_lines, b["content"])))
+
+
+def body_of_text(text: str | None, url: str | None, title: str | None, author: str | None, weights: dict[str, float] | Weights) -> list[str]:
     """The lines of a stored text that are its main body, in order; the row's title and author are no body."""
     names = site_names(url)
     known = {looks.key(x) for x in (title, author) if x and x.strip()}
     out = []
-    for line in (text or "").split("\n"):
-        line = _BLANKS.sub(" ", line).strip(" ")
-        if line and looks.key(line) not in known and evidence(line, names, weights) <= THRESHOLD and not (len(line) < 40 and _ONLY_DATE.fullmatch(line)):
+    for line in _text_lines(text):
+        if looks.key(line) not in known and evidence(line, names, weights) <= THRESHOLD and not (len(line) < 40 and _ONLY_DATE.fullmatch(line)):
             out.append(line)
     return out
 
@@ -322,7 +397,8 @@ def body_of_text(text: str | None, url: str | None, title: str | None, author: s
 def main_paragraphs(pages: DataFrame, contents: DataFrame, with_text: bool = False) -> DataFrame:
     """(id, para_md5), with ``with_text`` also position and paragraph: the main body of fetched pages and of stored texts."""
     bodies = page_bodies(pages)
-    weights = pages.sparkSession.sparkContext.broadcast(line_model(bodies))
+    model = line_model(bodies)
+    known = pages.sparkSession.sparkContext.broadcast(dict(model))
     schema = "id string, position int, paragraph string" if with_text else "id string, para_md5 string"
     columns = ["id", "position", "paragraph"] if with_text else ["id", "para_md5"]
 
@@ -331,14 +407,16 @@ def main_paragraphs(pages: DataFrame, contents: DataFrame, with_text: bool = Fal
 
     def of_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([r for i, u, body in zip(b["id"], b["url"], b["body"]) for r in rows(i, kept_lines(body, u, weights.value))], columns=columns)
+            yield pd.DataFrame([r for i, u, body, w in zip(b["id"], b["url"], b["body"], _weights(known, b)) for r in rows(i, kept_lines(body, u, w))], columns=columns)
 
     def of_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([r for i, u, t, a, c in zip(b["id"], b["url"], b["title"], b["author"], b["content"]) for r in rows(i, body_of_text(c, u, t, a, weights.value))], columns=columns)
+            yield pd.DataFrame([r for i, u, t, a, c, w in zip(b["id"], b["url"], b["title"], b["author"], b["content"], _weights(known, b)) for r in rows(i, body_of_text(c, u, t, a, w))], columns=columns)
 
-    found = bodies.select("id", "url", "body").mapInPandas(of_pages, schema)
-    stored = contents.where("content is not null").select("id", "url", "title", "author", "content").mapInPandas(of_texts, schema)
+    kept = bodies.select("id", "url", "page", "body")
+    texts = contents.where("content is not null").select("id", "url", "title", "author", "content", F.xxhash64("url", "content").alias("text"))
+    found = _with_rare(kept, rare_weights(kept, "page", model, known, _body_features), "page").mapInPandas(of_pages, schema)
+    stored = _with_rare(texts, rare_weights(texts, "text", model, known, _text_features), "text").mapInPandas(of_texts, schema)
     if with_text:
         return found.unionByName(stored).select("*", F.md5("paragraph").alias("para_md5"))
     return found.unionByName(stored).distinct()
@@ -346,10 +424,13 @@ def main_paragraphs(pages: DataFrame, contents: DataFrame, with_text: bool = Fal
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """(id, text): the main body of each fetched page as it is rendered; '' for pages without one. Pages that were saved again give a row for each of their texts."""
-    weights = pages.sparkSession.sparkContext.broadcast(line_model(page_bodies(pages)))
+    bodies = page_bodies(pages)
+    model = line_model(bodies)
+    known = pages.sparkSession.sparkContext.broadcast(dict(model))
 
     def rendered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "text": [htmltree.write(lines_of_page(h, u, weights.value)) for u, h in zip(b["url"], b["raw_html"])]})
+            yield pd.DataFrame({"id": b["id"], "text": [htmltree.write(lines_of_page(h, u, w)) for u, h, w in zip(b["url"], b["raw_html"], _weights(known, b))]})
 
-    return _fetched(pages).mapInPandas(rendered, "id string, text string").distinct()
+    rare = rare_weights(bodies.select("url", "page", "body"), "page", model, known, _body_features)
+    return _with_rare(_fetched(pages).withColumn("page", F.xxhash64("id", "url")), rare, "page").mapInPandas(rendered, "id string, text string").distinct()

@@ -154,3 +154,16 @@ def test_odd_pages(bad):
 def test_texts_with_udfs_keep_nulls(spark):
     df = spark.createDataFrame([(None,), ("a b",)], "t string").select(looks.form_udf(F.col("t")).alias("f"), looks.key_udf(F.col("t")).alias("k"))
     assert [tuple(r) for r in df.collect()] == [(None, None), ("a b", "a b")]
+
+
+def test_main_body_whatever_is_broadcast(spark, monkeypatch):
+    # the notice of a few pages is rarer than the features that are broadcast
+    rows = [(f"p{k}", f"https://courier.example/{k}", page(k, layout=k % 3 == 0), 200) for k in range(60)]
+    rows += [(f"s{k}", f"https://paper{k}.example/", page(k).replace("Follow Courier for", "Subscribe today, dear reader, at price"), 200) for k in range(3)]
+    pages = spark.createDataFrame(rows, "id string, url string, raw_html string, status_code int")
+    stored = contents(spark, [(f"c{k}", f"https://paper{k}.example/", None, f"{sentence(k, 0)}\nSubscribe today, dear reader, at price 5 stories\nThanks, great piece {k}.\nOther news of town {k} is told here.", None) for k in range(4)])
+    shown = lambda: (sorted(map(str, main_body.main_paragraphs(pages, stored).collect())), sorted(map(str, main_body.main_texts(pages).collect())))
+    whole = shown()
+    for size in (40, 4):
+        monkeypatch.setattr(main_body, "MODEL_FEATURES", size)
+        assert shown() == whole
