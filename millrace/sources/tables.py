@@ -11,5 +11,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def streamed(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The same table as a stream of its files, be it one file or a folder of them; a stream takes one file as its path only if that is a pattern."""
-    return spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/{name}.parque[t]")
+    """The same table as a stream of its files. A folder is streamed as it is, so that its parts may be folders of a column's values; a stream takes one file as its path only if that is a pattern."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    one = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    return spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/{name}.parque[t]" if one else f"{folder}/{name}.parquet")

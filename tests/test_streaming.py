@@ -170,6 +170,14 @@ def test_retries_in_parts(spark, small, tmp_path):
     same_in_parts(spark, small, tmp_path, "stream_retries", "retry_url_tasks")
 
 
+@pytest.mark.parametrize("column", ["http_status", "retry_count"])
+def test_retries_in_folders_of_values(spark, small, tmp_path, column):
+    spark.read.parquet(f"{small}/retry_url_tasks.parquet").write.partitionBy(column).parquet(f"{tmp_path}/retry_url_tasks.parquet")
+    shown = lambda d: sorted(map(str, streams.queries()["stream_retries"](spark, d).collect()))
+    found = shown(str(tmp_path))
+    assert found and found == shown(small)
+
+
 def test_upserts_in_parts(spark, small, tmp_path):
     same_in_parts(spark, small, tmp_path, "stream_upserts", "contents")
 
