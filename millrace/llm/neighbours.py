@@ -83,7 +83,7 @@ _COSINES = np.cos(np.arange(SKETCH + 1) / SKETCH * np.pi).astype(np.float32)
 
 
 def usable_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "content_embedding", dim: int = DIM, squeezed: bool = False) -> DataFrame:
-    """(id, vector binary, copy): usable vectors as 32-bit floats, or 16-bit ones where these are equal; ``copy`` is the same for the same vector. ``squeezed``: the bytes are compressed, for rows that are shuffled."""
+    """(id, vector binary, copy): usable vectors as 32-bit floats, or 16-bit ones where these are equal; ``copy`` is the same for the same vector. ``squeezed``: as _squeezed() has them, for rows that are shuffled."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,11 +102,22 @@ def usable_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "content
                 half = rows.astype("<f2")
             short = (half.astype("<f4") == rows).all(1)  # sent in half the bytes where nothing is lost by it
             raw = [h.tobytes() if s else r.tobytes() for r, h, s in zip(rows, half, short)]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(right[good])), pa.array([zlib.compress(r, 1) for r in raw] if squeezed else raw, pa.binary()), pa.array([hashlib.md5(r).digest() for r in raw], pa.binary())], names=["id", "vector", "copy"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(right[good])), pa.array([_squeezed(r, dim) for r in raw] if squeezed else raw, pa.binary()), pa.array([hashlib.md5(r).digest() for r in raw], pa.binary())], names=["id", "vector", "copy"])
 
     return df.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).mapInArrow(pack, "id string, vector binary, copy binary")
 
 
+def _squeezed(vector: bytes, dim: int) -> bytes:
+    """The first bytes of all values, then the second ones and so on, each place with a code of its own, as these are spread differently; beside that only runs are shortened, as other repeats are chance."""
+    planes = np.frombuffer(vector, np.uint8).reshape(dim, -1).T
+    packer = zlib.compressobj(1, zlib.DEFLATED, -zlib.MAX_WBITS, strategy=zlib.Z_RLE)
+    return b"".join([x for p in planes for x in (packer.compress(p.tobytes()), packer.flush(zlib.Z_FULL_FLUSH))] + [packer.flush()])
+
+
+def _unsqueezed(packed: bytes, dim: int) -> bytes:
+    return np.frombuffer(zlib.decompress(packed, -zlib.MAX_WBITS), np.uint8).reshape(-1, dim).T.tobytes()
+
+
 @lru_cache(4)
 def rotations(dim: int, trees: int) -> np.ndarray:
     """Random directions: the trees' signs (the first of every tree, then the second of every tree and so on), more for the sketch if these are too few, then the trees' symbols."""
@@ -339,7 +350,7 @@ def _top(m: np.ndarray, asking: np.ndarray, among: np.ndarray, k: int, least: fl
 def _compared(b: pd.DataFrame, edges: np.ndarray, k: int, least: float, dim: int) -> pd.DataFrame:
     """(row, other, similarity) of whole blocks, rows in order of id: own rows are compared with all rows of their block, visitors with its own rows."""
     rows, own = b["row"].to_numpy(), b["own"].to_numpy()
-    m = _matrix(b["vector"].map(zlib.decompress), dim)
+    m = _matrix(b["vector"].map(lambda v: _unsqueezed(v, dim)), dim)
     found = []
     for start, end in zip(edges[:-1], edges[1:]):
         place = np.arange(start, end)
@@ -376,19 +387,26 @@ def _blocks(pairs: DataFrame, block: int, least: float) -> tuple[DataFrame, Data
 
 
 def _cells(pairs: DataFrame, lead: DataFrame, sizes: DataFrame, large: DataFrame, block: int, least: float) -> DataFrame:
-    """(row, block): the rows of both parts of every pair of parts, of each large group and of the groups linked to it by candidates that the sketch puts at ``least``."""
+    """(row, block): the rows of both parts of every pair of parts, of each large group and of the groups linked to it by candidates that the sketch puts at ``least``. Linked groups that aren't large share parts, so a large group is repeated for each part of these, not for each of them."""
     close = pairs.where(F.col("apart") <= _apart(least)).select("row", "other")
     of_large = lead.join(F.broadcast(large.select("lead")) if large.count() < 10_000 else large.select("lead"), "lead")
     linked = close.join(of_large, "row").join(lead.select(F.col("row").alias("other"), F.col("lead").alias("to")), "other").select("lead", "to")
+    linked = cut(linked.distinct())
+    size = PART * block
+    names = large.select(F.col("lead").alias("to"))
+    few = cut(linked.join(names, "to", "left_anti").join(sizes.select(F.col("lead").alias("to"), "rows"), "to"))
+    shared = few.join(few.groupBy("lead").agg(F.ceil(F.sum("rows") / size).cast("int").alias("n")), "lead").select("lead", "to", F.pmod(F.xxhash64("to"), F.col("n")).alias("j"))
     # the reach of a row ends after three steps, so one dense group may have several leads
-    both = cut(linked.unionByName(large.select("lead", F.col("lead").alias("to"))).select(F.least("lead", "to").alias("a"), F.greatest("lead", "to").alias("b")).distinct())
-    parts = cut(sizes.join(both.select(F.col("a").alias("lead")).unionByName(both.select(F.col("b").alias("lead"))).distinct(), "lead").select("lead", F.ceil(F.col("rows") / (PART * block)).cast("int").alias("parts")))
+    both = cut(linked.join(names, "to", "left_semi").select("lead", "to").unionByName(large.select("lead", F.col("lead").alias("to"))).select(F.least("lead", "to").alias("a"), F.greatest("lead", "to").alias("b")).distinct())
+    parts = cut(sizes.join(large.select("lead").unionByName(few.select(F.col("to").alias("lead"))).distinct(), "lead").select("lead", F.ceil(F.col("rows") / size).cast("int").alias("parts")))
     sized = both.join(parts.select(F.col("lead").alias("a"), F.col("parts").alias("m")), "a").join(parts.select(F.col("lead").alias("b"), F.col("parts").alias("n")), "b")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     every = sized.withColumn("i", numbers("m")).withColumn("j", numbers("n"))
     # within one group each pair once; a pair holds both parts whole, so a part alone is a task only if it is the only one
     every = every.where("a <> b or i < j or m = 1").withColumn("block", F.xxhash64(F.lit("pair"), "a", "i", "b", "j"))
-    seats = every.select(F.col("a").alias("lead"), F.col("i").alias("part"), "block").unionByName(every.select(F.col("b").alias("lead"), F.col("j").alias("part"), "block")).distinct()
+    seats = every.select(F.col("a").alias("lead"), F.col("i").alias("part"), "block").unionByName(every.select(F.col("b").alias("lead"), F.col("j").alias("part"), "block"))
+    shared = shared.join(parts, "lead").withColumn("i", numbers("parts")).withColumn("block", F.xxhash64(F.lit("shared"), "lead", "i", "j"))
+    seats = seats.unionByName(shared.select("lead", F.col("i").alias("part"), "block")).unionByName(shared.select(F.col("to").alias("lead"), F.lit(0).alias("part"), "block")).distinct()
     placed = lookup_join(lead, parts, ["lead"], "inner").select("row", "lead", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"))
     return lookup_join(placed, seats, ["lead", "part"], "inner").select("row", "block")
 

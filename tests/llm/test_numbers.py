@@ -55,6 +55,29 @@ def test_neighbours_in_a_dense_group(spark):
     assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
 
 
+def test_small_groups_beside_a_large_one_share_parts(spark):
+    # rows 0 to 39 are a large group, 40 groups of two rows have a close candidate in it each
+    lead = [(r, 0) for r in range(40)] + [(r, r // 2 * 2) for r in range(100, 180)]
+    pairs = [(k, 100 + 2 * k, 10) for k in range(40)] + [(r, (r + 1) % 40, 10) for r in range(40)]
+    groups = spark.createDataFrame(lead, "row long, lead long")
+    sizes = groups.groupBy("lead").agg(F.count("*").alias("rows"))
+    cells = neighbours._cells(spark.createDataFrame(pairs, "row long, other long, apart int"), groups, sizes, sizes.where("rows > 32"), 32, 0.7).collect()
+    of = {}
+    for r in cells:
+        of.setdefault(r.row, set()).add(r.block)
+    assert all(of[a] & of[b] for a in range(40) for b in [*range(40), *range(100, 180)])
+    assert len(cells) == 2 * 40 + 80
+
+
+@pytest.mark.parametrize("kind", ["<f2", "<f4"])
+def test_vectors_are_squeezed_by_places(kind):
+    rng = np.random.default_rng(4)
+    for v in (np.round(rng.standard_normal(768) * 50) / 128, rng.standard_normal(768), np.zeros(768), np.r_[np.ones(1), np.zeros(767)]):
+        raw = v.astype(kind).tobytes()
+        packed = neighbours._squeezed(raw, 768)
+        assert neighbours._unsqueezed(packed, 768) == raw and len(packed) < 0.95 * len(raw)
+
+
 def test_sketch_beside_a_large_copy_group(spark):
     # a third of the rows are copies of one vector u, others lie at a cosine of 0.70 to 0.75 to it
     rng = np.random.default_rng(3)
